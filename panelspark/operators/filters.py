@@ -136,9 +136,9 @@ def kalman(df: DataFrame, iterations: int = 5, by: str = "series", value: str =
 def turning(x: np.ndarray, cycle: int = 15, phase: int = 5, reach: int = 5) -> np.ndarray:
     """Peaks 1 and troughs -1 by Bry and Boschan's rules: local extremes, alternation, least cycle and phase length."""
     n, sign = len(x), np.zeros(len(x))
-    for i in range(n):
-        near = x[max(0, i - reach) : i + reach + 1]
-        if len(near) > 1 and near.max() > near.min():
+    for i in range(reach, n - reach):  # the ends can't be told
+        near = x[i - reach : i + reach + 1]
+        if near.max() > near.min():
             sign[i] = 1.0 if x[i] == near.max() else -1.0 if x[i] == near.min() else 0.0
 
     def alternate() -> None:

@@ -63,6 +63,8 @@ def backtest(targets: DataFrame, returns: DataFrame, status: DataFrame, commissi
         flags = {c: state.assign(**{c: state[c].astype(float)}).pivot_table(index="date", columns="id", values=c, aggfunc="last").reindex(index=ret.index, columns=names).fillna(1.0).to_numpy() > 0 for c in ("no_buy", "no_sell")}
         w, out = np.zeros(len(names)), []
         starts = np.searchsorted(ret.index, target.index)
+        if not len(starts):
+            return pd.DataFrame({"portfolio": [], "date": [], "value": [], "turnover": []})
         at = dict(zip(starts, range(len(target)), strict=True))
         for i, day in enumerate(ret.index):
             turnover = 0.0
@@ -72,7 +74,7 @@ def backtest(targets: DataFrame, returns: DataFrame, status: DataFrame, commissi
                 free = goal[~blocked].sum()
                 new = np.where(blocked, w, goal * ((1 - w[blocked].sum()) / free if free else 0.0))
                 turnover, w = np.abs(new - w).sum(), new
-            elif not w.any():
+            elif i < starts[0]:
                 continue
             r = ret.iloc[i].to_numpy()
             out.append((pdf.portfolio.iloc[0], day, float(w @ r - commission * turnover), float(turnover)))

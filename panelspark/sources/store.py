@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEYS = ["date", "id"]
+SPARK_ENCODINGS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
 ALLOWED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType, T.BooleanType)
 
 
@@ -50,11 +51,11 @@ class PanelStore:
         return Folder(self.spark, f"{self.root}/{name}" if name else self.root)
 
     def _meta(self, name: str) -> dict:
-        path = f"{self.root}/{name}/_meta.json"
+        path = f"{self.root}/{name}/meta.json"
         return json.loads("".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
 
     def exists(self, name: str) -> bool:
-        return self._folder(name).exists("_meta.json")
+        return self._folder(name).exists("meta.json")
 
     def names(self) -> list[str]:
         return [n for n in self._folder().names() if self.exists(n)]
@@ -95,7 +96,7 @@ class PanelStore:
         before = meta.get("version")
         meta |= {"version": version, "keys": keys, "attributes": meta["attributes"] | (attributes or {})}
         folder = self._folder(name)
-        folder.write("_meta.json", json.dumps(meta))
+        folder.write("meta.json", json.dumps(meta))
         if before:
             folder.delete(before)
 
@@ -159,9 +160,19 @@ def with_labels(df: DataFrame, known: DataFrame | None, label: str) -> tuple[Dat
 
 
 def read_csv_dates(spark: SparkSession, folder: str, schema: str, encoding: str = "GBK") -> DataFrame:
-    """CSV files named by date, ids as text; the date comes from the file's name."""
-    df = spark.read.csv(folder, schema=schema, header=True, encoding=encoding)
-    return df.withColumn("date", F.to_date(F.regexp_extract(F.input_file_name(), "([0-9]{8})[^/]*$", 1), "yyyyMMdd"))
+    """CSV files named by date, ids as text; the date comes from the file's name. Columns are those of the schema, in
+    the files' order. Encodings that Spark's reader lacks are decoded file by file, in tasks."""
+    stamp = F.to_date(F.regexp_extract("path", "([0-9]{8})[^/]*$", 1), "yyyyMMdd")
+    if encoding.lower() in SPARK_ENCODINGS:
+        return spark.read.csv(folder, schema=schema, header=True, encoding=encoding).withColumn("date", F.to_date(F.regexp_extract(F.input_file_name(), "([0-9]{8})[^/]*$", 1), "yyyyMMdd"))
+
+    def lines(frames):
+        for pdf in frames:
+            yield pdf.assign(content=pdf.content.map(lambda b: bytes(b).decode(encoding).replace("\r\n", "\n").split("\n", 1)[-1]))
+
+    text = spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(lines, "path string, content string")
+    rows = text.select(stamp.alias("date"), F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
+    return rows.select(F.from_csv("line", schema).alias("r"), "date").select("r.*", "date")
 
 
 def write_csv_dates(df: DataFrame, folder: str) -> None:
