@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import slices, texts, whole_docs
 
-#: Entries that a worker keeps of pieces already encoded; when full, it starts again.
-CACHE = 300_000
+#: Entries that a worker keeps of stretches already encoded; when full, they become the older half, which then goes.
+CACHE = 250_000
 END = "￿"  # stands for the end of a word within the tables below
 NEVER = 1 << 60
 LONGEST, FAIL = "longest", "fail"
@@ -67,6 +67,7 @@ class Codec:
         self._automaton(made)
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         symbols = byte_symbols()
         self.to_symbols = {b: s for b, s in enumerate(symbols)}
         word = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -141,7 +142,7 @@ class Codec:
 
     def _learn(self, at: dict, ch: str) -> dict:
         """The step over failure links, kept for the next time."""
-        if len(self.learnt) > CACHE:
+        if len(self.learnt) > 4 * CACHE:
             for state, symbol in self.learnt:
                 del state[symbol]
             self.learnt.clear()
@@ -183,18 +184,27 @@ class Codec:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a stretch without white space, as 32-bit integers."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            if chunk[:-1].isalpha() and not chunk[-1].isalpha():  # a word and one sign are two pieces
+                ids = (self.chunks.get(chunk[:-1]) or self.chunk(chunk[:-1])) + (self.chunks.get(chunk[-1]) or self.chunk(chunk[-1]))
+            else:
+                ids = self._pieces((chunk,) if chunk.isalpha() else self.find(chunk))
+        if len(self.chunks) > CACHE:
+            self.older, self.chunks = self.chunks, {}
+        self.chunks[chunk] = ids
+        return ids
+
+    def _pieces(self, pieces) -> bytes:
         out: list[int] = []
-        for w in (chunk,) if chunk.isalpha() else self.find(chunk):
+        for w in pieces:
             w = (w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.to_symbols)) + END
             whole = self.tokens.get(w)
             if whole is None:
                 out += self.word(w)
             else:
                 out.append(whole)
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        ids = self.chunks[chunk] = array("i", out).tobytes()
-        return ids
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         out: list[bytes] = []

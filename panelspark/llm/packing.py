@@ -15,7 +15,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from bisect import insort
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,30 +96,20 @@ def fill(sizes: list[int], capacity: int = CAPACITY, cutting: bool = True) -> li
 
 def pieces(tokens: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Full windows and a remainder of each row of tokens (doc_id, ids), its end id added."""
+    whole = F.concat(F.coalesce("ids", F.array().cast("array<int>")), F.array(F.lit(end_id).cast("int")))
+    rows = tokens.select("doc_id", whole.alias("ids")).select("doc_id", "ids", F.size("ids").alias("n"))
+    rows = rows.select("doc_id", F.col("n").cast("long").alias("doc_tokens"), "ids", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(capacity))).alias("start"))
+    return rows.select("doc_id", F.col("start").cast("long").alias("start"), "doc_tokens", F.slice("ids", F.col("start") + 1, F.lit(capacity)).alias("ids"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                docs, starts, sizes, rows = [], [], [], []
-                for d, row in zip(part.column("doc_id").to_pylist(), part.column("ids"), strict=True):
-                    ids = np.append(row.values.to_numpy() if row.is_valid else np.empty(0, np.int32), np.int32(end_id))
-                    for start in range(0, len(ids), capacity):
-                        docs.append(d)
-                        starts.append(start)
-                        sizes.append(len(ids))
-                        rows.append(ids[start : start + capacity])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), lists(rows)], ["doc_id", "start", "doc_tokens", "ids"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, doc_tokens long, ids array<int>")
-
-
-def pack(cut: DataFrame, cells: int, capacity: int = CAPACITY, cutting: bool = True) -> DataFrame:
+def pack(cut: DataFrame, cells: int, capacity: int = CAPACITY, cutting: bool = True, sums: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset; pieces that had to be cut again come as several rows.
 
-    cells: number of cells; each is packed by one task and holds its share of the pieces alone.
+    cells: number of cells; each is packed by one task and holds its share of the pieces alone. sums: ids_crc32 in place
+    of ids, the checksum of the ids as little-endian 32-bit numbers.
     """
-    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+    last = "ids_crc32 long" if sums else "ids array<int>"
+    schema = f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {last}"
 
     def cell(t: pa.Table) -> pa.Table:
         # the same order however the rows arrive, so that a repeated task gives the same windows
@@ -135,25 +124,14 @@ def pack(cut: DataFrame, cells: int, capacity: int = CAPACITY, cutting: bool = T
         rows = [flat[ends[i] + s : ends[i] + s + n] for i, s, n in zip(which, inner, length, strict=True)]
         take = t.take(pa.array(which))
         start = take.column("start").to_numpy() + inner
-        return pa.table([take.column("doc_id"), pa.array(start), pa.array(length), take.column("doc_tokens"), pa.array(base + window), pa.array(offset), lists(rows)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        out = pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()) if sums else lists(rows)
+        return pa.table([take.column("doc_id"), pa.array(start), pa.array(length), take.column("doc_tokens"), pa.array(base + window), pa.array(offset), out], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if sums else "ids"])
 
     dealt = cut.withColumn("deal", F.xxhash64("doc_id", "start", F.monotonically_increasing_id())).withColumn("cell", F.pmod("deal", F.lit(cells)))
     return dealt.groupBy("cell").applyInArrow(cell, schema)
 
 
-def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, cutting: bool = True) -> DataFrame:
-    """The pieces of all documents with their ids and places."""
+def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, cutting: bool = True, sums: bool = False) -> DataFrame:
+    """The pieces of all documents with their ids (or their checksums) and places."""
     cells = max(1, docs.count() // CELL)
-    return pack(pieces(encode(docs, vocabulary), capacity), cells, capacity, cutting)
-
-
-def summed(packs: DataFrame) -> DataFrame:
-    """packs with ids_crc32 in place of ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(row.values.to_numpy().astype("<u4").tobytes()) for row in batch.column("ids")]
-            at = batch.schema.get_field_index("ids")
-            yield batch.set_column(at, "ids_crc32", pa.array(sums, pa.int64()))
-
-    return packs.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    return pack(pieces(encode(docs, vocabulary), capacity), cells, capacity, cutting, sums)

@@ -21,7 +21,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.summed(packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), sums=True)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ equal strings, two places at the same offset in both, but it takes one suffix in
 
 Buckets are the sampled suffixes that begin with the same GRAM bytes. Within a bucket the context of a sampled suffix
 (all strings resolved by it) is its rank: of equal contexts the earliest stays, and all strings of the later ones go.
-Only where a bucket holds different contexts, at the edges of repeats, strings are told apart one by one. Slices of texts
+Only where a bucket holds different contexts, at the edges of repeats, their bytes are gathered and strings told apart. Slices of texts
 resolve what repeats within them before anything is shuffled, so that a common passage comes once a slice to its bucket.
 
 Strings are equal if two 64-bit hashes over different byte values agree.
@@ -167,52 +167,85 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, context long, doc_id long, a long, b long")
 
 
-def told_apart(edges: DataFrame, length: int) -> DataFrame:
-    """Single strings of edges (doc_id, text, places): part null with spans, or part and rest, its hashes, with a the start."""
+def contexts(edges: DataFrame, length: int) -> DataFrame:
+    """The bytes of all strings of each sampled suffix of edges (doc_id, text, places of a and bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                code, ends, rank = loaded(part)
+                code, ends, _ = loaded(part)
+                sizes = np.diff(ends, prepend=0)
                 places = part.column("places")
-                flat, n = places.flatten().to_numpy(), np.diff(places.offsets.to_numpy())
-                row = np.repeat(np.arange(part.num_rows), n)
-                base = ends - np.diff(ends, prepend=0)
-                first, last = (flat >> 14) - (flat >> 7 & 127), (flat >> 14) - (flat & 127)
-                size = last - first + 1
-                row = np.repeat(row, size)
-                start = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-                inside = start + length <= np.diff(ends, prepend=0)[row]  # a doc_id may come with another text
-                row, start = row[inside], start[inside]
-                h, at = Hashes(code), start + base[row]
-                one, two = h.of(0, at, at + length), h.of(1, at, at + length)
-                stays = earliest([one, two], rank[row], start)
-                doc, begin, end = merged(row[~stays], start[~stays], start[~stays] + length)
-                m, k = int(stays.sum()), len(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([one[stays].view(np.int64), np.zeros(k, np.int64)]), mask=np.arange(m + k) >= m),
-                        pa.array(np.concatenate([two[stays].view(np.int64), mix((begin + 1).astype(np.uint64) * np.uint64(BASES[1]) + one[: 1 if k else 0]).view(np.int64)])),
-                        part.column("doc_id").take(pa.array(np.concatenate([row[stays], doc]))),
-                        pa.array(np.concatenate([start[stays], begin])), pa.array(np.concatenate([np.zeros(m, np.int64), end])),
-                    ],
-                    ["part", "rest", "doc_id", "a", "b"],
-                )
+                n = np.diff(places.offsets.to_numpy())
+                a, bucket = (places.flatten().field(i) for i in (0, 1))
+                at, row = a.to_numpy(), np.repeat(np.arange(part.num_rows), n)
+                first, end = (at >> 14) - (at >> 7 & 127), (at >> 14) - (at & 127) + length
+                inside = end <= sizes[row]  # a doc_id may come with another text
+                row, first, end, keep = row[inside], first[inside], end[inside], pa.array(inside)
+                size = end - first
+                to = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                flat = code[np.repeat(first + (ends - sizes)[row] - to[:-1], size) + np.arange(to[-1])]
+                raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(flat))])
+                yield pa.RecordBatch.from_arrays([bucket.filter(keep), part.column("doc_id").take(pa.array(row)), a.filter(keep), raw], ["bucket", "doc_id", "a", "raw"])
+
+    return edges.mapInArrow(run, "bucket long, doc_id long, a long, raw binary")
+
+
+def told_apart(rows: DataFrame, length: int) -> DataFrame:
+    """Single strings of contexts, taken bucket by bucket: part null with spans, or part and rest, its hashes, with a the start.
+
+    Buckets that lie within one Arrow batch are settled there. Of one that reaches over its ends (so of every large one)
+    the earliest strings of the batch go on, to be settled string by string over all batches.
+    """
 
-    return edges.mapInArrow(run, "part long, rest long, doc_id long, a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, bucket, a = batch.column("raw"), batch.column("bucket").to_numpy(), batch.column("a").to_numpy()
+            if not len(a):
+                continue
+            to = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(a) + 1].astype(np.int64)
+            code = np.frombuffer(raw.buffers()[2], np.uint8)[to[0] : to[-1]]
+            to = to - to[0]
+            count = np.diff(to) - length + 1
+            row = np.repeat(np.arange(len(a)), count)
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at, start = to[row] + step, ((a >> 14) - (a >> 7 & 127))[row] + step
+            ids = batch.column("doc_id")
+            rank = np.unique(ids.fill_null(0).to_numpy(), return_inverse=True)[1] + 1
+            rank[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+            h = Hashes(code)
+            one, two = h.of(0, at, at + length), h.of(1, at, at + length)
+            stays = earliest([one, two], rank[row], start)
+            # rows of one doc_id may lie apart in the batch: spans are merged by its rank
+            some = np.zeros(rank.max() + 1, np.int64)
+            some[rank] = np.arange(len(a))
+            doc, begin, end = merged(rank[row[~stays]], start[~stays], start[~stays] + length)
+            on = stays & ((bucket == bucket[0]) | (bucket == bucket[-1]))[row]
+            m, k = int(on.sum()), len(doc)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([one[on].view(np.int64), np.zeros(k, np.int64)]), mask=np.arange(m + k) >= m),
+                    pa.array(np.concatenate([two[on].view(np.int64), mix((begin + 1).astype(np.uint64) * np.uint64(BASES[1]) + one[: 1 if k else 0]).view(np.int64)])),
+                    ids.take(pa.array(np.concatenate([row[on], some[doc]]))),
+                    pa.array(np.concatenate([start[on], begin])), pa.array(np.concatenate([np.zeros(m, np.int64), end])),
+                ],
+                ["part", "rest", "doc_id", "a", "b"],
+            )
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "part long, rest long, doc_id long, a long, b long")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Spans (doc_id, start, end) of docs (doc_id, text) to be removed; they may overlap."""
     bucket, rank = Window.partitionBy("bucket"), Window.partitionBy("bucket", "context").orderBy("doc_id", "a")
     found = sampled(docs, length, gram).withColumn("low", F.min("context").over(bucket)).withColumn("high", F.max("context").over(bucket))
-    found = found.withColumn("nth", F.rank().over(rank)).where("context is null or nth > 1 or low <> high").select("doc_id", "a", "b", "nth", F.col("context").isNull().alias("span"))
+    found = found.withColumn("nth", F.rank().over(rank)).where("context is null or nth > 1 or low <> high").select("doc_id", "a", "b", "nth", "bucket", F.col("context").isNull().alias("span"))
     found = cut(found)
     spans = found.where("span").select("doc_id", F.col("a").alias("start"), F.col("b").alias("end"))
     first, last = (F.shiftright("a", 14) - F.expr(e) for e in ("shiftright(a, 7) & 127", "a & 127"))
     whole = found.where("not span and nth > 1").select("doc_id", first.alias("start"), (last + length).alias("end"))
-    edges = found.where("not span and nth = 1").groupBy("doc_id").agg(F.collect_list("a").alias("places")).withColumnRenamed("doc_id", "other")
-    strings = told_apart(docs.select("doc_id", "text").join(edges, same(F.col("doc_id"), F.col("other"))).drop("other"), length)
+    edges = found.where("not span and nth = 1").groupBy("doc_id").agg(F.collect_list(F.struct("a", "bucket")).alias("places")).withColumnRenamed("doc_id", "other")
+    strings = told_apart(contexts(docs.select("doc_id", "text").join(edges, same(F.col("doc_id"), F.col("other"))).drop("other"), length), length)
     nth = F.rank().over(Window.partitionBy("rest", "part").orderBy("doc_id", "a"))
     apart = strings.withColumn("nth", nth).where("part is null or nth > 1")
     apart = apart.select("doc_id", F.col("a").alias("start"), F.when(F.col("part").isNull(), F.col("b")).otherwise(F.col("a") + length).alias("end"))
