@@ -1,21 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
-Measures of a text are compared with cutoffs chosen on labelled held-out texts (crc32 of the id as text leaves 2 when
-divided by 4). For each stratum (by number of words) and measure, candidate cutoffs are tested for "at most RISK / number
-of measures of good texts are rejected": a cutoff is certified if the exact binomial (Clopper-Pearson) upper bound, at
-ERROR over the number of strata, measures and candidates (Bonferroni), stays within that. So, with probability
-1 - ERROR, no stratum loses more than RISK of its good texts. Of certified cutoffs the one that rejects most bad texts is
-taken, if it rejects bad texts at GAIN times the rate of good ones; else the measure rejects nothing there.
+Measures of a text are compared with cutoffs, stratum by stratum (by number of words). Labelled texts whose crc32 of the
+id as text leaves 2 when divided by 4 are held out. The other labelled texts lay a path of ever stricter rules: at each of
+LEVELS every measure's cutoff is the strictest candidate that rejects at most that share of their good texts, if it
+rejects bad ones at GAIN times the rate of good ones. A rule (all measures of a level together) is certified if the exact
+binomial (Clopper-Pearson) upper bound of the share of good held-out texts it rejects, at ERROR over the number of strata
+and levels (Bonferroni), is within RISK. So, with probability 1 - ERROR, no stratum loses more than RISK of its good
+texts. Of certified rules the one that rejects most bad held-out texts is taken.
 
 Results for odd input: null and empty texts have no words and fail the base rule; without labels, or with too few to
-certify a cutoff, only the base rule rejects; null labels are no labels, a doc_id that repeats in labels takes its largest;
+certify a rule, only the base rule rejects; null labels are no labels, a doc_id that repeats in labels takes its largest;
 repeated documents are measured each; a null doc_id has no label; other columns are left aside.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import cut, whole_docs
 
 RISK, ERROR, GAIN = 0.02, 0.05, 3.0
+#: Shares of good texts that one measure may reject where the rules are laid out.
+LEVELS = (0.0, 0.0003, 0.0006, 0.001, 0.0015, 0.002, 0.003, 0.004, 0.006, 0.01)
 #: Candidate cutoffs of each measure, all of which are shares or mean lengths; "over" rejects above, "under" below.
 STEPS = 40
 MEASURES = {
@@ -38,7 +40,6 @@ MEASURES = {
 }
 #: Strata: texts of at least so many words.
 STRATA = [0, 100, 300, 1000]
-SYMBOLS = re.compile(r"[#*$%&|<>]")
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 
 
@@ -107,33 +108,55 @@ def stratum() -> Column:
     return sum((F.col("n_words") >= s).cast("int") for s in STRATA[1:])
 
 
-def cutoffs(rows: DataFrame, risk: float = RISK, error: float = ERROR) -> list[tuple[int, str, float]]:
-    """(stratum, measure, cutoff) chosen on labelled rows (counts, quality) that pass the base rule.
+def past(side: str, value: Column, cutoff: float) -> Column:
+    return value > cutoff if side == "over" else value < cutoff
 
-    Of the rows a count for each stratum, measure, candidate and label meets in the driver, a number fixed above.
+
+def paths(rows: DataFrame) -> dict[tuple[int, str], list[float | None]]:
+    """For each stratum and measure the cutoff at each of LEVELS (None: rejects nothing), from labelled rows (counts, quality).
+
+    The driver meets one count for each stratum, label, measure and number of candidates passed, a number fixed above.
     """
-    beyond = []
-    for side, value, steps in MEASURES.values():
-        v = F.expr(value)
-        beyond.append(sum(((v > s) if side == "over" else (v < s)).cast("int") for s in steps))
-    table = rows.select(stratum().alias("stratum"), "quality", *(b.alias(f"m{i}") for i, b in enumerate(beyond)))
-    stacked = table.select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(i).alias("measure"), F.col(f"m{i}").alias("passed")) for i in range(len(MEASURES))))).alias("x"))
-    seen = stacked.groupBy("stratum", "quality", "x.measure", "x.passed").count().collect()
-    tests = len(STRATA) * sum(len(m[2]) for m in MEASURES.values())
-    out = []
+    passed = [sum(past(side, F.expr(value), s).cast("int") for s in steps) for side, value, steps in MEASURES.values()]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("measure"), p.alias("passed")) for i, p in enumerate(passed)))).alias("x")
+    seen = rows.select(stratum().alias("stratum"), "quality", each).groupBy("stratum", "quality", "x.measure", "x.passed").count().collect()
+    out = {}
     for s in range(len(STRATA)):
         for i, (name, (side, _, steps)) in enumerate(MEASURES.items()):
-            mine = [r for r in seen if r["stratum"] == s and r["measure"] == i]
-            n, bad = (sum(r["count"] for r in mine if r["quality"] == q) for q in (1, 0))
-            best = None
-            for j, step in enumerate(steps):
-                # rows beyond the j-th candidate have passed more than j candidates (fewer for "under")
-                over = (lambda r: r["passed"] > j) if side == "over" else (lambda r: r["passed"] >= len(steps) - j)
-                k, hit = (sum(r["count"] for r in mine if r["quality"] == q and over(r)) for q in (1, 0))
-                if certified(k, n, risk / len(MEASURES), error / tests) and hit * n >= GAIN * k * bad and hit:
-                    best = max(best or (0, 0, 0.0), (hit, -k, step))
-            if best:
-                out.append((s, name, best[2]))
+            counts = {q: [0] * (STEPS + 1) for q in (0, 1)}
+            for r in seen:
+                if r["stratum"] == s and r["measure"] == i:
+                    counts[r["quality"]][r["passed"]] += r["count"]
+            ordered = sorted(steps, reverse=side == "over")  # strictest last; the m-th rejects rows that passed STEPS - m or more
+            lost, hit = ([sum(counts[q][STEPS - m :]) for m in range(STEPS)] for q in (1, 0))
+            n, bad = sum(counts[1]), sum(counts[0])
+            useful = [m for m in range(STEPS) if hit[m] and hit[m] * n >= GAIN * lost[m] * bad]
+            out[s, name] = [ordered[max(fit)] if (fit := [m for m in useful if lost[m] <= level * n]) else None for level in LEVELS]
+    return out
+
+
+def cutoffs(training: DataFrame, holdout: DataFrame, risk: float = RISK, error: float = ERROR) -> list[tuple[int, str, float]]:
+    """(stratum, measure, cutoff) of the rule certified for each stratum; both tables: counts and quality of labelled rows."""
+    path = paths(training)
+    level = F.lit(len(LEVELS))  # of the first rule that rejects a row; later ones reject it too
+    for j in reversed(range(len(LEVELS))):
+        fails = F.lit(False)
+        for (s, name), steps in path.items():
+            if steps[j] is not None:
+                side, value, _ = MEASURES[name]
+                fails = fails | ((stratum() == s) & past(side, F.expr(value), steps[j]))
+        level = F.when(fails, j).otherwise(level)
+    seen = holdout.select(stratum().alias("stratum"), "quality", level.alias("level")).groupBy("stratum", "quality", "level").count().collect()
+    tests, out = len(STRATA) * len(LEVELS), []
+    for s in range(len(STRATA)):
+        mine = [r for r in seen if r["stratum"] == s]
+        n, best = sum(r["count"] for r in mine if r["quality"] == 1), None
+        for j in range(len(LEVELS)):
+            k, hit = (sum(r["count"] for r in mine if r["quality"] == q and r["level"] <= j) for q in (1, 0))
+            if hit and certified(k, n, risk, error / tests):
+                best = max(best or (0, 0, 0), (hit, -k, j))
+        if best:
+            out += [(s, name, steps[best[2]]) for (t, name), steps in path.items() if t == s and steps[best[2]] is not None]
     return out
 
 
@@ -141,10 +164,10 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float
     """doc_id, the counts, base_failed and kept of every text."""
     rows = cut(measured(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = cutoffs(rows.where(held_out(F.col("doc_id")) & ~base_failed()).join(known, "doc_id"), risk, error)
+    labelled = cut(rows.where(~base_failed()).join(known, "doc_id"))
+    chosen = cutoffs(labelled.where(~held_out(F.col("doc_id"))), labelled.where(held_out(F.col("doc_id"))), risk, error)
     rejected = F.lit(False)
     for s, name, cutoff in chosen:
         side, value, _ = MEASURES[name]
-        v = F.expr(value)
-        rejected = rejected | ((stratum() == s) & ((v > cutoff) if side == "over" else (v < cutoff)))
+        rejected = rejected | ((stratum() == s) & past(side, F.expr(value), cutoff))
     return rows.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
