@@ -112,12 +112,17 @@ def past(side: str, value: Column, cutoff: float) -> Column:
     return value > cutoff if side == "over" else value < cutoff
 
 
+def beyond(side: str, value: str, cutoffs: Column) -> Column:
+    """How many of an array of cutoffs a measure is past."""
+    return F.size(F.filter(cutoffs, lambda c: past(side, F.expr(value), c)))
+
+
 def paths(rows: DataFrame) -> dict[tuple[int, str], list[float | None]]:
     """For each stratum and measure the cutoff at each of LEVELS (None: rejects nothing), from labelled rows (counts, quality).
 
     The driver meets one count for each stratum, label, measure and number of candidates passed, a number fixed above.
     """
-    passed = [sum(past(side, F.expr(value), s).cast("int") for s in steps) for side, value, steps in MEASURES.values()]
+    passed = [beyond(side, value, F.array(*map(F.lit, steps))) for side, value, steps in MEASURES.values()]
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("measure"), p.alias("passed")) for i, p in enumerate(passed)))).alias("x")
     seen = rows.select(stratum().alias("stratum"), "quality", each).groupBy("stratum", "quality", "x.measure", "x.passed").count().collect()
     out = {}
@@ -138,14 +143,12 @@ def paths(rows: DataFrame) -> dict[tuple[int, str], list[float | None]]:
 def cutoffs(training: DataFrame, holdout: DataFrame, risk: float = RISK, error: float = ERROR) -> list[tuple[int, str, float]]:
     """(stratum, measure, cutoff) of the rule certified for each stratum; both tables: counts and quality of labelled rows."""
     path = paths(training)
-    level = F.lit(len(LEVELS))  # of the first rule that rejects a row; later ones reject it too
-    for j in reversed(range(len(LEVELS))):
-        fails = F.lit(False)
-        for (s, name), steps in path.items():
-            if steps[j] is not None:
-                side, value, _ = MEASURES[name]
-                fails = fails | ((stratum() == s) & past(side, F.expr(value), steps[j]))
-        level = F.when(fails, j).otherwise(level)
+    failed = []  # rules by which a measure rejects a row, always the last ones
+    for name, (side, value, _) in MEASURES.items():
+        never = math.inf if side == "over" else -math.inf
+        by_stratum = F.array(*(F.array(*(F.lit(never if c is None else c) for c in path[s, name])) for s in range(len(STRATA))))
+        failed.append(beyond(side, value, F.get(by_stratum, stratum())))
+    level = F.lit(len(LEVELS)) - F.greatest(*failed)  # of the first rule that rejects a row
     seen = holdout.select(stratum().alias("stratum"), "quality", level.alias("level")).groupBy("stratum", "quality", "level").count().collect()
     tests, out = len(STRATA) * len(LEVELS), []
     for s in range(len(STRATA)):
