@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, which bounds a worker's memory (one longer text is a slice by itself).
 SLICE_BYTES = 1 << 20
+#: Spark sends rows to a worker in batches of about so many bytes, which bounds the buffers on both sides.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's batches bounded by BATCH_BYTES unless the session has set a bound itself."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, "") == SPARKS_OWN:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
 
 
 def shared_folder(spark) -> str:
@@ -39,6 +50,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
@@ -63,10 +75,10 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 def whole_docs(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: other columns, whatever their names, can't clash with an operator's own."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def carried(docs: DataFrame, keep: list[str]) -> DataFrame:
     """doc_id, text, and the columns `keep` as one struct `rest`, whose field names can't clash with an operator's."""
     rest = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
