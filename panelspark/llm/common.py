@@ -21,7 +21,7 @@ BATCH_SETTING, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with its session's batches bounded by BATCH_BYTES unless the session has set a bound itself."""
     conf = df.sparkSession.conf
-    if conf.get(BATCH_SETTING, "") == SPARKS_OWN:
+    if conf.get(BATCH_SETTING) == SPARKS_OWN:
         conf.set(BATCH_SETTING, BATCH_BYTES)
     return df
 
