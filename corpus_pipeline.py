@@ -41,9 +41,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long strings that stand earlier already go; a document of which no word is left goes."""
-    left = suffixes.removed(docs, REST)
-    # a string may end within a character, whose other bytes then go as well
-    return documents(left.withColumn("text", suffixes.readable(F.col("kept")))).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    left = suffixes.removed(docs, REST, as_text=True)
+    return documents(left.withColumnRenamed("kept", "text")).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

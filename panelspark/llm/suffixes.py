@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -252,8 +251,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     return spans.unionByName(whole).unionByName(apart)
 
 
-def removed(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), and the columns `keep` as struct rest."""
+def removed(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), and the columns `keep` as struct rest.
+
+    as_text: kept as a string, without bytes that are no characters any more (a span may begin or end within one).
+    """
     docs = carried(docs, keep or [])
     kind = dict(docs.dtypes)["rest"]
     spans = repeated(docs.select("doc_id", "text"), length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "other")
@@ -270,21 +272,11 @@ def removed(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH
                     _, start, end = merged(np.zeros((start < end).sum(), np.int64), start[start < end], end[start < end])
                 edges = [0, *np.column_stack([start, end]).reshape(-1).tolist(), len(raw)]
                 left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                kept.append(left)
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 sizes.append(len(raw))
                 lost.append(len(raw) - len(left))
                 count.append(len(start))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, lost, count)), pa.array(kept, pa.binary()), batch.column("rest")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, lost, count)), pa.array(kept, pa.string() if as_text else pa.binary()), batch.column("rest")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
     joined = docs.join(spans, same(F.col("doc_id"), F.col("other")), "left").drop("other")
-    return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {kind}")
-
-
-def readable(kept):
-    """A binary column as text, without bytes that are no characters any more."""
-
-    @F.pandas_udf("string")
-    def text(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return text(kept)
+    return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, rest {kind}")
