@@ -31,6 +31,8 @@ from panelspark.llm.common import carried, cut, mix, same, slices
 from panelspark.llm.minhash import byte_values, powers
 
 LENGTH, GRAM = 100, 32
+#: Contexts of one bucket that a worker holds to tell their strings apart itself.
+HELD = 10_000
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 
@@ -190,18 +192,44 @@ def contexts(edges: DataFrame, length: int) -> DataFrame:
     return edges.mapInArrow(run, "bucket long, doc_id long, a long, raw binary")
 
 
-def told_apart(rows: DataFrame, length: int) -> DataFrame:
+def bucketwise(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[pa.RecordBatch, int | None]]:
+    """Rows sorted by bucket as whole buckets; one of more than `held` rows comes in parts, its name beside each of them."""
+    kept: list[pa.RecordBatch] = []  # of the last bucket, which may go on
+    rows, split = 0, None
+
+    def joined(parts: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int | None]]:
+        for whole in pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else ():
+            if whole.num_rows:
+                yield whole, split
+
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch.column("bucket").to_numpy()
+        if bucket[0] != name or bucket[-1] != name:
+            last = int(np.searchsorted(bucket, bucket[-1]))
+            yield from joined([*kept, batch.slice(0, last)])
+            name, split, kept, rows = bucket[-1], None, [batch.slice(last)], batch.num_rows - last
+        else:
+            kept, rows = [*kept, batch], rows + batch.num_rows
+        if rows > held:
+            split = name
+            yield from joined(kept)
+            kept, rows = [], 0
+    yield from joined(kept)
+
+
+def told_apart(rows: DataFrame, length: int, held: int = HELD) -> DataFrame:
     """Single strings of contexts, taken bucket by bucket: part null with spans, or part and rest, its hashes, with a the start.
 
-    Buckets that lie within one Arrow batch are settled there. Of one that reaches over its ends (so of every large one)
-    the earliest strings of the batch go on, to be settled string by string over all batches.
+    Buckets of up to `held` contexts are settled whole. Of larger ones the earliest strings of each part go on, to be
+    settled string by string over all parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, split in bucketwise(batches, held):
             raw, bucket, a = batch.column("raw"), batch.column("bucket").to_numpy(), batch.column("a").to_numpy()
-            if not len(a):
-                continue
             to = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(a) + 1].astype(np.int64)
             code = np.frombuffer(raw.buffers()[2], np.uint8)[to[0] : to[-1]]
             to = to - to[0]
@@ -219,7 +247,7 @@ def told_apart(rows: DataFrame, length: int) -> DataFrame:
             some = np.zeros(rank.max() + 1, np.int64)
             some[rank] = np.arange(len(a))
             doc, begin, end = merged(rank[row[~stays]], start[~stays], start[~stays] + length)
-            on = stays & ((bucket == bucket[0]) | (bucket == bucket[-1]))[row]
+            on = stays & (bucket == split)[row] if split is not None else np.zeros(len(stays), bool)
             m, k = int(on.sum()), len(doc)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -234,7 +262,7 @@ def told_apart(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "part long, rest long, doc_id long, a long, b long")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int = HELD) -> DataFrame:
     """Spans (doc_id, start, end) of docs (doc_id, text) to be removed; they may overlap."""
     bucket, rank = Window.partitionBy("bucket"), Window.partitionBy("bucket", "context").orderBy("doc_id", "a")
     found = sampled(docs, length, gram).withColumn("low", F.min("context").over(bucket)).withColumn("high", F.max("context").over(bucket))
@@ -244,7 +272,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     first, last = (F.shiftright("a", 14) - F.expr(e) for e in ("shiftright(a, 7) & 127", "a & 127"))
     whole = found.where("not span and nth > 1").select("doc_id", first.alias("start"), (last + length).alias("end"))
     edges = found.where("not span and nth = 1").groupBy("doc_id").agg(F.collect_list(F.struct("a", "bucket")).alias("places")).withColumnRenamed("doc_id", "other")
-    strings = told_apart(contexts(docs.select("doc_id", "text").join(edges, same(F.col("doc_id"), F.col("other"))).drop("other"), length), length)
+    strings = told_apart(contexts(docs.select("doc_id", "text").join(edges, same(F.col("doc_id"), F.col("other"))).drop("other"), length), length, held)
     nth = F.rank().over(Window.partitionBy("rest", "part").orderBy("doc_id", "a"))
     apart = strings.withColumn("nth", nth).where("part is null or nth > 1")
     apart = apart.select("doc_id", F.col("a").alias("start"), F.when(F.col("part").isNull(), F.col("b")).otherwise(F.col("a") + length).alias("end"))

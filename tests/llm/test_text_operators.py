@@ -313,3 +313,23 @@ def test_licenses_and_inheritance(spark):
         "a/b/c/d/z": (None, "MIT", "a/b/c"), "e/f": (None, None, None), None: ("Proprietary", "Proprietary", None), "g": (None, None, None),
     }
     assert licenses.scanned(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_large_buckets_come_in_parts(spark):
+    rng = np.random.default_rng(3)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh "), size=n))
+    common, sides = noise(70), [noise(90) for _ in range(8)]
+    rows = [(i, sides[rng.integers(8)][-int(rng.integers(20, 90)) :] + common + sides[rng.integers(8)][: int(rng.integers(20, 90))] + noise(40)) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+
+    def gone(held):
+        return {(r["doc_id"], x) for r in suffixes.repeated(docs, held=held).collect() for x in range(r["start"], r["end"])}
+
+    seen, wanted = set(), set()
+    for i, t in rows:
+        for x in range(len(t) - suffixes.LENGTH + 1):
+            part = t[x : x + suffixes.LENGTH]
+            if part in seen:
+                wanted |= {(i, y) for y in range(x, x + suffixes.LENGTH)}
+            seen.add(part)
+    assert wanted and gone(10_000) == gone(7) == gone(0) == wanted
