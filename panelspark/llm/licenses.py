@@ -1,10 +1,11 @@
 """License scan: cosine of lines' sparse TF-IDF vectors to license notices, then inheritance along directories.
 
-Every line of a text is a candidate header if it has a term of the templates that few texts have (KEY); its TF-IDF vector
-is compared with each template's, terms outside the templates weigh as terms seen once. The best template at
-or above NEAR is the line's license, the best line gives the file's own. A license file is one named so, or whose
-license lines are at least half of its words; it licenses its directory. Files without a license of their own inherit
-from the nearest directory above them that has one, found by joining every ancestor path.
+Every line of a text that shares a term with the notices is a candidate header, however common the term is; its TF-IDF
+vector is compared with each notice's, terms outside the notices weigh as terms seen once. The best notice at or above
+NEAR is the line's license, the best line gives the file's own. A whole text is compared as one vector with the whole
+texts of licenses as well; at or above NEAR_TEXT the best of these goes before the lines. A license file is such a text,
+one named so, or one whose license lines are at least half of its words; it licenses its directory. Files without a
+license of their own inherit from the nearest directory above them that has one, found by joining every ancestor path.
 
 Results for odd input: null and empty texts have no license of their own; a null path has no directory and inherits
 nothing; of several license files in a directory the one with the highest cosine counts, then the first by name; rows
@@ -17,14 +18,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import small_batches
+from panelspark.llm.common import cut, small_batches
 
-NEAR, KEY = 0.5, 0.05
+NEAR, NEAR_TEXT = 0.5, 0.8
 # Usual notices by SPDX name.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
@@ -48,7 +50,15 @@ def terms(line: str) -> Counter:
     return Counter(TERM.findall(line.lower()))
 
 
-VOCABULARY = sorted({t for lines in TEMPLATES.values() for x in lines for t in terms(x)})
+#: Licenses whose whole text is in license_texts; the others' are not at hand.
+WHOLE = {p.stem: [p.read_text()] for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def vocabulary(templates: dict[str, list[str]]) -> list[str]:
+    return sorted({t for texts in templates.values() for x in texts for t in terms(x)})
+
+
+VOCABULARY = sorted({*vocabulary(TEMPLATES), *vocabulary(WHOLE)})
 
 
 def frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
@@ -67,15 +77,15 @@ def frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
 
 
 class Scorer:
-    """Cosines of lines to the templates."""
+    """Cosines of texts or lines to templates."""
 
-    def __init__(self, total: int, df: dict[str, int]):
-        self.idf = {t: 1 + math.log((1 + total) / (1 + df.get(t, 0))) for t in VOCABULARY}
+    def __init__(self, total: int, df: dict[str, int], templates: dict[str, list[str]], near: float):
+        self.near = near
+        self.idf = {t: 1 + math.log((1 + total) / (1 + df.get(t, 0))) for t in vocabulary(templates)}
         self.rare = 1 + math.log((1 + total) / 2)
-        self.key = {t for t in VOCABULARY if df.get(t, 0) <= KEY * total}
         self.names, self.vectors = [], []
-        for name, lines in TEMPLATES.items():
-            for x in lines:
+        for name, texts in templates.items():
+            for x in texts:
                 self.names.append(name)
                 self.vectors.append(self.unit(terms(x)))
 
@@ -84,13 +94,18 @@ class Scorer:
         length = math.sqrt(sum(w * w for w in weight.values()))
         return {t: w / length for t, w in weight.items()}
 
-    def best(self, line: str) -> tuple[float, str] | None:
-        counts = terms(line)
-        if not self.key.intersection(counts):
+    def best(self, counts: Counter) -> tuple[float, str] | None:
+        shared = self.idf.keys() & counts.keys()
+        if not shared:
+            return None
+        # no cosine is above the share of the length that the shared terms make up
+        inside = sum((counts[t] * self.idf[t]) ** 2 for t in shared)
+        outside = self.rare**2 * (sum(n * n for n in counts.values()) - sum(counts[t] ** 2 for t in shared))
+        if inside < (self.near**2 - 1e-9) * (inside + outside):
             return None
         own = self.unit(counts)
         score, name = max((sum(w * own.get(t, 0.0) for t, w in v.items()), n) for n, v in zip(self.names, self.vectors, strict=True))
-        return (round(score, 9), name) if score >= NEAR else None
+        return (round(score, 9), name) if score >= self.near else None
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
@@ -98,20 +113,22 @@ def own_licenses(files: DataFrame) -> DataFrame:
     total, df = frequencies(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(total, df)
-        keys = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(scorer.key, key=len, reverse=True))) + r")(?![^\W_])") if scorer.key else None
+        headers, bodies = Scorer(total, df, TEMPLATES, NEAR), Scorer(total, df, WHOLE, NEAR_TEXT)
         for batch in batches:
             names, scores, whole = [], [], []
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found, covered = None, 0
-                if keys and text and keys.search(text.lower()):
-                    for line in text.split("\n"):
-                        if hit := scorer.best(line):
-                            covered += len(line.split())
-                            found = max(found or hit, hit)
+                found, covered, all_terms = None, 0, Counter()
+                for line in (text or "").split("\n"):
+                    counts = terms(line)
+                    all_terms.update(counts)
+                    if hit := headers.best(counts):
+                        covered += len(line.split())
+                        found = max(found or hit, hit)
+                body = bodies.best(all_terms)
+                found = body or found
                 names.append(found[1] if found else None)
                 scores.append(found[0] if found else 0.0)
-                whole.append(bool(found) and (bool(NAMED.search(path or "")) or 2 * covered >= len(text.split())))
+                whole.append(bool(body) or bool(found) and (bool(NAMED.search(path or "")) or 2 * covered >= len(text.split())))
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(whole)], ["path", "own", "score", "license_file"])
 
     return files.select("path", "text").mapInArrow(run, "path string, own string, score double, license_file boolean")
@@ -120,7 +137,7 @@ def own_licenses(files: DataFrame) -> DataFrame:
 def scanned(files: DataFrame) -> DataFrame:
     """path, own, score, license_file, license (own or inherited) and from_directory of every row of files (path, text)."""
     files = small_batches(files).select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    rows = own_licenses(files).withColumn("directory", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    rows = cut(own_licenses(files)).withColumn("directory", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     licensed = rows.where("license_file and path is not null").groupBy("directory").agg(F.min_by("own", F.struct((-F.col("score")).alias("s"), "path")).alias("given")).withColumnRenamed("directory", "above")
     # ancestors only of directories that need one, each once
     lacking = rows.where("own is null and path is not null").select("directory").distinct()

@@ -315,6 +315,17 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scanned(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_common_licenses_and_whole_texts(spark):
+    """A notice that a third of many files has, and a license file of the license's text alone."""
+    files = [(f"p{i % 10}/{i}", "alpha beta\nLicensed under the Apache License, Version 2.0.\ngamma" if i % 3 == 0 else f"all of the work is alpha {i}") for i in range(300)]
+    mit = re.sub("(?s)^.*?(?=Permission)", "Copyright (c) 1999 Somebody Else\n\n", licenses.WHOLE["MIT"][0])
+    files += [("q/LICENSE", mit), ("q/x", "alpha beta"), ("r/text", licenses.WHOLE["GPL-2.0"][0]), ("r/y", "alpha beta")]
+    got = {r["path"]: (r["own"], r["license"], r["license_file"]) for r in licenses.scanned(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert all(got[p][0] == ("Apache-2.0" if "Apache" in t else None) for p, t in files[:300])
+    assert got["q/LICENSE"] == ("MIT", "MIT", True) and got["q/x"] == (None, "MIT", False)
+    assert got["r/text"] == ("GPL-2.0", "GPL-2.0", True) and got["r/y"] == (None, "GPL-2.0", False)
+
+
 def test_large_buckets_come_in_parts(spark):
     rng = np.random.default_rng(3)
     noise = lambda n: "".join(rng.choice(list("abcdefgh "), size=n))
