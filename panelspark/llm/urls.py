@@ -1,13 +1,16 @@
 """URL filter: explicit rules, and for other urls a tree of path templates per host.
 
-Segment by segment from a host's root, a path's segment is kept if at least LITERAL of the host's urls have it at that
-node of the tree, else it is variable and becomes a wildcard; what lies below DEPTH segments is one wildcard. Urls that a
-rule decides are the labels. Branches of one node (a host and all but the last segment of its templates) whose rates of
-blocked labels can't be told apart from those of their siblings (two proportions, Z standard errors) are merged with these.
-A template is rejected if its share of blocked labels, smoothed by SMOOTH labels at the overall rate, is PURITY or more.
+Segment by segment from a host's root to each path's end, a segment is kept if it surely has SHARE or more of the
+different paths at that node of the tree (its number less Z standard errors), else it is variable and becomes a wildcard.
+Shares of different paths don't change with the number of pages or with repeated ones. Paths that a rule decides are the
+labels. Branches of one node (a host and all but the last segment of its templates) whose rates of blocked labels can't
+be told apart from those of their siblings (two proportions, Z standard errors) are merged with these; a branch without
+labels can be told apart from none, so it takes the share of its merged siblings. A template is rejected if its share of
+blocked labels, smoothed by SMOOTH labels at the overall rate, is PURITY or more.
 
 Results for odd input: a null url, or one without "://", has an empty host and path and no rule, and is judged like any
-other template without labels; a null page_id stays null; repeated rows are judged alike; other columns are left aside.
+other template without labels; a branch none of whose siblings has labels is allowed; a null page_id stays null; repeated
+rows are judged alike; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from panelspark.llm.common import cut
 
 #: The rules: verdict, host, path.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-DEPTH, LITERAL = 3, 5
+SHARE = 0.05
 SMOOTH, PURITY, Z = 4, 0.8, 2
+#: Fewer paths can't surely have a share: n - Z * sqrt(n) is above 0 from here on.
+FEWEST = Z * Z + 1
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -43,38 +48,52 @@ def decided(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """urls (host, path and others) with node and template."""
-    rows = urls.withColumn("segments", F.expr("slice(split(path, '/'), 2, 1 << 30)")).withColumn("template", F.lit(""))
-    for d in range(DEPTH):
+def templates(paths: DataFrame) -> DataFrame:
+    """Different paths (host, path) with node and template."""
+    rows = cut(paths.select("host", "path", F.expr("slice(split(path, '/'), 2, 1 << 30)").alias("segments"), F.lit("").alias("template")))
+    settled = [rows.where(F.size("segments") == 0).drop("segments")]
+    rows, d = rows.where(F.size("segments") > 0), 0
+    while not rows.isEmpty():
         segment = F.get("segments", F.lit(d))
-        rows = rows.withColumn("segment", F.coalesce(segment, F.lit(""))).withColumn("node", F.col("template"))
-        often = cut(rows.where(F.col("segment") != "").groupBy("host", "node", "segment").agg(F.count("*").alias("times")).where(F.col("times") >= LITERAL).select("host", "node", "segment", F.lit(True).alias("literal")))
-        rows = rows.join(often, ["host", "node", "segment"], "left")
-        step = F.when(F.col("literal"), F.col("segment")).otherwise(F.lit("*"))
-        rows = rows.withColumn("template", F.when(F.size("segments") > d, F.concat("node", F.lit("/"), step)).otherwise(F.col("node"))).drop("literal")
-    deeper = F.size("segments") > DEPTH
-    rows = rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/*"))).otherwise(F.col("template")))
-    return rows.withColumn("node", F.regexp_extract("template", "^(.*)/[^/]*$", 1)).drop("segments", "segment")
-
-
-def purity(labelled: DataFrame) -> DataFrame:
-    """For each labelled template whether it is rejected; labelled: host, node, template, verdict."""
-    bad = F.sum((F.col("verdict") == "block").cast("long"))
-    each = labelled.groupBy("host", "node", "template").agg(F.count("*").alias("n"), bad.alias("b"))
+        counts = cut(rows.groupBy("host", "template", segment.alias("segment")).agg(F.count("*").alias("n")))
+        # below a node of fewer paths every segment is variable, however deep
+        nodes = counts.groupBy("host", "template").agg(F.sum("n").alias("all")).where(F.col("all") >= FEWEST)
+        sure = F.col("n") - Z * F.sqrt("n") >= SHARE * F.col("all")
+        often = counts.where((F.col("segment") != "") & (F.col("n") >= FEWEST)).join(nodes, ["host", "template"]).where(sure)
+        often = often.groupBy("host", "template").agg(F.collect_set("segment").alias("literals"))  # fewer than 1 / SHARE
+        known = cut(nodes.join(often, ["host", "template"], "left").select("host", "template", F.coalesce("literals", F.array().cast("array<string>")).alias("literals")))
+        step = F.when(F.array_contains("literals", segment), segment).otherwise(F.lit("*"))
+        rest = F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - d))
+        longer = F.when(F.col("literals").isNull(), rest).otherwise(F.concat("template", F.lit("/"), step))
+        d += 1
+        done = F.col("literals").isNull() | (F.size("segments") == d)
+        rows = cut(rows.join(known, ["host", "template"], "left").select("host", "path", "segments", longer.alias("template"), done.alias("done")))
+        settled.append(rows.where("done").select("host", "path", "template"))
+        rows = rows.where("not done").drop("done")
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("node", F.regexp_extract("template", "^(.*)/[^/]*$", 1))
+
+
+def purity(paths: DataFrame) -> DataFrame:
+    """For each template whether it is rejected; paths: host, node, template, verdict (null without a label)."""
+    bad = F.coalesce(F.sum((F.col("verdict") == "block").cast("long")), F.lit(0))
+    each = cut(paths.groupBy("host", "node", "template").agg(F.count("verdict").alias("n"), bad.alias("b")))
     siblings = each.groupBy("host", "node").agg(F.sum("n").alias("n_all"), F.sum("b").alias("b_all"))
     overall = each.agg(F.sum("b").alias("b_total"), F.sum("n").alias("n_total"))  # one row
     rows = each.join(siblings, ["host", "node"])
     n2, b2 = F.col("n_all") - F.col("n"), F.col("b_all") - F.col("b")
-    p = F.col("b_all") / F.col("n_all")
+    p = F.when(F.col("n_all") > 0, F.col("b_all") / F.col("n_all")).otherwise(0.0)
     gap = F.abs(F.col("b") * n2 - b2 * F.col("n"))  # difference of the shares times n * n2
-    alike = (n2 > 0) & (gap * gap <= Z * Z * p * (1 - p) * F.col("n") * n2 * F.col("n_all"))
+    alike = gap * gap <= Z * Z * p * (1 - p) * F.col("n") * n2 * F.col("n_all")  # so is a branch without labels or one alone
     rows = rows.withColumn("alike", alike)
     pooled = rows.where("alike").groupBy("host", "node").agg(F.sum("n").alias("n_like"), F.sum("b").alias("b_like"))
     rows = rows.join(pooled, ["host", "node"], "left").crossJoin(F.broadcast(overall))
     n, b = (F.when(F.col("alike"), F.col(f"{c}_like")).otherwise(F.col(c)) for c in "nb")
-    share = (b + SMOOTH * F.col("b_total") / F.col("n_total")) / (n + SMOOTH)
-    return rows.select("host", "node", "template", (share >= PURITY).alias("rejected"))
+    rate = F.when(F.col("n_total") > 0, F.col("b_total") / F.col("n_total")).otherwise(0.0)
+    share = (b + SMOOTH * rate) / (n + SMOOTH)
+    return rows.select("host", "node", "template", ((n > 0) & (share >= PURITY)).alias("rejected"))
 
 
 def judged(pages: DataFrame) -> DataFrame:
@@ -82,8 +101,8 @@ def judged(pages: DataFrame) -> DataFrame:
     host, path = parts(F.col("url").cast("string"))
     urls = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = decided(F.col("host"), F.col("path"))
-    rows = cut(templates(urls).withColumn("rule", rule).withColumn("verdict", verdict))
-    known = cut(purity(rows.where("verdict is not null")))
-    out = rows.join(known, ["host", "node", "template"], "left")
-    own = F.when(F.coalesce("rejected", F.lit(False)), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "template")
+    paths = cut(templates(urls.select("host", "path").distinct()).withColumn("rule", rule).withColumn("verdict", verdict))
+    known = cut(purity(paths))
+    own = F.when(F.col("rejected"), "block").otherwise("allow")
+    told = cut(paths.join(known, ["host", "node", "template"]).select("host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "template"))
+    return urls.join(told, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "template")

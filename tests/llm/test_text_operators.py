@@ -242,6 +242,28 @@ def test_url_templates_are_rejected_by_purity(spark):
     assert found[0]["template"] == "/en/*" and found[100]["verdict"] == "allow" and found[205]["template"] == "/fr/*/x" and found[205]["verdict"] == "allow"
 
 
+def test_url_templates_hold_at_every_size(spark):
+    paths = [f"http://h.net/u/{i}/p{j}/view/{i}-{j}" for i in range(60) for j in range(7)] + [f"http://h.net/about/{'x/' * 40}{i}" for i in range(4)]
+
+    def found(times):
+        pages = spark.createDataFrame([(k, u) for k, u in enumerate(paths * times)], "page_id long, url string")
+        return {(r["path"], r["template"], r["verdict"]) for r in urls.judged(pages).collect()}
+
+    once = found(1)
+    # ids recur seven times each and stay variable; segments below the third are told apart
+    assert {t for p, t, _ in once if p.startswith("/u")} == {f"/u/*/p{j}/view/*" for j in range(7)}
+    assert {t for p, t, _ in once if p.startswith("/about")} == {"/*" * 42}
+    assert found(5) == once
+
+
+def test_url_branches_without_labels_take_their_siblings_share(spark):
+    rows = [("h", "/*", t, v) for t, v, n in (("/*/a", "block", 20), ("/*/b", "block", 20), ("/*/c", None, 3)) for _ in range(n)]
+    rows += [("i", "/*", t, v) for t, v, n in (("/*/a", "block", 20), ("/*/b", "allow", 20), ("/*/c", None, 3)) for _ in range(n)] + [("j", "/*", "/*/c", None)]
+    found = {(r["host"], r["template"]): r["rejected"] for r in urls.purity(spark.createDataFrame(rows, "host string, node string, template string, verdict string")).collect()}
+    assert [found["h", f"/*/{x}"] for x in "abc"] == [True, True, True]
+    assert [found["i", f"/*/{x}"] for x in "abc"] == [True, False, False] and found["j", "/*/c"] is False
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines, seen, dup = (text or "").split("\n"), set(), 0
