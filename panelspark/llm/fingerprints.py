@@ -1,10 +1,14 @@
 """I-Match fingerprints with randomised lexicons.
 
 The lexicon holds the terms (words in lower case, by 64-bit hash) with a document frequency from LOW documents to a share
-of HIGH. LEXICONS random subsets of it are drawn by hash, a third of them holding each 256th, 1024th and 4096th term, so
-that texts of any usual length have subsets with one or two of their terms. A text's distinct terms in each subset are
-sorted and hashed; its fingerprint is these hashes. A text without any such term has the hash of all its text instead.
-The likeness of two fingerprints is the share of equal hashes among the subsets of which either text has terms.
+of HIGH. LEXICONS random subsets of it are drawn by the hashes' bits, each holding half of the lexicon. A text's distinct
+terms in the whole lexicon and in each subset are folded to one hash by XOR; its fingerprint is these hashes. A text without any
+term of the lexicon has the hash of all its text instead. The likeness of two fingerprints is the share of equal hashes
+among those (of the lexicon and its subsets) of which either text has terms.
+
+No text is joined with the lexicon term by term: terms above HIGH are few (at most the mean number of a text's terms over
+HIGH), those of one document alone are told to it, and all other words of texts are in the lexicon. Only the up to two
+words that an edited text may have from neither document are looked up.
 
 Results for odd input: a null text counts as empty; a null doc_id comes first in order; rows that repeat both doc_id and
 text are one document and get the same result; the document after the last is the first, which may be itself; an empty
@@ -19,24 +23,47 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import cut, whole_docs
 
 LOW, HIGH = 2, 0.05
-GROUP, SPACE = 16, 4096
-LEXICONS = 3 * GROUP
-#: Upper ends of the three thirds' hash ranges within SPACE.
-ENDS = (SPACE // 16, SPACE // 16 + SPACE // 64, SPACE // 16 + SPACE // 64 + SPACE // 256)
+LEXICONS = 16
+NO_TERMS = "cast(array() as array<bigint>)"
+
+
+def hashed(word: Column) -> Column:
+    return F.when(word != "", F.xxhash64(word))
 
 
 def terms(text: Column) -> Column:
-    """Distinct hashes of a text's words that some random subset may hold."""
-    words = F.split(F.lower(text), "[\\x20\\x09-\\x0D]+")
-    hashed = F.transform(words, lambda w: F.when(w != "", F.xxhash64(w)))
-    return F.array_distinct(F.filter(hashed, lambda h: F.pmod(h, F.lit(SPACE)) < ENDS[-1]))
+    """Distinct hashes of a text's words."""
+    return F.array_distinct(F.array_compact(F.transform(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), hashed)))
+
+
+def first_word(text: Column) -> Column:
+    """What stands before the first blank."""
+    return F.regexp_extract(text, "^[^\\x20\\x09-\\x0D]*", 0)
+
+
+def last_word(text: Column) -> Column:
+    return F.reverse(first_word(F.reverse(text)))
+
+
+def folded(found: Column, k: int | None = None) -> Column:
+    """Distinct terms as one number, whatever their order: those of the k-th random subset, or all; 0 for none."""
+    inside = found if k is None else F.filter(found, lambda t: t.bitwiseAND(F.lit(1 << k)) != 0)
+    return F.aggregate(inside, F.lit(0).cast("long"), lambda sofar, t: sofar.bitwiseXOR(t))
+
+
+def state(found: Column) -> Column:
+    """The numbers of the lexicon and of each subset; joined() puts those of disjoint sets together."""
+    return F.array(folded(found), *(folded(found, k) for k in range(LEXICONS)))
+
+
+def joined(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
-def subset(term: Column) -> Column:
-    """The number of the random subset that holds a term."""
-    place = F.pmod(term, F.lit(SPACE))
-    third = (place >= ENDS[0]).cast("int") + (place >= ENDS[1]).cast("int")
-    return third * GROUP + F.pmod(place, F.lit(GROUP))
+def prints(parts: Column, whole: Column) -> Column:
+    """A fingerprint of the numbers that state() gives."""
+    hashes = F.transform(parts, lambda x: F.when(x != 0, F.hex(F.xxhash64(x))).otherwise(F.lit("")))
+    return F.array_join(F.when(F.get(parts, F.lit(0)) != 0, hashes).otherwise(F.array(F.hex(whole))), ".")
 
 
 def following(keys: DataFrame) -> DataFrame:
@@ -56,11 +83,11 @@ def following(keys: DataFrame) -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two fingerprints' parts (arrays; one part where no subset has a term)."""
+    """Of two fingerprints' parts (arrays; one part where the lexicon has no term)."""
     pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     some = F.size(F.filter(pairs, lambda p: (p.x != "") | (p.y != "")))
     equal = F.size(F.filter(pairs, lambda p: (p.x != "") & (p.x == p.y)))
-    return F.when(a == b, 1.0).when((F.size(a) != LEXICONS) | (F.size(b) != LEXICONS), 0.0).otherwise(equal / some)
+    return F.when(a == b, 1.0).when((F.size(a) == 1) | (F.size(b) == 1), 0.0).otherwise(equal / some)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -74,29 +101,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     order = cut(following(docs.select("doc_id", *key, F.length("text").alias("n_chars")).distinct()))
     wanted = order.select(F.col("next_m1").alias("m1"), F.col("next_m2").alias("m2"), half.alias("wanted"), F.col("m1").alias("for_m1"), F.col("m2").alias("for_m2"))
+    total = docs.count()
+    counted = cut(docs.select(*key, F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), *(F.min(m).alias(m) for m in key)))
+    often = F.col("df") > max(HIGH * total, float(LOW))
+    common = counted.where(often).agg(F.collect_list("term").alias("common"))  # one row
+    alone = cut(counted.where(F.col("df") < LOW).groupBy(*key).agg(F.collect_list("term").alias("alone")))
+    lexicon = counted.where((F.col("df") >= LOW) & ~often).select("term")
     # the lender's id is kept so that both joins need the same columns of docs, whose texts are then shuffled only once
-    lent = docs.join(wanted, key).select(F.col("for_m1").alias("m1"), F.col("for_m2").alias("m2"), F.left("text", F.col("wanted")).alias("lent"), F.col("doc_id").alias("lender")).dropDuplicates(key)
-    edited = docs.join(lent, key).withColumn("n_chars", F.length("text"))
-    edited = edited.select("doc_id", "lender", *key, F.col("n_chars").cast("long").alias("n_chars"), "text", F.concat(F.left("text", F.col("n_chars") - half), "lent").alias("edited"))
-    compact = cut(edited.select("doc_id", "lender", *key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("other"), F.xxhash64("text").alias("whole"), F.xxhash64("edited").alias("other_whole")))
-    total = compact.count()
-    lexicon = cut(compact.select(F.explode("own").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= LOW) & (F.col("df") <= F.greatest(F.lit(HIGH * total), F.lit(float(LOW))))).select("term"))
-    # each term of a row once, with 1 for its text, 2 for the edited text
-    both = F.transform(F.array_union("own", "other"), lambda t: F.struct(t.alias("term"), (F.array_contains("own", t).cast("int") + 2 * F.array_contains("other", t).cast("int")).cast("byte").alias("side")))
-    kept = compact.select(*key, F.explode(both).alias("t")).select(*key, "t.term", "t.side").join(lexicon, "term")
-    found = kept.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("term", "side"))).alias("terms"))
-
-    def prints(bit: int, whole: str) -> Column:
-        mine = F.transform(F.filter("terms", lambda t: t.side.bitwiseAND(F.lit(bit).cast("byte")) != 0), lambda t: t.term)
-        each = F.transform(F.sequence(F.lit(0), F.lit(LEXICONS - 1)), lambda k: F.filter(mine, lambda t: subset(t) == k))
-        hashes = F.transform(each, lambda ts: F.when(F.size(ts) > 0, F.hex(F.xxhash64(ts))).otherwise(F.lit("")))
-        return F.when(F.size(mine) > 0, hashes).otherwise(F.array(F.hex(F.col(whole))))
-
-    text = lambda c: F.array_join(c, ".")
-    rows = compact.drop("own", "other").join(found, key, "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<term:bigint,side:tinyint>>")))
-    rows = cut(rows.select("doc_id", *key, "n_chars", "edited_sha256", text(prints(1, "whole")).alias("own"), text(prints(2, "other_whole")).alias("other")))
-    nexts = rows.select(F.col("m1").alias("next_m1"), F.col("m2").alias("next_m2"), F.col("own").alias("next_own")).dropDuplicates(["next_m1", "next_m2"])
-    after = order.select(*key, "next_m1", "next_m2").join(nexts, ["next_m1", "next_m2"]).select(*key, "next_own")
-    rows = rows.join(after, key)
+    lent = docs.join(wanted, key).join(alone, key, "left").select(F.col("for_m1").alias("m1"), F.col("for_m2").alias("m2"), F.left("text", F.col("wanted")).alias("lent"), F.col("doc_id").alias("lender"), F.col("alone").alias("lender_alone")).dropDuplicates(key)
+    edited = docs.join(lent, key).join(alone, key, "left").crossJoin(F.broadcast(common)).withColumn("n_chars", F.length("text")).withColumn("left", F.left("text", F.col("n_chars") - half))
+    edited = edited.withColumn("edited", F.concat("left", "lent")).withColumn("common", F.concat("common", F.coalesce("alone", F.expr(NO_TERMS))))
+    seams = F.array_distinct(F.array_compact(F.array(hashed(F.lower(F.concat(last_word(F.col("left")), first_word(F.col("lent"))))), hashed(F.lower(last_word(F.col("edited")))))))
+    edited = edited.withColumn("seams", seams).withColumn("own", F.array_except(terms(F.col("text")), "common"))
+    edited = edited.withColumn("other", F.array_except(terms(F.col("edited")), F.concat("common", F.coalesce("lender_alone", F.expr(NO_TERMS)), "seams")))
+    edited = edited.select("doc_id", "lender", *key, F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), state(F.col("own")).alias("own"), F.xxhash64("text").alias("whole"), state(F.col("other")).alias("other"), "seams", F.xxhash64("edited").alias("other_whole"))
+    compact = cut(edited)
+    found = compact.select(*key, F.explode("seams").alias("term")).join(lexicon, "term").groupBy(*key).agg(F.collect_set("term").alias("known"))
+    both = joined(F.col("other"), state(F.coalesce("known", F.expr(NO_TERMS))))
+    # numbers up to the last step, as fingerprints in print take twice the room on disk
+    rows = cut(compact.join(found, key, "left").select("doc_id", *key, "n_chars", "edited_sha256", "own", "whole", both.alias("other"), "other_whole"))
+    nexts = rows.select(F.col("m1").alias("next_m1"), F.col("m2").alias("next_m2"), F.col("own").alias("next_own"), F.col("whole").alias("next_whole")).dropDuplicates(["next_m1", "next_m2"])
+    after = order.select(*key, "next_m1", "next_m2").join(nexts, ["next_m1", "next_m2"]).select(*key, "next_own", "next_whole")
+    rows = rows.join(after, key).select("doc_id", "n_chars", "edited_sha256", *(prints(F.col(a), F.col(b)).alias(a) for a, b in (("own", "whole"), ("other", "other_whole"), ("next_own", "next_whole"))))
     parts = lambda c: F.split(c, "[.]")
     return rows.select("doc_id", "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("other").alias("edited_fingerprint"), likeness(parts("own"), parts("other")).alias("near_edited"), likeness(parts("own"), parts("next_own")).alias("near_next"))

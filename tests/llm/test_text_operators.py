@@ -1,5 +1,6 @@
 """The operators against brute force on small fixtures, with nulls, empty and repeated rows, and clashing columns."""
 
+import collections
 import hashlib
 import itertools
 import re
@@ -323,6 +324,25 @@ def test_fingerprints(spark, docs):
     assert fingerprints.fingerprints(empty(spark)).count() == 0
 
 
+def test_fingerprints_hold_every_term_of_the_lexicon(spark):
+    """Texts share a fingerprint just if they have the same terms of the lexicon, edited ones included."""
+    rows = sorted((i, t) for i, t in corpus(n=60) if i is not None and i < 60) + [(60 + i, f"{WORDS[i]} only{i}") for i in range(10)] + [(80 + i, f"{WORDS[i // 2]}{i // 2} {WORDS[i // 2]}x") for i in range(16)]
+    words = [{w for w in re.split(r"[ \t-\r]+", t.lower()) if w} for _, t in rows]
+    df = collections.Counter(w for ws in words for w in ws)
+    lexicon = {w for w, n in df.items() if 2 <= n <= max(2, fingerprints.HIGH * len(rows))}
+    assert len(lexicon) > 10
+    by = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+    groups = {}
+    for k, (i, a) in enumerate(rows):
+        b = rows[(k + 1) % len(rows)][1]
+        edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        for t, got in ((a, by[i]["fingerprint"]), (edited, by[i]["edited_fingerprint"])):
+            band = frozenset(set(re.split(r"[ \t-\r]+", t.lower())) & lexicon)
+            groups.setdefault(band or t, set()).add(got)
+            assert (got.count(".") == fingerprints.LEXICONS) == bool(band)
+    assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+
+
 def test_licenses_and_inheritance(spark):
     files = [
         ("a/LICENSE", "This work is licensed under the GNU General Public License, version 3."), ("a/b/x.py", "alpha beta"), ("a/b/y.py", "Licensed under the Apache License, Version 2.0.\nalpha beta gamma delta epsilon zeta eta theta iota"),
