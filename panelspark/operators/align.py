@@ -118,15 +118,21 @@ def shares(df: DataFrame, weight: str, by: str | list[str]) -> DataFrame:
     return df.withColumn(weight, F.col(weight) / F.nullif(F.sum(weight).over(Window.partitionBy(*([by] if isinstance(by, str) else by))), F.lit(0.0)))
 
 
-def ancestors(tree: DataFrame, node: str, parent: str, levels: int = 16) -> DataFrame:
-    """Every node with each of its ancestors and the distance, by joining one level at a time up to the root."""
-    step = tree.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).where("ancestor is not null")
-    found, front, depth = None, step.withColumn("depth", F.lit(1)), 1
+def ancestors(tree: DataFrame, node: str, parent: str) -> DataFrame:
+    """Every node with each of its ancestors and the distance, by joining one level at a time up to the root.
+
+    A cycle is an error: some node of it would come to stand above itself.
+    """
+    shared = bool(tree.sparkSession.sparkContext.getCheckpointDir())
+    settle = lambda df: df.checkpoint() if shared else df.localCheckpoint()  # noqa: E731  # else each level would run all before it again
+    step = settle(tree.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).where("ancestor is not null"))
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"))
-    while depth <= levels:
-        found = front if found is None else found.unionByName(front)
+    found = front = step.withColumn("depth", F.lit(1))
+    depth = 1
+    while not front.isEmpty():
+        if not front.where(F.col("node") == F.col("ancestor")).isEmpty():
+            raise ValueError("the tree has a cycle")
         depth += 1
-        front = front.join(up, "ancestor").select("node", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth"))
-        if front.isEmpty():
-            break
+        front = settle(front.join(up, "ancestor").select("node", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth")))
+        found = found.unionByName(front)
     return found

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import dates, maths
-from panelspark.operators import calendar, cross, filters, options, portfolio, regress, rolling
+from panelspark.operators import align, calendar, cross, filters, options, portfolio, regress, rolling
 from panelspark.plans import universe
 from panelspark.sources.store import PanelStore, last_of, read_csv_dates, risk_model, write_csv_dates
 from panelspark.streaming import windows
@@ -199,3 +199,11 @@ def test_streams(spark, tmp_path):
     for i in range(1, 20):
         y = 0.5 * y + 0.5 * i
     assert spark.table("e").collect()[-1]["ewma"] == pytest.approx(y)
+
+
+def test_ancestors_reach_the_root_of_deep_trees(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "node long, parent long")
+    found = {(r["node"], r["ancestor"], r["depth"]) for r in align.ancestors(chain, "node", "parent").collect()}
+    assert found == {(i, j, j - i) for i in range(20) for j in range(i + 1, 21)}
+    with pytest.raises(ValueError, match="cycle"):
+        align.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long"), "node", "parent")
