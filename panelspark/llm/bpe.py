@@ -152,10 +152,8 @@ class Codec:
 
     def word(self, word: str) -> list[int]:
         """Ids of one word (symbols of its bytes, then END), found from its end."""
-        at, ends = self.root, [-1]
-        for ch in word:
-            at = at.get(ch) or self._learn(at, ch)
-            ends.append(at[LONGEST])
+        at, learn = self.root, self._learn
+        ends = [-1, *[(at := at.get(ch) or learn(at, ch))[LONGEST] for ch in word]]
         left = len(word)
         token, out, dead = ends[left], [], set()
         length, shorter, pairs, after = self.length, self.shorter, self.pairs, None

@@ -1,13 +1,16 @@
 """Packing tokenised documents into windows by Karmarkar-Karp multiway differencing.
 
-Documents are cut into full windows and one remainder. Remainders are dealt at random into cells of about CELL pieces;
-within a cell partial partitions with opposing imbalances are merged, the two largest differences first, until one
-partition into k windows is left. k is the cell's tokens over the capacity, rounded up, so it rises whenever the
-capacity is exceeded. As documents may be cut freely, what still stands over a window's capacity is cut off and fills
-windows that have room; where that is switched off, k rises by one until every window fits.
-
-Results for odd input: null or empty texts are one piece, the end id alone; rows with a null or repeated doc_id are
-packed each by itself; an empty table gives no rows; other columns of the input are left aside.
+Where a document is encoded it is cut into full windows, which are done, and a remainder in pieces of at most a fourth of
+a window. Remainders' pieces are dealt at random into cells of about CELL documents; within a cell partial partitions
+with opposing imbalances are merged, the two largest differences first, until one partition into k windows is left.
+k begins as the cell's tokens over the capacity, rounded up, and rises whenever the capacity is exceeded, by as much as
+the excess over the mean asks for and by 1 at least, until every window fits.
+
+A task holds one cell, whose size doesn't depend on how long documents are: a document has one remainder at most.
+
+Results for odd input: null or empty texts are one piece, the end id alone; a text of any length is cut as it is encoded;
+rows with a null or repeated doc_id are packed each by itself; ties in size are broken by doc_id and start; an empty
+table gives no rows; other columns of the input are left aside.
 """
 
 from __future__ import annotations
@@ -15,18 +18,23 @@ from __future__ import annotations
 import heapq
 import zlib
 from bisect import insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.bpe import encode, lists
+from panelspark.llm.bpe import codec, lists
+from panelspark.llm.common import cut, slices, texts, whole_docs
 
 CAPACITY = 2048
 END_ID = 1
-#: Pieces in a cell, on average: its last window's padding is spread over so many.
+#: Remainders in a cell, on average.
 CELL = 4096
+#: Pieces of a remainder hold at most this part of a window: the smaller, the more equal the windows.
+PART = 4
+PIECE = "doc_id long, start long, length long, doc_tokens long"
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -63,75 +71,101 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return groups + [[] for _ in range(k - len(groups))]
 
 
-def fill(sizes: list[int], capacity: int = CAPACITY, cutting: bool = True) -> list[tuple[int, int, int, int, int]]:
-    """(piece, start within it, length, window, offset) of pieces of at most the capacity."""
-    k = -(-sum(sizes) // capacity)
+def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Groups of the sizes' indices, none of them over the capacity (which no size is)."""
+    total = sum(sizes)
+    k = -(-total // capacity)
     while True:
         groups = difference(sizes, k)
-        if cutting or all(sum(sizes[i] for i in g) <= capacity for g in groups):
-            break
-        k += 1
-    out, room, over = [], [], []
-    for w, group in enumerate(groups):
-        at = 0
-        for i in sorted(group, key=lambda i: (-sizes[i], i)):
-            fits = min(sizes[i], capacity - at)
-            if fits:
-                out.append((i, 0, fits, w, at))
-                at += fits
-            if fits < sizes[i]:
-                over.append((i, fits, sizes[i] - fits))
-        if at < capacity:
-            room.append([w, at])
-    for i, start, size in over:
-        while size:
-            w, at = room[-1]
-            fits = min(size, capacity - at)
-            out.append((i, start, fits, w, at))
-            start, size, room[-1][1] = start + fits, size - fits, at + fits
-            if room[-1][1] == capacity:
-                room.pop()
-    return out
-
-
-def pieces(tokens: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Full windows and a remainder of each row of tokens (doc_id, ids), its end id added."""
-    whole = F.concat(F.coalesce("ids", F.array().cast("array<int>")), F.array(F.lit(end_id).cast("int")))
-    rows = tokens.select("doc_id", whole.alias("ids")).select("doc_id", "ids", F.size("ids").alias("n"))
-    rows = rows.select("doc_id", F.col("n").cast("long").alias("doc_tokens"), "ids", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(capacity))).alias("start"))
-    return rows.select("doc_id", F.col("start").cast("long").alias("start"), "doc_tokens", F.slice("ids", F.col("start") + 1, F.lit(capacity)).alias("ids"))
-
-
-def pack(cut: DataFrame, cells: int, capacity: int = CAPACITY, cutting: bool = True, sums: bool = False) -> DataFrame:
-    """Pieces with sequence_id and offset; pieces that had to be cut again come as several rows.
-
-    cells: number of cells; each is packed by one task and holds its share of the pieces alone. sums: ids_crc32 in place
-    of ids, the checksum of the ids as little-endian 32-bit numbers.
+        excess = max((sum(sizes[i] for i in g) for g in groups), default=0) - capacity
+        if excess <= 0:
+            return groups
+        over_mean = excess + capacity - total / k
+        k = max(k + 1, -int(-total // (capacity - over_mean)) if over_mean < capacity / 2 else 0)
+
+
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, sums: bool = False) -> DataFrame:
+    """Full windows and remainders' pieces of each text with its end id: their places and ids.
+
+    ids are bytes, little-endian numbers of 16 bits where the vocabulary allows, else of 32. sums: full windows have the
+    checksum of their ids (as 32-bit numbers) instead.
     """
+    step = max(1, capacity // PART)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocabulary)
+        kind = width(vocabulary, end_id)
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 18):
+                row, start, length, tokens, full, raw, crc = [], [], [], [], [], [], []
+                for i, text in enumerate(texts(part, "text")):
+                    ids = np.append(c.encode(text), np.int32(end_id))
+                    whole = len(ids) // capacity * capacity
+                    bounds = [*range(0, whole, capacity), *range(whole, len(ids), step), len(ids)]
+                    n = len(bounds) - 1
+                    row += [i] * n
+                    start += bounds[:-1]
+                    length += [b - a for a, b in zip(bounds, bounds[1:])]
+                    tokens += [len(ids)] * n
+                    small = ids.astype(kind)
+                    for a, b in zip(bounds, bounds[1:]):
+                        full.append(a < whole)
+                        summed = sums and a < whole
+                        crc.append(zlib.crc32(ids[a:b].astype("<u4").tobytes()) if summed else None)
+                        raw.append(None if summed else small[a:b].tobytes())
+                arrays = [part.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, tokens)), pa.array(full, pa.bool_()), pa.array(raw, pa.binary()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "doc_tokens", "full", "raw", "ids_crc32"])
+
+    return whole_docs(docs).mapInArrow(run, f"{PIECE}, full boolean, raw binary, ids_crc32 long")
+
+
+def width(vocabulary: str, end_id: int) -> str:
+    return "<u2" if max(len(codec(vocabulary).offsets) - 2, end_id) < 1 << 16 else "<u4"
+
+
+def pack(rests: DataFrame, cells: int, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, sums: bool = False) -> DataFrame:
+    """Remainders' pieces with sequence_id (even numbers) and offset; cells: number of cells, each packed by one task."""
     last = "ids_crc32 long" if sums else "ids array<int>"
-    schema = f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {last}"
 
     def cell(t: pa.Table) -> pa.Table:
         # the same order however the rows arrive, so that a repeated task gives the same windows
         t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("deal", "ascending")])
-        base = t.column("cell")[0].as_py() << 32
-        ids = t.column("ids").combine_chunks()
-        ends = ids.offsets.to_numpy()
-        flat, sizes = ids.values.to_numpy(), np.diff(ends)
-        placed = fill(sizes.tolist(), capacity, cutting)
-        which = np.array([p[0] for p in placed], np.int64)
-        inner, length, window, offset = (np.array([p[j] for p in placed], np.int64) for j in range(1, 5))
-        rows = [flat[ends[i] + s : ends[i] + s + n] for i, s, n in zip(which, inner, length, strict=True)]
-        take = t.take(pa.array(which))
-        start = take.column("start").to_numpy() + inner
+        base, kind = t.column("cell")[0].as_py() << 32, width(vocabulary, end_id)
+        sizes = t.column("length").to_pylist()
+        order, window, offset = [], [], []
+        for w, group in enumerate(windows(sizes, capacity)):
+            at = 0
+            for i in sorted(group):
+                order.append(i)
+                window.append((base + w) * 2)
+                offset.append(at)
+                at += sizes[i]
+        t = t.take(pa.array(order, pa.int64()))
+        rows = [np.frombuffer(r, kind) for r in t.column("raw").to_pylist()]
         out = pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()) if sums else lists(rows)
-        return pa.table([take.column("doc_id"), pa.array(start), pa.array(length), take.column("doc_tokens"), pa.array(base + window), pa.array(offset), out], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if sums else "ids"])
+        return pa.table([*(t.column(c) for c in ("doc_id", "start", "length", "doc_tokens")), pa.array(window, pa.int64()), pa.array(offset, pa.int64()), out], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", last.split()[0]])
+
+    dealt = rests.select("doc_id", "start", "length", "doc_tokens", "raw", F.xxhash64("doc_id", "start", F.monotonically_increasing_id()).alias("deal"))
+    return dealt.withColumn("cell", F.pmod("deal", F.lit(cells))).groupBy("cell").applyInArrow(cell, f"{PIECE}, sequence_id long, offset long, {last}")
+
+
+def spelt(full: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """Full windows with their ids as numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = width(vocabulary, end_id)
+        for batch in batches:
+            ids = lists([np.frombuffer(r, kind) for r in batch.column("raw").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "ids"])
 
-    dealt = cut.withColumn("deal", F.xxhash64("doc_id", "start", F.monotonically_increasing_id())).withColumn("cell", F.pmod("deal", F.lit(cells)))
-    return dealt.groupBy("cell").applyInArrow(cell, schema)
+    columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+    return full.select(*columns, "raw").mapInArrow(run, f"{PIECE}, sequence_id long, offset long, ids array<int>")
 
 
-def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, cutting: bool = True, sums: bool = False) -> DataFrame:
-    """The pieces of all documents with their ids (or their checksums) and places."""
+def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, sums: bool = False) -> DataFrame:
+    """The pieces of all documents with their ids (or the checksums of these) and places."""
+    found = cut(pieces(docs, vocabulary, capacity, end_id, sums))
+    full = found.where("full").withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
+    full = full.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32") if sums else spelt(full, vocabulary, end_id)
     cells = max(1, docs.count() // CELL)
-    return pack(pieces(encode(docs, vocabulary), capacity), cells, capacity, cutting, sums)
+    return full.unionByName(pack(found.where("not full"), cells, vocabulary, capacity, end_id, sums))

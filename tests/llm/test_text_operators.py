@@ -67,16 +67,18 @@ def test_codec_digests_of_odd_rows(spark, docs):
     assert bpe.digests(empty(spark), PATH).count() == 0
 
 
-@pytest.mark.parametrize("cutting", [True, False])
-def test_packing_places_each_id_once(spark, docs, cutting):
-    tokens = bpe.encode(docs, PATH)
-    rows = packing.pack(packing.pieces(tokens, 64), 3, 64, cutting, sums=True).collect()
+@pytest.mark.parametrize("sums", [True, False])
+def test_packing_places_each_id_once(spark, docs, sums):
+    long = spark.createDataFrame([(950, "alpha beta gamma " * 5000)], SCHEMA)
+    docs = docs.select("doc_id", "text").unionByName(long)
+    rows = packing.packed(docs, PATH, 64, sums=sums).collect()
     ids = {}
-    for r in tokens.collect():
+    for r in bpe.encode(docs, PATH).collect():
         ids.setdefault(r["doc_id"], []).append(np.array([*r["ids"], 1], "<u4"))
     windows = {}
     for r in rows:
-        assert any(len(x) == r["doc_tokens"] and zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for x in ids[r["doc_id"]])
+        inside = [x[r["start"] : r["start"] + r["length"]] for x in ids[r["doc_id"]] if len(x) == r["doc_tokens"]]
+        assert any(zlib.crc32(x.tobytes()) == r["ids_crc32"] if sums else x.tolist() == r["ids"] for x in inside)
         windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for w in windows.values():
         at = 0
@@ -84,10 +86,20 @@ def test_packing_places_each_id_once(spark, docs, cutting):
             assert offset == at
             at += length
         assert at <= 64
-    assert sum(r["length"] for r in rows) == sum(len(x) for xs in ids.values() for x in xs)
+    total = sum(len(x) for xs in ids.values() for x in xs)
+    assert sum(r["length"] for r in rows) == total and len(windows) * 64 < 1.02 * total + 64
     assert packing.packed(empty(spark), PATH).count() == 0
 
 
+def test_window_count_rises_until_all_fit():
+    rng = np.random.default_rng(6)
+    for sizes, capacity in ((rng.integers(1, 513, 3000).tolist(), 2048), ([1500] * 5, 2048), ([7], 8), ([], 8)):
+        groups = packing.windows(sizes, capacity)
+        assert sorted(i for g in groups for i in g) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in g) <= capacity for g in groups)
+    assert len(packing.windows([1500] * 5, 2048)) == 5
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(1)
     for n, k in ((1, 1), (5, 3), (200, 40), (300, 7)):
