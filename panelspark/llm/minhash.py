@@ -6,13 +6,20 @@ throws all of them into bin i, so every bin is filled for certain. Two sets agre
 Jaccard similarity, with the concentration of independent draws.
 
 Banding: BANDS of ROWS bins each; sets at the limit of 0.8 miss each other with probability (1 - 0.8^6)^42, 3 in a million.
-Sets that share a band form a family (connected over bands). Families are dealt out in blocks, every pair of blocks is
-one group of bounded size, and all sets of a group are compared in full as 64-bit shingles. A family of more than
-FAMILY sets, in which chains of accidental bands prevail, is compared band by band instead. A group returns a spanning
-forest of its links, so that no list of pairs arises.
+Equal sets are one set from here on. Verification is exact, on all 64-bit shingles, and comes in two steps:
+
+1. Every set is compared with its hub, the smallest set that shares a band with it. That joins nearly all of a group of
+   near copies, however large, with work in proportion to its sets.
+2. What is left are buckets (sets that share a band) whose sets are in more than one component. Of such a bucket every
+   set outside its hub's component is compared with every other set of the bucket whose size allows a link (within a
+   factor of 1.25, by classes of size). So each pair that shares a band is compared or already connected.
+
+Groups of both steps are dealt out in blocks of bounded size; a group returns a spanning forest of its links, so that no
+list of pairs arises.
 
 Results for odd input: null and empty texts have no shingles and are linked with nothing; a null doc_id is never linked
-and has itself, null, as component; rows that share a doc_id are one document; other columns are left aside.
+and has itself, null, as component; rows that share a doc_id are one document; a text of any length is one set; a pair
+at exactly the limit is linked; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import cut, mix, same, slices, texts, whole_docs
@@ -30,8 +37,10 @@ from panelspark.llm.components import components
 
 BANDS, ROWS = 42, 6
 SIZE = BANDS * ROWS
-FAMILY = 20_000
+#: Sets, and about how many shingles, of a block; a group is made of two blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
+#: Texts of a slice, in bytes: a slice's arrays take some hundred times as much.
+SLICE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 # The white space that separates words.
@@ -106,7 +115,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 n = part.num_rows
                 row, values = shingles(texts(part, "text"), words)
                 counts = np.bincount(row, minlength=n)
@@ -134,7 +143,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 row, values = shingles(texts(part, "text"), words)
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], [*keep, "shingles"])
@@ -178,19 +187,14 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
 
 
 def compare(grouped: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of grouped (key_a, key_i, key_j, doc_id, shingles); a group is held by one task and has two blocks at most."""
-    key = ["key_a", "key_i", "key_j"]
+    """Links (a, b) within each group of grouped (group, i, j, doc_id, shingles); a group is held by one task and has two blocks at most."""
+    key = ["group", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
 
         def done() -> pa.RecordBatch:
-            if len(ids) > 1:
-                size = np.array([len(s) for s in sets])
-                full = np.flatnonzero(size)
-                links = forest(np.array(ids)[full], [sets[i] for i in full], percent) if len(full) > 1 else []
-            else:
-                links = []
+            links = forest(np.array(ids), sets, percent) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
@@ -208,6 +212,57 @@ def compare(grouped: DataFrame, percent: int) -> DataFrame:
     return grouped.select(*key, "doc_id", "shingles").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
+def blocks(sets: str, shingles: str) -> Column:
+    """How many blocks so many sets of so many shingles make."""
+    return F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1))
+
+
+def dealt(rep: str, n: str) -> Column:
+    return F.pmod(F.xxhash64(rep, F.lit(11)), F.col(n))
+
+
+def nearest(members: DataFrame) -> DataFrame:
+    """rep, best (the smallest of its hubs) and n_shingles of each set; members: band, hub, rep, n_shingles."""
+    return members.groupBy("rep").agg(F.min("hub").alias("best"), F.max("n_shingles").alias("n"))
+
+
+def stars(best: DataFrame) -> DataFrame:
+    """Groups (group, i, j, rep) of each hub, one block of its partners a group."""
+    pairs = best.withColumnRenamed("best", "hub").where("rep <> hub")
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).select("hub", blocks("sets", "all").alias("blocks"))
+    partners = pairs.join(sizes, "hub").select(F.col("hub").alias("group"), dealt("rep", "blocks").alias("i"), "rep")
+    hubs = sizes.select(F.col("hub").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.col("hub").alias("rep"))
+    return partners.unionByName(hubs).withColumn("j", F.lit(0).cast("long"))
+
+
+def rests(members: DataFrame, best: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Groups (group, i, j, rep) of buckets that hold several components: blocks of sets outside the hub's component against blocks of all.
+
+    members: band, hub, rep, n_shingles; labels: rep and label of the sets that have a link.
+    """
+    named = members.join(best.select("rep", "best"), "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    of_hub = F.max(F.when(F.col("rep") == F.col("hub"), F.col("label")))
+    sign = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))  # buckets of the same sets are one
+    state = named.groupBy("band").agg(of_hub.alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.min("hub").alias("hub"), sign.alias("sign"), F.min((F.col("best") == F.col("hub")).cast("int")).alias("done"))
+    # of two sets one is the hub, and the first step compared them if it is the other's best
+    open_buckets = state.where("low <> high and (size > 2 or done = 0)").groupBy("sign", "size", "hub", "main").agg(F.min("band").alias("band"))
+    # linked sets' sizes are within a factor of 100 / percent, so they are of one class of size or of two adjacent ones
+    size_class = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)) + 1e-9) if percent < 100 else F.col("n_shingles")
+    some = named.select("band", "rep", "label", "n_shingles").join(open_buckets.select("band", "main"), "band")
+    some = some.withColumn("size_class", size_class).withColumn("outside", F.col("label") != F.col("main"))
+    # group: a bucket and a class of size; sets outside come with their own class, all sets with theirs and the adjacent ones
+    outside = some.where("outside").select("band", F.col("size_class").alias("at"), "rep", "n_shingles")
+    inside = some.select("band", F.explode(F.array(*(F.col("size_class") + d for d in (-1, 0, 1)))).alias("at"), "rep", "n_shingles")
+    n_outside = outside.groupBy("band", "at").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("all")).select("band", "at", blocks("sets", "all").alias("rows"))
+    n_inside = inside.groupBy("band", "at").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("all")).select("band", "at", blocks("sets", "all").alias("columns"))
+    shape = n_outside.join(n_inside, ["band", "at"])
+    group = F.xxhash64("band", "at").alias("group")
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = outside.join(shape, ["band", "at"]).select(group, dealt("rep", "rows").alias("i"), to("columns").alias("j"), "rep")
+    b = inside.join(shape, ["band", "at"]).select(group, to("rows").alias("i"), dealt("rep", "columns").alias("j"), "rep")
+    return a.unionByName(b).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept of every row of docs."""
     docs = whole_docs(docs)
@@ -216,24 +271,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = cut(found.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     thrown = sets.select("rep", "n_shingles", F.explode("bands").alias("band"))
     buckets = cut(thrown.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("band", "hub"))
-    members = cut(thrown.join(buckets, "band"))
-    families = components(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    families = families.select(F.col("node").alias("rep"), F.col("label").alias("family"))
-    sized = families.join(sets.select("rep", "n_shingles"), "rep").groupBy("rep", "family").agg(F.max("n_shingles").alias("n_shingles"))
-    totals = sized.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("all"))
-    sized = cut(sized.join(totals, "family"))
-    by_family = sized.where(F.col("sets") <= FAMILY).select("rep", F.col("family").alias("key_a"), "sets", "all")
-    large = members.join(sized.where(F.col("sets") > FAMILY).select("rep"), "rep").select("rep", F.col("band").alias("key_a"), "n_shingles").distinct()
-    per_band = large.groupBy("key_a").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("all"))
-    groups = by_family.unionByName(large.join(per_band, "key_a").select("rep", "key_a", "sets", "all"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES))
-    dealt = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    spread = dealt.select(F.col("rep").alias("doc_id"), "key_a", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    placed = spread.select("doc_id", "key_a", F.least("own", "other").alias("key_i"), F.greatest("own", "other").alias("key_j"))
-    texts_needed = docs.join(sized.select(F.col("rep").alias("doc_id")), "doc_id")
-    grouped = sets_of(texts_needed, words).join(placed, "doc_id")
-    links = components(compare(grouped, percent))
-    label = links.select(F.col("node").alias("rep"), "label")
+    # a doc_id of several texts has several sets, of which the largest counts for sizes
+    members = cut(thrown.join(buckets, "band").groupBy("band", "rep").agg(F.min("hub").alias("hub"), F.max("n_shingles").alias("n_shingles")))
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    compared = cut(sets_of(docs.join(wanted, "doc_id"), words).where(F.size("shingles") > 0))
+
+    def links(groups: DataFrame) -> DataFrame:
+        return compare(compared.join(groups.withColumnRenamed("rep", "doc_id"), "doc_id"), percent)
+
+    best = cut(nearest(members))
+    first = cut(links(stars(best)))
+    label = components(first).select(F.col("node").alias("rep"), "label")
+    second = cut(links(rests(members, best, label, percent)))
+    if not second.isEmpty():
+        label = components(first.unionByName(second)).select(F.col("node").alias("rep"), "label")
     named = cut(sets.select(*name, "rep").join(label, "rep", "left").select(*name, F.coalesce("label", "rep").alias("label")))
     f = found.select("doc_id", *name).withColumn("known", F.col("doc_id").isNotNull())
     joined = f.join(named.withColumn("known", F.lit(True)), [*name, "known"], "left")

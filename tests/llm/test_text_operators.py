@@ -136,11 +136,25 @@ def test_near_duplicates_equal_all_pairs(spark, docs):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_large_families_are_compared_by_band(spark, docs, monkeypatch):
-    whole = {tuple(r) for r in minhash.near_duplicates(docs, words=4).collect()}
-    monkeypatch.setattr(minhash, "FAMILY", 1)
+def test_near_duplicates_in_blocks_and_chains(spark, docs, monkeypatch):
+    """Small blocks change nothing; chains whose ends aren't linked to the hub are found link by link."""
+    rng = np.random.default_rng(7)
+    words, chain = [f"w{i}" for i in range(200)], []
+    for i in range(60):
+        chain.append((5000 - i if i % 2 else 3000 + i, " ".join(words)))
+        for _ in range(1 + i % 3):
+            words[int(rng.integers(200))] = f"v{i}"
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(chain, SCHEMA))
+    whole = {tuple(r) for r in minhash.near_duplicates(frame, words=4).collect()}
+    sets = {i: shingle_set(t, 4) for i, t in chain}
+    lead = {i: i for i, _ in chain}
+    for _ in chain:
+        for a, b in itertools.combinations(sets, 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lead[a] = lead[b] = min(lead[a], lead[b])
+    assert {r[0]: r[2] for r in whole if (r[0] or 0) >= 3000} == lead and len(set(lead.values())) < 60
     monkeypatch.setattr(minhash, "BLOCK_SETS", 2)
-    assert {tuple(r) for r in minhash.near_duplicates(docs, words=4).collect()} == whole
+    assert {tuple(r) for r in minhash.near_duplicates(frame, words=4).collect()} == whole
 
 
 def test_sketch_fills_and_estimates():
