@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Spark sends rows to a worker in batches of about so many bytes, which bounds the buffers on both sides.
 BATCH_BYTES = 4 << 20
+#: Bytes that a task holds of a table it writes.
+ROW_GROUP = 16 << 20
 BATCH_SETTING, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -27,18 +30,21 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; one of our own only on one machine (as in tests), where it is unset."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there, so that lost executors cost no recomputation.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the cluster's shared folder and go on from there, so that lost executors cost no recomputation."""
+    place = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

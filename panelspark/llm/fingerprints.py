@@ -102,14 +102,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     order = cut(following(docs.select("doc_id", *key, F.length("text").alias("n_chars")).distinct()))
     wanted = order.select(F.col("next_m1").alias("m1"), F.col("next_m2").alias("m2"), half.alias("wanted"), F.col("m1").alias("for_m1"), F.col("m2").alias("for_m2"))
     total = docs.count()
-    counted = cut(docs.select(*key, F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), *(F.min(m).alias(m) for m in key)))
+    counted = docs.select("m1", F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.min("m1").alias("m1"))
     often = F.col("df") > max(HIGH * total, float(LOW))
-    common = counted.where(often).agg(F.collect_list("term").alias("common"))  # one row
-    alone = cut(counted.where(F.col("df") < LOW).groupBy(*key).agg(F.collect_list("term").alias("alone")))
-    lexicon = counted.where((F.col("df") >= LOW) & ~often).select("term")
+    counted = cut(counted.select("term", often.alias("often"), F.when(F.col("df") < LOW, F.col("m1")).alias("m1")))
+    common = counted.where("often").agg(F.collect_list("term").alias("common"))  # one row
+    # should two documents have one m1, each is told the other's terms as well, which it hasn't
+    alone = cut(counted.where("m1 is not null").groupBy("m1").agg(F.collect_list("term").alias("alone")))
+    lexicon = counted.where("not often and m1 is null").select("term")
     # the lender's id is kept so that both joins need the same columns of docs, whose texts are then shuffled only once
-    lent = docs.join(wanted, key).join(alone, key, "left").select(F.col("for_m1").alias("m1"), F.col("for_m2").alias("m2"), F.left("text", F.col("wanted")).alias("lent"), F.col("doc_id").alias("lender"), F.col("alone").alias("lender_alone")).dropDuplicates(key)
-    edited = docs.join(lent, key).join(alone, key, "left").crossJoin(F.broadcast(common)).withColumn("n_chars", F.length("text")).withColumn("left", F.left("text", F.col("n_chars") - half))
+    lent = docs.join(wanted, key).join(alone, "m1", "left").select(F.col("for_m1").alias("m1"), F.col("for_m2").alias("m2"), F.left("text", F.col("wanted")).alias("lent"), F.col("doc_id").alias("lender"), F.col("alone").alias("lender_alone")).dropDuplicates(key)
+    edited = docs.join(lent, key).join(alone, "m1", "left").crossJoin(F.broadcast(common)).withColumn("n_chars", F.length("text")).withColumn("left", F.left("text", F.col("n_chars") - half))
     edited = edited.withColumn("edited", F.concat("left", "lent")).withColumn("common", F.concat("common", F.coalesce("alone", F.expr(NO_TERMS))))
     seams = F.array_distinct(F.array_compact(F.array(hashed(F.lower(F.concat(last_word(F.col("left")), first_word(F.col("lent"))))), hashed(F.lower(last_word(F.col("edited")))))))
     edited = edited.withColumn("seams", seams).withColumn("own", F.array_except(terms(F.col("text")), "common"))
