@@ -1,17 +1,22 @@
-"""Removal of repeated byte strings by blockwise suffix comparison over a cover sample.
+"""Removal of repeated byte strings by blockwise suffix sorting over a cover sample.
 
 A byte goes if it is covered by a string of LENGTH bytes that also starts earlier (by doc_id and place). Sorting all
-suffixes would shuffle every byte's suffix; as with a difference cover only a sample of suffixes is ranked, and all
-others are resolved by a sampled suffix near them. The sample is a local one: in each string of LENGTH bytes the place
-whose GRAM bytes have the least hash (the leftmost of equals). Like an arithmetic difference cover it holds, for any two
-equal strings, two places at the same offset in both, but it takes one suffix in 35 instead of one in five.
+suffixes would shuffle every byte's suffix; as in difference-cover construction only the suffixes of a cover sample are
+ranked, and all others are resolved by a sampled suffix near them. The cover is chosen by content (a synchronising set):
+in each string of LENGTH bytes the place whose GRAM bytes have the least hash (the leftmost of equals). Like an
+arithmetic difference cover it holds, for any two equal strings, two places at the same offset in both, but it takes one
+suffix in 35 instead of one in seven (LENGTH allows no arithmetic cover below one in ten).
 
 Buckets are the sampled suffixes that begin with the same GRAM bytes. Within a bucket the context of a sampled suffix
-(all strings resolved by it) is its rank: of equal contexts the earliest stays, and all strings of the later ones go.
-Only where a bucket holds different contexts, at the edges of repeats, their bytes are gathered and strings told apart. Slices of texts
-resolve what repeats within them before anything is shuffled, so that a common passage comes once a slice to its bucket.
+is all strings resolved by it: of equal contexts the earliest stays, and all strings of the later ones go. Where a bucket
+holds different contexts, at the edges of repeats, their bytes are gathered and the bucket is sorted, one bucket at a
+time: its sampled suffixes by the bytes that follow, and by the bytes before them read backwards. Both orders give each
+sampled suffix ranks by any length, and two strings are equal just if their sampled suffixes lie at the same offset and
+tie in both ranks; so no string is compared itself. Large buckets are sorted in salted parts of bounded size, whose
+earliest strings are then compared over all parts by two 64-bit hashes.
 
-Strings are equal if two 64-bit hashes over different byte values agree.
+Slices of texts resolve what repeats within them before anything is shuffled, so that a common passage comes once a
+slice to its bucket. Contexts are equal if two 64-bit hashes over different byte values agree.
 
 Results for odd input: null texts count as empty; texts shorter than LENGTH lose nothing; a null doc_id comes first in
 order; rows that repeat a doc_id are one document (their equal places are one place, and each loses what is found for
@@ -31,8 +36,8 @@ from panelspark.llm.common import carried, cut, mix, same, slices
 from panelspark.llm.minhash import byte_values, powers
 
 LENGTH, GRAM = 100, 32
-#: Contexts of one bucket that a worker holds to tell their strings apart itself.
-HELD = 10_000
+#: Contexts of a bucket's part that is sorted at once; only a bucket of more comes in several.
+PART = 2048
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 
@@ -169,7 +174,8 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def contexts(edges: DataFrame, length: int) -> DataFrame:
-    """The bytes of all strings of each sampled suffix of edges (doc_id, text, places of a and bucket)."""
+    """The bytes of all strings of each sampled suffix of edges (doc_id, text, places of a, bucket, salt and split)."""
+    names, types = ["bucket", "salt", "split"], "bucket long, salt long, split boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +184,7 @@ def contexts(edges: DataFrame, length: int) -> DataFrame:
                 sizes = np.diff(ends, prepend=0)
                 places = part.column("places")
                 n = np.diff(places.offsets.to_numpy())
-                a, bucket = (places.flatten().field(i) for i in (0, 1))
+                a, *rest = (places.flatten().field(i) for i in range(4))
                 at, row = a.to_numpy(), np.repeat(np.arange(part.num_rows), n)
                 first, end = (at >> 14) - (at >> 7 & 127), (at >> 14) - (at & 127) + length
                 inside = end <= sizes[row]  # a doc_id may come with another text
@@ -187,82 +193,110 @@ def contexts(edges: DataFrame, length: int) -> DataFrame:
                 to = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 flat = code[np.repeat(first + (ends - sizes)[row] - to[:-1], size) + np.arange(to[-1])]
                 raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(flat))])
-                yield pa.RecordBatch.from_arrays([bucket.filter(keep), part.column("doc_id").take(pa.array(row)), a.filter(keep), raw], ["bucket", "doc_id", "a", "raw"])
+                yield pa.RecordBatch.from_arrays([*(x.filter(keep) for x in rest), part.column("doc_id").take(pa.array(row)), a.filter(keep), raw], [*names, "doc_id", "a", "raw"])
 
-    return edges.mapInArrow(run, "bucket long, doc_id long, a long, raw binary")
+    return edges.mapInArrow(run, f"{types}, doc_id long, a long, raw binary")
 
 
-def bucketwise(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[pa.RecordBatch, int | None]]:
-    """Rows sorted by bucket as whole buckets; one of more than `held` rows comes in parts, its name beside each of them."""
-    kept: list[pa.RecordBatch] = []  # of the last bucket, which may go on
-    rows, split = 0, None
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and salt, cut between groups alone."""
+    kept: list[pa.RecordBatch] = []
 
-    def joined(parts: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int | None]]:
-        for whole in pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else ():
-            if whole.num_rows:
-                yield whole, split
+    def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [p for p in parts if p.num_rows]
+        yield from pa.Table.from_batches(rows).combine_chunks().to_batches() if rows else ()
 
-    name = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket = batch.column("bucket").to_numpy()
-        if bucket[0] != name or bucket[-1] != name:
-            last = int(np.searchsorted(bucket, bucket[-1]))
+        bucket, salt = (batch.column(c).to_numpy() for c in ("bucket", "salt"))
+        last = int(np.flatnonzero((bucket != bucket[-1]) | (salt != salt[-1]))[-1:].sum() + 1) if (bucket != bucket[-1]).any() or (salt != salt[-1]).any() else 0
+        ended = last or (kept and (kept[-1].column("bucket")[-1].as_py(), kept[-1].column("salt")[-1].as_py()) != (bucket[0], salt[0]))
+        if ended:
             yield from joined([*kept, batch.slice(0, last)])
-            name, split, kept, rows = bucket[-1], None, [batch.slice(last)], batch.num_rows - last
-        else:
-            kept, rows = [*kept, batch], rows + batch.num_rows
-        if rows > held:
-            split = name
-            yield from joined(kept)
-            kept, rows = [], 0
+            kept = []
+        kept.append(batch.slice(last))
     yield from joined(kept)
 
 
-def told_apart(rows: DataFrame, length: int, held: int = HELD) -> DataFrame:
-    """Single strings of contexts, taken bucket by bucket: part null with spans, or part and rest, its hashes, with a the start.
+def shared_with_previous(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte rows within their groups, and how many bytes each shares with the one before it (-1: of another group)."""
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    words = words.view(">u8").astype(np.uint64)
+    order = np.lexsort((*words.T[::-1], group))
+    differ = rows[order][1:] != rows[order][:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    shared[group[order][1:] != group[order][:-1]] = -1
+    return order, np.concatenate([[-1], shared])
 
-    Buckets of up to `held` contexts are settled whole. Of larger ones the earliest strings of each part go on, to be
-    settled string by string over all parts.
+
+def ranks(order: np.ndarray, shared: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each length (at least 0) and row the rank of its first bytes of that length, ties having the same."""
+    out = np.empty((len(lengths), len(order)), np.int32)
+    out[:, order] = np.cumsum(shared[None, :] < lengths[:, None], axis=1)
+    return out
+
+
+def sorted_apart(rows: DataFrame, length: int) -> DataFrame:
+    """Single strings of contexts by sorting bucket by bucket: part null with spans, or part and rest, its hashes, with a the start.
+
+    Parts of split buckets give their earliest strings on, to be compared over all parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, split in bucketwise(batches, held):
-            raw, bucket, a = batch.column("raw"), batch.column("bucket").to_numpy(), batch.column("a").to_numpy()
+        for batch in whole_groups(batches):
+            raw, a = batch.column("raw"), batch.column("a").to_numpy()
+            group = np.cumsum(np.concatenate([[False], (np.diff(batch.column("bucket").to_numpy()) != 0) | (np.diff(batch.column("salt").to_numpy()) != 0)]))
             to = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(a) + 1].astype(np.int64)
             code = np.frombuffer(raw.buffers()[2], np.uint8)[to[0] : to[-1]]
             to = to - to[0]
-            count = np.diff(to) - length + 1
+            place, back, fore = a >> 14, a >> 7 & 127, a & 127  # the first string starts `back` before the sampled place, the last `fore`
+            # bytes from the sampled place on, and those before it backwards; what lies beyond the context is 0 and in no string
+            after = np.zeros((len(a), length), np.uint8)
+            step = np.arange(length)
+            some = step[None, :] < (length - fore)[:, None]
+            after[some] = code[((to[:-1] + back)[:, None] + step)[some]]
+            reach = int(back.max()) + 1
+            before = np.zeros((len(a), reach), np.uint8)
+            step = np.arange(reach)
+            some = step[None, :] < back[:, None]
+            before[some] = code[((to[:-1] + back - 1)[:, None] - step)[some]]
+            offsets = np.arange(reach)
+            right = ranks(*shared_with_previous(after, group), length - offsets)
+            left = ranks(*shared_with_previous(before, group), offsets)
+            count = back - fore + 1
             row = np.repeat(np.arange(len(a)), count)
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at, start = to[row] + step, ((a >> 14) - (a >> 7 & 127))[row] + step
+            offset = back[row] - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            start = place[row] - offset
+            key = ((right[offset, row].astype(np.int64) << 32 | left[offset, row]) << 7) | offset  # ranks are below 2^24
             ids = batch.column("doc_id")
             rank = np.unique(ids.fill_null(0).to_numpy(), return_inverse=True)[1] + 1
             rank[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-            h = Hashes(code)
-            one, two = h.of(0, at, at + length), h.of(1, at, at + length)
-            stays = earliest([one, two], rank[row], start)
+            stays = earliest([key], rank[row], start)
             # rows of one doc_id may lie apart in the batch: spans are merged by its rank
-            some = np.zeros(rank.max() + 1, np.int64)
-            some[rank] = np.arange(len(a))
+            one_of = np.zeros(rank.max() + 1, np.int64)
+            one_of[rank] = np.arange(len(a))
             doc, begin, end = merged(rank[row[~stays]], start[~stays], start[~stays] + length)
-            on = stays & (bucket == split)[row] if split is not None else np.zeros(len(stays), bool)
-            m, k = int(on.sum()), len(doc)
+            on = np.flatnonzero(stays & batch.column("split").to_numpy(zero_copy_only=False)[row])
+            at = to[row[on]] + back[row[on]] - offset[on]
+            h = Hashes(code)
+            one, two = (h.of(i, at, at + length).view(np.int64) for i in (0, 1))
+            m, k = len(on), len(doc)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([one[on].view(np.int64), np.zeros(k, np.int64)]), mask=np.arange(m + k) >= m),
-                    pa.array(np.concatenate([two[on].view(np.int64), mix((begin + 1).astype(np.uint64) * np.uint64(BASES[1]) + one[: 1 if k else 0]).view(np.int64)])),
-                    ids.take(pa.array(np.concatenate([row[on], some[doc]]))),
+                    pa.array(np.concatenate([one, np.zeros(k, np.int64)]), mask=np.arange(m + k) >= m),
+                    pa.array(np.concatenate([two, mix((begin + 1).astype(np.uint64) * np.uint64(BASES[1]) + doc.astype(np.uint64)).view(np.int64)])),
+                    ids.take(pa.array(np.concatenate([row[on], one_of[doc]]))),
                     pa.array(np.concatenate([start[on], begin])), pa.array(np.concatenate([np.zeros(m, np.int64), end])),
                 ],
                 ["part", "rest", "doc_id", "a", "b"],
             )
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "part long, rest long, doc_id long, a long, b long")
+    return rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(run, "part long, rest long, doc_id long, a long, b long")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int = HELD) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART) -> DataFrame:
     """Spans (doc_id, start, end) of docs (doc_id, text) to be removed; they may overlap."""
     bucket, rank = Window.partitionBy("bucket"), Window.partitionBy("bucket", "context").orderBy("doc_id", "a")
     found = sampled(docs, length, gram).withColumn("low", F.min("context").over(bucket)).withColumn("high", F.max("context").over(bucket))
@@ -271,8 +305,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int
     spans = found.where("span").select("doc_id", F.col("a").alias("start"), F.col("b").alias("end"))
     first, last = (F.shiftright("a", 14) - F.expr(e) for e in ("shiftright(a, 7) & 127", "a & 127"))
     whole = found.where("not span and nth > 1").select("doc_id", first.alias("start"), (last + length).alias("end"))
-    edges = found.where("not span and nth = 1").groupBy("doc_id").agg(F.collect_list(F.struct("a", "bucket")).alias("places")).withColumnRenamed("doc_id", "other")
-    strings = told_apart(contexts(docs.select("doc_id", "text").join(edges, same(F.col("doc_id"), F.col("other"))).drop("other"), length), length, held)
+    edges = found.where("not span and nth = 1").select("doc_id", "a", "bucket")
+    parts = edges.groupBy("bucket").agg(F.ceil(F.count("*") / part).alias("parts"))
+    edges = edges.join(parts, "bucket").withColumn("salt", F.pmod(F.xxhash64("doc_id", "a"), "parts")).withColumn("split", F.col("parts") > 1)
+    edges = edges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "bucket", "salt", "split")).alias("places")).withColumnRenamed("doc_id", "other")
+    strings = sorted_apart(contexts(docs.select("doc_id", "text").join(edges, same(F.col("doc_id"), F.col("other"))).drop("other"), length), length)
     nth = F.rank().over(Window.partitionBy("rest", "part").orderBy("doc_id", "a"))
     apart = strings.withColumn("nth", nth).where("part is null or nth > 1")
     apart = apart.select("doc_id", F.col("a").alias("start"), F.when(F.col("part").isNull(), F.col("b")).otherwise(F.col("a") + length).alias("end"))

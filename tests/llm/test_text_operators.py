@@ -401,8 +401,8 @@ def test_large_buckets_come_in_parts(spark):
     rows = [(i, sides[rng.integers(8)][-int(rng.integers(20, 90)) :] + common + sides[rng.integers(8)][: int(rng.integers(20, 90))] + noise(40)) for i in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA)
 
-    def gone(held):
-        return {(r["doc_id"], x) for r in suffixes.repeated(docs, held=held).collect() for x in range(r["start"], r["end"])}
+    def gone(part):
+        return {(r["doc_id"], x) for r in suffixes.repeated(docs, part=part).collect() for x in range(r["start"], r["end"])}
 
     seen, wanted = set(), set()
     for i, t in rows:
@@ -411,4 +411,4 @@ def test_large_buckets_come_in_parts(spark):
             if part in seen:
                 wanted |= {(i, y) for y in range(x, x + suffixes.LENGTH)}
             seen.add(part)
-    assert wanted and gone(10_000) == gone(7) == gone(0) == wanted
+    assert wanted and gone(10_000) == gone(7) == gone(1) == wanted
