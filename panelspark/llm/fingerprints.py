@@ -109,9 +109,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # should two documents have one m1, each is told the other's terms as well, which it hasn't
     alone = cut(counted.where("m1 is not null").groupBy("m1").agg(F.collect_list("term").alias("alone")))
     lexicon = counted.where("not often and m1 is null").select("term")
-    # the lender's id is kept so that both joins need the same columns of docs, whose texts are then shuffled only once
-    lent = docs.join(wanted, key).join(alone, "m1", "left").select(F.col("for_m1").alias("m1"), F.col("for_m2").alias("m2"), F.left("text", F.col("wanted")).alias("lent"), F.col("doc_id").alias("lender"), F.col("alone").alias("lender_alone")).dropDuplicates(key)
-    edited = docs.join(lent, key).join(alone, "m1", "left").crossJoin(F.broadcast(common)).withColumn("n_chars", F.length("text")).withColumn("left", F.left("text", F.col("n_chars") - half))
+    # all tables are dealt by m1 alone, so that texts are shuffled once; m2 is compared within
+    by_m1 = lambda a, b: (F.col(f"{a}.m1") == F.col(f"{b}.m1")) & (F.col(f"{a}.m2").bitwiseXOR(F.col(f"{b}.m2")) == 0)
+    lent = docs.alias("d").join(wanted.alias("w"), by_m1("d", "w")).select("d.*", "wanted", "for_m1", "for_m2").join(alone, "m1", "left")
+    # the lender's id is kept so that both joins need the same columns of docs
+    lent = lent.select(F.col("for_m1").alias("m1"), F.col("for_m2").alias("m2"), F.left("text", F.col("wanted")).alias("lent"), F.col("doc_id").alias("lender"), F.col("alone").alias("lender_alone")).repartition("m1").dropDuplicates(key)
+    edited = docs.alias("d").join(lent.alias("l"), by_m1("d", "l")).select("d.*", "lent", "lender", "lender_alone").join(alone, "m1", "left")
+    edited = edited.crossJoin(F.broadcast(common)).withColumn("n_chars", F.length("text")).withColumn("left", F.left("text", F.col("n_chars") - half))
     edited = edited.withColumn("edited", F.concat("left", "lent")).withColumn("common", F.concat("common", F.coalesce("alone", F.expr(NO_TERMS))))
     seams = F.array_distinct(F.array_compact(F.array(hashed(F.lower(F.concat(last_word(F.col("left")), first_word(F.col("lent"))))), hashed(F.lower(last_word(F.col("edited")))))))
     edited = edited.withColumn("seams", seams).withColumn("own", F.array_except(terms(F.col("text")), "common"))
