@@ -260,7 +260,7 @@ def rests(members: DataFrame, best: DataFrame, labels: DataFrame, percent: int)
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     a = outside.join(shape, ["band", "at"]).select(group, dealt("rep", "rows").alias("i"), to("columns").alias("j"), "rep")
     b = inside.join(shape, ["band", "at"]).select(group, to("rows").alias("i"), dealt("rep", "columns").alias("j"), "rep")
-    return a.unionByName(b).distinct()
+    return a.unionByName(b)  # a set may come twice to a group, which changes nothing
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
