@@ -130,12 +130,17 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], (reach - shift)[np.concatenate([first[1:] - 1, [len(doc) - 1]])]
 
 
-def loaded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of a slice's texts, the end of each, and each row's rank by doc_id (equal for equal ids, null first)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+def ranks_of_ids(part: pa.RecordBatch) -> np.ndarray:
+    """Each row's rank by doc_id (equal for equal ids, null first)."""
     ids = [(-1 << 63) - 1 if d is None else d for d in part.column("doc_id").to_pylist()]
     ranks = {d: i for i, d in enumerate(sorted(set(ids)))}
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw], dtype=np.int64), np.array([ranks[d] for d in ids], np.int64)
+    return np.array([ranks[d] for d in ids], np.int64)
+
+
+def loaded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a slice's texts, the end of each, and each row's rank by doc_id."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw], dtype=np.int64), ranks_of_ids(part)
 
 
 def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:

@@ -174,17 +174,33 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 90 for i in (90, 95, 100)} | {i: 200 for i in range(200, 230)}
 
 
-def test_line_dedup_equals_brute_force(spark, docs):
-    rows, seen, expected = corpus(), set(), {}
+def brute_lines(rows, words):
+    seen, expected = set(), {}
     for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = [] if t is None else t.split("\n")
-        drop = set()
-        for k in range(len(lines) - 1):
-            if any(x.split() for x in lines[k : k + 2]):
-                drop |= {k, k + 1} if tuple(lines[k : k + 2]) in seen else set()
-                seen.add(tuple(lines[k : k + 2]))
+        drop, fresh = set(), set()
+        for k in range(len(lines)):
+            end, n = k, 0
+            while end < len(lines) and n < words:
+                n += len(re.findall(r"[^\x20\x09-\x0D]+", lines[end]))
+                end += 1
+            if n >= words:
+                window = tuple(lines[k:end])
+                drop |= set(range(k, end)) if window in seen | fresh else set()
+                fresh.add(window)
+        seen |= fresh
         expected[i] = (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in drop), len(lines), len(drop))
-    found = linededup.deduplicated(docs, ["label"]).collect()
+    return expected
+
+
+def test_line_dedup_equals_brute_force(spark, docs):
+    rng = np.random.default_rng(8)
+    few = ["alpha", "", "beta gamma", "delta epsilon zeta", "eta theta iota kappa lambda mu nu xi omicron", " \t"]
+    short = [(300 + i, "\n".join(rng.choice(few, size=int(rng.integers(1, 30))))) for i in range(60)] + [(500, "\n" * 3000), (501, "word " * 40_000)]
+    rows = corpus() + short
+    expected = brute_lines(rows, linededup.WORDS)
+    frame = docs.select("doc_id", "text", "label").unionByName(spark.createDataFrame(short, SCHEMA).withColumn("label", F.lit("clash")))
+    found = linededup.deduplicated(frame, ["label"]).collect()
     assert len(found) == len(rows)
     assert all((r["text"], r["n_lines"], r["n_removed"]) == expected[r["doc_id"]] and r["rest"]["label"] == "clash" for r in found)
     assert sum(r["n_removed"] for r in found) > 0
