@@ -1,6 +1,12 @@
 """From documents to packed training windows: toxicity, line dedup, near-dedup, suffix dedup, packing.
 
 Each stage reads what its predecessor kept and returns the columns of documents, the last its packed pieces.
+
+Results for odd input: columns besides those of documents are left aside, whatever their names. A document without a word
+(null, empty or blank text) passes toxicity and goes at line dedup, as there is nothing left to train on. Of rows that
+share a doc_id all go where one is toxic or near-duplicates an earlier document, and none goes for being like another of
+them. A null doc_id is no one's copy and comes first in order. Texts of any length are taken whole. Without labels no
+document is toxic. An empty table gives an empty table of the same columns at every stage.
 """
 
 from __future__ import annotations
