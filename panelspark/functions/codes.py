@@ -39,6 +39,12 @@ def is_a_share(code: Column) -> Column:
     return code.rlike("^[603]")
 
 
+def parsed(code: Column, names: dict[str, str]) -> Column:
+    """The name of a code, null where it is unknown; a dictionary the other way round gives codes of names."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.try_element_at(table, code)
+
+
 def translated(df: DataFrame, column: str, dimension: DataFrame, source: str, target: str, out: str) -> DataFrame:
     """df with `out`, the dimension's target for column; unknown values stay null. Roman numeral two is optional in names."""
     plain = lambda c: F.regexp_replace(c, "Ⅱ", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,17 @@ from pyspark.sql import functions as F
 KEYS = ["date", "id"]
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder that the cluster names; one of our own only on one machine, where none is named."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return df.checkpoint()
+
+
 def key_union(frames: list[DataFrame], keys: list[str] = KEYS) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.select(*keys) for f in frames]).distinct()
 
@@ -93,6 +105,19 @@ def label_of(df: DataFrame, values: list[str], out: str = "label") -> DataFrame:
     return df.withColumn(out, F.coalesce(*(F.when(F.col(v) == 1, v) for v in values)))
 
 
+def codes_as_of(dates: DataFrame, codes: DataFrame, label: str, values: list[str]) -> DataFrame:
+    """0/1 columns of each id's last label at or before each date; an id without one yet is left out."""
+    grid = dates.select("date").distinct().crossJoin(codes.select("id").distinct())
+    return one_hot(as_of(grid, codes, "id", "date", [label]).where(F.col(label).isNotNull()), label, values).drop(label)
+
+
+def announced_by(stamps: DataFrame, macro: DataFrame, time: str = "15:00") -> DataFrame:
+    """Each name's value announced last by a time of each date; macro: name, date, value, ann_dt; stamps: name, date."""
+    at = F.to_timestamp_ntz(F.concat(F.col("date").cast("string"), F.lit(f" {time}")), F.lit("yyyy-MM-dd HH:mm"))
+    known = macro.where("ann_dt is not null").groupBy("name", F.col("ann_dt").alias("_at")).agg(F.max_by(F.struct("value"), "date").alias("r")).select("name", "_at", "r.value")
+    return as_of(stamps.select("name", "date", at.alias("_at")), known, "name", "_at", ["value"]).drop("_at")
+
+
 def long(df: DataFrame, keys: list[str], values: list[str], name: str = "factor", value: str = "value") -> DataFrame:
     return df.unpivot(keys, values, name, value).where(F.col(value).isNotNull())
 
@@ -101,14 +126,15 @@ def wide(df: DataFrame, key: str, name: str, value: str, names: list) -> DataFra
     return df.groupBy(key).pivot(name, names).agg(F.first(value, ignorenulls=True))
 
 
-def matching(df: DataFrame, equal: dict | None = None, between: dict | None = None, contains: dict | None = None, fields: list[str] | None = None) -> DataFrame:
-    """Rows by optional predicates: equal to a value or one of a list, between two ends (None: open), containing a text."""
+def matching(df: DataFrame, equal: dict | None = None, between: dict | None = None, contains: dict | None = None, fields: list[str] | None = None, like: dict | None = None) -> DataFrame:
+    """Rows by optional predicates: equal to a value or one of a list, between two ends (None: open), containing a text, like an expression."""
     tests: list[Column] = []
     for c, v in (equal or {}).items():
         tests.append(F.col(c).isin(list(v)) if isinstance(v, list | tuple | set) else F.col(c) == v)
     for c, (a, b) in (between or {}).items():
         tests += [F.col(c) >= a] * (a is not None) + [F.col(c) <= b] * (b is not None)
     tests += [F.col(c).contains(v) for c, v in (contains or {}).items()]
+    tests += [F.col(c).rlike(v) for c, v in (like or {}).items()]
     out = df.where(reduce(lambda a, b: a & b, tests)) if tests else df
     return out.select(*fields) if fields else out
 
@@ -123,8 +149,7 @@ def ancestors(tree: DataFrame, node: str, parent: str) -> DataFrame:
 
     A cycle is an error: some node of it would come to stand above itself.
     """
-    shared = bool(tree.sparkSession.sparkContext.getCheckpointDir())
-    settle = lambda df: df.checkpoint() if shared else df.localCheckpoint()  # noqa: E731  # else each level would run all before it again
+    settle = settled  # else each level would run all before it again
     step = settle(tree.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).where("ancestor is not null"))
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"))
     found = front = step.withColumn("depth", F.lit(1))

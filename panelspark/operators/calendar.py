@@ -45,6 +45,46 @@ def trade_days(cal: DataFrame, start: str, end: str, freq: str = "d", begin: boo
     return days.withColumn("_n", nth).where(F.col("_n") <= abs(periods)).drop("_n")
 
 
+def latest_trade_days(df: DataFrame, cal: DataFrame, column: str = "date", out: str = "trade_day") -> DataFrame:
+    """df with the last trade day at or before its date."""
+    return df.join(cal.select(F.col("date").alias("_d"), F.col("prev_td").alias(out)), F.col(column) == F.col("_d"), "left").drop("_d")
+
+
+def in_range(df: DataFrame, cal: DataFrame, start: str | None = None, end: str | None = None, dates: list | None = None) -> DataFrame:
+    """Rows of df on the trade days of a range (ends may be open), or on those among a list of dates."""
+    days = cal.where("is_td").select("date")
+    if dates is not None:
+        days = days.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
+    else:
+        days = days.where(F.col("date") >= F.lit(start).cast("date")) if start else days
+        days = days.where(F.col("date") <= F.lit(end).cast("date")) if end else days
+    return df.join(days, "date", "left_semi")
+
+
+def period_ends(cal: DataFrame, freq: str, backwards: bool = True) -> DataFrame:
+    """Nominal ends of the calendar's weeks (Fridays), months, quarters or years, with the trade day each is moved to.
+
+    backwards: to the last trade day up to the nominal end, else to the first from it on.
+    """
+    end = {"w": F.date_add(F.trunc("date", "week"), 4), "m": F.last_day("date"), "q": F.last_day(F.add_months(F.trunc("date", "quarter"), 2)), "y": F.make_date(F.year("date"), F.lit(12), F.lit(31))}[freq]
+    nominal = cal.select(end.alias("nominal")).distinct()
+    moved = cal.select(F.col("date").alias("nominal"), F.col("prev_td" if backwards else "next_td").alias("date"))
+    return nominal.join(moved, "nominal")
+
+
+def moved_dates(df: DataFrame, cal: DataFrame, n: int, freq: str = "d") -> DataFrame:
+    """df with its dates moved by n trade days, or by n ends of periods that trade days are counted by; values stay.
+
+    Rows that would leave the calendar go.
+    """
+    if freq == "d":
+        return shifted_days(df, cal, n, out="_to").where("_to is not null").withColumn("date", F.col("_to")).drop("_to")
+    ends = cal.where("is_td").groupBy(F.date_trunc(PERIODS[freq], "date").alias("_p")).agg(F.max("date").alias("_to"))
+    step = F.expr({"w": f"interval {7 * n} days", "m": f"interval {n} months", "q": f"interval {3 * n} months", "y": f"interval {n} years"}[freq])
+    joined = df.withColumn("_p", F.date_trunc(PERIODS[freq], "date") + step).join(ends, "_p")
+    return joined.withColumn("date", F.col("_to")).drop("_to", "_p")
+
+
 def shifted_days(df: DataFrame, cal: DataFrame, n: int, column: str = "date", out: str = "shifted", inclusive: bool = False) -> DataFrame:
     """df with the trade day n after (before, if negative) its date; inclusive: a trade day counts as the first itself."""
     days = cal.select(F.col("date").alias("_d"), "is_td", "seq")
@@ -52,8 +92,8 @@ def shifted_days(df: DataFrame, cal: DataFrame, n: int, column: str = "date", ou
     step = n - (1 if n > 0 else -1) if inclusive and n else n
     # seq counts trade days up to the date, so from a day without trade n steps back end one earlier
     move = F.when(F.col("is_td"), F.lit(step)).otherwise(F.lit(n if n > 0 else n + 1))
-    joined = df.join(F.broadcast(days), F.col(column) == F.col("_d"), "left").withColumn("_seq", F.col("seq") + move)
-    return joined.join(F.broadcast(target), "_seq", "left").drop("_seq", "_d", "is_td", "seq")
+    joined = df.join(days, F.col(column) == F.col("_d"), "left").withColumn("_seq", F.col("seq") + move)
+    return joined.join(target, "_seq", "left").drop("_seq", "_d", "is_td", "seq")
 
 
 def period_flags(cal: DataFrame) -> DataFrame:
@@ -69,7 +109,7 @@ def period_flags(cal: DataFrame) -> DataFrame:
 def days_between(df: DataFrame, cal: DataFrame, start: str, end: str, out: str = "days") -> DataFrame:
     """Trade days in (start, end]."""
     a, b = (cal.select(F.col("date").alias(f"_d{i}"), F.col("seq").alias(f"_s{i}")) for i in "ab")
-    joined = df.join(F.broadcast(a), F.col(start) == F.col("_da"), "left").join(F.broadcast(b), F.col(end) == F.col("_db"), "left")
+    joined = df.join(a, F.col(start) == F.col("_da"), "left").join(b, F.col(end) == F.col("_db"), "left")
     return joined.withColumn(out, F.col("_sb") - F.col("_sa")).drop("_da", "_sa", "_db", "_sb")
 
 
@@ -116,7 +156,7 @@ def resampled(df: DataFrame, by: list[str], freq: str, aggregates: dict[str, Col
 def shifted_values(df: DataFrame, n: int, value: str, out: str) -> DataFrame:
     """The value n rows of the global date list before, per id; dates an id lacks count as well."""
     dates = df.select("date").distinct().withColumn("_seq", F.row_number().over(Window.orderBy("date")))
-    known = df.join(F.broadcast(dates), "date")
+    known = df.join(dates, "date")
     old = known.select("id", (F.col("_seq") + n).alias("_seq"), F.col(value).alias(out))
     return known.join(old, ["id", "_seq"], "left").drop("_seq")
 

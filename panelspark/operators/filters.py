@@ -198,6 +198,62 @@ def seasonally_adjusted(df: DataFrame, period: int = 12, by: str = "series", val
     return _per_series(df, lambda x: seasonal(x, period), by, value, order, ["trend", "seasonal", "adjusted"])
 
 
+def rolling_adjusted(df: DataFrame, window: int, period: int = 12, by: str = "series", value: str = "value", order: str = "date") -> DataFrame:
+    """Each point's seasonally adjusted value by the `window` points up to it; null until there are so many."""
+
+    def f(x: np.ndarray) -> list[np.ndarray]:
+        out = np.full(len(x), np.nan)
+        for i in range(window - 1, len(x)):
+            out[i] = seasonal(x[i + 1 - window : i + 1], period)[2][-1]
+        return [out]
+
+    return _per_series(df, f, by, value, order, ["adjusted"]).withColumn("adjusted", F.when(~F.isnan("adjusted"), F.col("adjusted")))
+
+
+def random_walk_regression(y: np.ndarray, x: np.ndarray, iterations: int) -> np.ndarray:
+    """Smoothed coefficients of y on x that move as random walks; begun by least squares, variances by EM."""
+    n, k = x.shape
+    start, *_ = np.linalg.lstsq(x, y, rcond=None)
+    r = max(float(np.var(y - x @ start)), 1e-8)
+    q, m0, p0 = np.eye(k) * r * 1e-2, start, np.eye(k) * max(r, 1.0)
+    smooth = np.tile(start, (n, 1))
+    for _ in range(iterations + 1):
+        m, p, pp = np.zeros((n, k)), np.zeros((n, k, k)), np.zeros((n, k, k))
+        for t in range(n):
+            before, pp[t] = (m[t - 1], p[t - 1] + q) if t else (m0, p0)
+            gain = pp[t] @ x[t] / (x[t] @ pp[t] @ x[t] + r)
+            m[t] = before + gain * (y[t] - x[t] @ before)
+            p[t] = pp[t] - np.outer(gain, x[t]) @ pp[t]
+        smooth, ps, moved = m.copy(), p.copy(), np.zeros((k, k))
+        for t in range(n - 2, -1, -1):
+            j = p[t] @ np.linalg.pinv(pp[t + 1])
+            smooth[t] += j @ (smooth[t + 1] - m[t])
+            ps[t] += j @ (ps[t + 1] - pp[t + 1]) @ j.T
+            cross = ps[t + 1] @ j.T
+            step = smooth[t + 1] - smooth[t]
+            moved += np.outer(step, step) + ps[t + 1] + ps[t] - cross - cross.T
+        if n > k + 2:
+            q = moved / (n - 1) + 1e-12 * np.eye(k)
+            left = y - (x * smooth).sum(axis=1)
+            r = max(float((left**2 + np.einsum("ti,tij,tj->t", x, ps, x)).mean()), 1e-8)
+    return smooth
+
+
+def changing_coefficients(df: DataFrame, y: str, xs: list[str], iterations: int = 5, intercept: bool = True, by: str = "series", order: str = "date") -> DataFrame:
+    """Time-varying regression per series: each row's coefficients (b_<x>, and b_const); rows with a null are left out."""
+    names = [*xs, *(["const"] if intercept else [])]
+    narrow = df.select(by, order, *(F.col(c).cast("double").alias(c) for c in [y, *xs])).dropna(subset=[y, *xs])
+    kinds = dict(narrow.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order).reset_index(drop=True)
+        x = np.column_stack([pdf[xs].to_numpy(float), *([np.ones(len(pdf))] if intercept else [])])
+        b = random_walk_regression(pdf[y].to_numpy(float), x, iterations)
+        return pdf[[by, order]].assign(**{f"b_{c}": b[:, i] for i, c in enumerate(names)})
+
+    return narrow.groupBy(by).applyInPandas(one, f"{by} {kinds[by]}, {order} {kinds[order]}, " + ", ".join(f"b_{c} double" for c in names))
+
+
 def festival_regressor(festivals: DataFrame, before: int = 10, after: int = 7) -> DataFrame:
     """Share of the festival's days from `before` days ahead to `after` days on that falls in each month of January to
     March, less the month's mean over the years; festivals: year, month, day."""

@@ -137,7 +137,7 @@ def optimised(assets: DataFrame, covariance: DataFrame, risk: float = 1.0, cost:
     with a sum of `total`. assets: date, id, r, wb, w0, wmin, wmax; covariance: date, id1, id2, cov (missing: 0).
     A date is one group; a date without a solution gives no rows."""
     left = assets.select("date", F.col("id").cast("string").alias("id"), *(F.col(c).cast("double") for c in ("r", "wb", "w0", "wmin", "wmax")))
-    right = covariance.select("date", F.col("id1").cast("string").alias("id1"), F.col("id2").cast("string").alias("id2"), F.col("cov").cast("double").alias("cov"))
+    right = covariance.select(F.col("date").alias("_date"), F.col("id1").cast("string").alias("id1"), F.col("id2").cast("string").alias("id2"), F.col("cov").cast("double").alias("cov"))
 
     def one(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         a = a.sort_values("id").reset_index(drop=True)
@@ -161,4 +161,4 @@ def optimised(assets: DataFrame, covariance: DataFrame, risk: float = 1.0, cost:
             return empty
         return pd.DataFrame({"date": a["date"], "id": a["id"], "weight": a["wb"] + x, "active": x})
 
-    return left.groupBy("date").cogroup(right.groupBy("date")).applyInPandas(one, "date date, id string, weight double, active double")
+    return left.groupBy("date").cogroup(right.groupBy("_date")).applyInPandas(one, "date date, id string, weight double, active double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,19 @@ def half_life_weights(df: DataFrame, half: float, by: str = "id", order: str = "
     return df.withColumn(out, F.col(out) / F.sum(out).over(Window.partitionBy(by))) if scale else df
 
 
+def with_base(df: DataFrame, cal: DataFrame, by: str = "id", ret: str = "ret") -> DataFrame:
+    """df (date, by, ret) with a return of 0 on the trade day before each one's first, from which net asset values start at 1."""
+    first = df.groupBy(by).agg(F.min("date").alias("_d")).withColumn("_before", F.date_sub("_d", 1))
+    base = first.join(cal.select(F.col("date").alias("_before"), "prev_td"), "_before").select(by, F.col("prev_td").alias("date"), F.lit(0.0).alias(ret))
+    return df.select(by, "date", ret).unionByName(base)
+
+
+def rolling_all(x: str, window: int, functions: dict, by: str = "id", order: str = "date") -> Column:
+    """A struct of several results over the last `window` rows; null until there are so many."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(1 - window, 0)
+    return F.when(F.count(F.lit(1)).over(w) == window, F.struct(*(f(x).over(w).alias(k) for k, f in functions.items())))
+
+
 def nav(ret: str, by: str = "id", order: str = "date") -> Column:
     """Growth of 1 by the returns so far; a missing return changes nothing."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -52,9 +66,15 @@ def position_of(x: str, window: int, by: str = "id", order: str = "date") -> Col
     return F.when(F.count(x).over(w) == window, F.greatest(F.lit(0.0), F.least(F.lit(1.0), place)))
 
 
-def overfitting(returns: DataFrame, blocks: int = 8, order: str = "date", strategy: str = "id", value: str = "value") -> DataFrame:
+def drawn_splits(blocks: int, draws: int, seed: int) -> list[tuple[int, list[int]]]:
+    """Halves of the blocks drawn at random, with replacement from all halves."""
+    rng = random.Random(seed)
+    return [(i, sorted(rng.sample(range(blocks), blocks // 2))) for i in range(draws)]
+
+
+def overfitting(returns: DataFrame, blocks: int = 8, order: str = "date", strategy: str = "id", value: str = "value", draws: int | None = None, seed: int = 0) -> DataFrame:
     """Probability of backtest overfitting: of all ways to take half of the blocks as sample, the share in which the
-    sample's best strategy by Sharpe ratio ranks in the lower half outside of it. One row: pbo, splits.
+    sample's best strategy by Sharpe ratio ranks in the lower half outside of it. One row: pbo, splits. draws: so many halves drawn at random instead of all.
 
     Blocks are sums per strategy, so a split adds up blocks and no returns are read again.
     """
@@ -62,8 +82,8 @@ def overfitting(returns: DataFrame, blocks: int = 8, order: str = "date", strate
     dates = returns.select(order).distinct().withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1)
     size = dates.agg(F.count("*").alias("_all"))
     cut = dates.crossJoin(F.broadcast(size)).select(order, F.floor(F.col("_n") * blocks / F.col("_all")).cast("int").alias("block"))
-    stats = returns.join(F.broadcast(cut), order).groupBy(strategy, "block").agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    chosen = [(i, list(c)) for i, c in enumerate(combinations(range(blocks), blocks // 2))]
+    stats = returns.join(cut, order).groupBy(strategy, "block").agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    chosen = drawn_splits(blocks, draws, seed) if draws else [(i, list(c)) for i, c in enumerate(combinations(range(blocks), blocks // 2))]
     splits = spark.createDataFrame(chosen, "split int, inside array<int>")
     every = stats.crossJoin(F.broadcast(splits)).withColumn("side", F.array_contains("inside", F.col("block")))
     sums = every.groupBy("split", "side", strategy).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))

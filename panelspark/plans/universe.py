@@ -31,6 +31,15 @@ class Universe:
         return self.frame.join(panel, KEYS, "left")
 
 
+def resolved(panel: DataFrame, ids: str | DataFrame | list, lookup: Callable[[str], Universe] | None = None) -> DataFrame:
+    """The panel at a universe: the formula of one, a frame of keys, or a list of ids."""
+    if isinstance(ids, str):
+        return from_formula(ids, lookup).of(panel)
+    if isinstance(ids, DataFrame):
+        return Universe(ids).of(panel)
+    return panel.where(F.col("id").isin(list(ids)))
+
+
 def named(members: DataFrame, index: str = "index_id") -> Callable[[str], Universe]:
     return lambda name: Universe(members.where(F.col(index) == name))
 

@@ -403,11 +403,6 @@ def t7_percentile(spark, d):
     return rounded(series(spark, d).select("series", "date", rolling.percentile_of("value", 30, "series").alias("share"), rolling.position_of("value", 30, "series").alias("place")))
 
 
-@query(None)
-def t10_overfitting(spark, d):
-    return rounded(rolling.overfitting(series(spark, d).withColumnRenamed("series", "id")))
-
-
 CAL = "days AS (SELECT CAST(unnest(generate_series(DATE '1992-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS date), cal AS (SELECT date, isodow(date) < 6 AND NOT (month(date) = 1 AND day(date) = 1) AS is_td FROM days), td AS (SELECT date, row_number() OVER (ORDER BY date) AS seq FROM cal WHERE is_td)"
 
 
@@ -615,3 +610,6 @@ def st1_windowed_events(spark, d):
 
     w = windowed(read(spark, d, "events"), "ts", "event_type", "value", "6 hours", "1 hour")
     return rounded(w.withColumn("start", F.col("start").cast("timestamp_ntz")), "total", digits=4)
+
+
+from panelspark import queries_more  # noqa: E402, F401  # registers the others

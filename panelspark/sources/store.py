@@ -156,7 +156,7 @@ def with_labels(df: DataFrame, known: DataFrame | None, label: str) -> tuple[Dat
 
     known = known if known is not None else df.sparkSession.createDataFrame([], f"{label} string, code long")
     names = new_keys(known, df, label, "code")
-    return df.join(F.broadcast(names), label, "left"), names
+    return df.join(names, label, "left"), names
 
 
 def read_csv_dates(spark: SparkSession, folder: str, schema: str, encoding: str = "GBK") -> DataFrame:
@@ -179,6 +179,16 @@ def write_csv_dates(df: DataFrame, folder: str) -> None:
     df.repartition("date").write.partitionBy("date").mode("overwrite").option("header", True).csv(folder)
 
 
+def read_csv_folders(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What write_csv_dates wrote, a folder a date; filters on date read these folders alone."""
+    return spark.read.csv(folder, schema=f"{schema}, date date", header=True)
+
+
+def read_query(spark: SparkSession, url: str, sql: str, **options) -> DataFrame:
+    """The rows of a statement that the database runs itself."""
+    return spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+
+
 def read_table(spark: SparkSession, url: str, table: str, equal: dict | None = None, between: dict | None = None, fields: list[str] | None = None, **options) -> DataFrame:
     """A database table over JDBC; filters are Column predicates that Spark pushes down, never text put together."""
     from panelspark.operators.align import matching
