@@ -311,8 +311,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int
     first, last = (F.shiftright("a", 14) - F.expr(e) for e in ("shiftright(a, 7) & 127", "a & 127"))
     whole = found.where("not span and nth > 1").select("doc_id", first.alias("start"), (last + length).alias("end"))
     edges = found.where("not span and nth = 1").select("doc_id", "a", "bucket")
-    parts = edges.groupBy("bucket").agg(F.ceil(F.count("*") / part).alias("parts"))
-    edges = edges.join(parts, "bucket").withColumn("salt", F.pmod(F.xxhash64("doc_id", "a"), "parts")).withColumn("split", F.col("parts") > 1)
+    # buckets of several parts are few; written, their size is known, and Spark broadcasts them if it is small
+    parts = cut(edges.groupBy("bucket").agg(F.ceil(F.count("*") / part).alias("parts")).where("parts > 1"))
+    edges = edges.join(parts, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("salt", F.pmod(F.xxhash64("doc_id", "a"), "parts")).withColumn("split", F.col("parts") > 1)
     edges = edges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "bucket", "salt", "split")).alias("places")).withColumnRenamed("doc_id", "other")
     strings = sorted_apart(contexts(docs.select("doc_id", "text").join(edges, same(F.col("doc_id"), F.col("other"))).drop("other"), length), length)
     nth = F.rank().over(Window.partitionBy("rest", "part").orderBy("doc_id", "a"))
