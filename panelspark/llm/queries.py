@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, licenses, linededup, minhash, packing, quality, suffixes, toxicity, urls
+from panelspark.llm import bpe, fingerprints, licenses, linededup, minhash, packing, quality, sql, suffixes, toxicity, urls
 from panelspark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -62,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
