@@ -6,7 +6,8 @@ text of both gives just these two; a chain of pairwise compatible tokens is what
 found to lead nowhere isn't tried again, so the work is linear in the text. Decoding gathers bytes through an offset table.
 
 Results for odd input: null or empty texts give no ids and an empty decoded text; a null doc_id stays null; repeated
-rows give repeated results; other columns of the input are left aside.
+rows give repeated results; a text of any length is encoded whole; of equal pairs that overlap the leftmost is merged, as
+the library does; other columns of the input are left aside.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from panelspark.llm.common import slices, texts, whole_docs
 
 #: Entries that a worker keeps of stretches already encoded; when full, they become the older half, which then goes.
 CACHE = 250_000
+#: Longer stretches aren't kept.
+LONGEST_KEPT = 64
 END = "￿"  # stands for the end of a word within the tables below
 NEVER = 1 << 60
 LONGEST, FAIL = "longest", "fail"
@@ -188,9 +191,10 @@ class Codec:
                 ids = (self.chunks.get(chunk[:-1]) or self.chunk(chunk[:-1])) + (self.chunks.get(chunk[-1]) or self.chunk(chunk[-1]))
             else:
                 ids = self._pieces((chunk,) if chunk.isalpha() else self.find(chunk))
-        if len(self.chunks) > CACHE:
-            self.older, self.chunks = self.chunks, {}
-        self.chunks[chunk] = ids
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self.chunks) > CACHE:
+                self.older, self.chunks = self.chunks, {}
+            self.chunks[chunk] = ids
         return ids
 
     def _pieces(self, pieces) -> bytes:
@@ -261,8 +265,7 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "ids"):
                 ids = part.column("ids")
                 out = [c.decode(row.values.to_numpy() if row.is_valid else ()) for row in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([x.decode() for x in out], pa.string())], ["doc_id", "ids", "decoded"])
