@@ -11,8 +11,9 @@ HIGH), those of one document alone are told to it, and all other words of texts
 words that an edited text may have from neither document are looked up.
 
 Results for odd input: a null text counts as empty; a null doc_id comes first in order; rows that repeat both doc_id and
-text are one document and get the same result; the document after the last is the first, which may be itself; an empty
-table gives no rows; other columns are left aside.
+text are one document and get the same result; the document after the last is the first, which may be itself; of rows
+that share a doc_id the order is by hash; a text of any length is taken whole; an empty table gives no rows; other columns
+are left aside.
 """
 
 from __future__ import annotations
