@@ -48,8 +48,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch whose texts hold about `limit` bytes."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Consecutive slices of a batch whose texts (or lists of numbers) hold about `limit` bytes (or numbers)."""
+    kind = batch.schema.field(column).type
+    size = pc.list_value_length if pa.types.is_list(kind) else pc.binary_length
+    sizes = pc.fill_null(size(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(sizes, dtype=np.int64), 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0

@@ -60,8 +60,8 @@ def byte_values(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed | 1))
 
 
-def shingles(rows: list[str], words: int, ignore_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text as 64-bit numbers: (row, shingle), sorted by both. Shorter texts are one shingle."""
+def word_hashes(rows: list[str], ignore_case: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word."""
     raw = [r.encode("utf-8", "surrogatepass") for r in rows]
     joined = b"\n".join(raw) + b"\n"
     code = np.frombuffer(joined.lower() if ignore_case else joined, np.uint8)
@@ -72,8 +72,14 @@ def shingles(rows: list[str], words: int, ignore_case: bool = True) -> tuple[np.
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     up, down = powers(1 << max(20, int(len(code)).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_values(0xA5A5_1234_5678_9BDF)[code] * up[: len(code)], dtype=np.uint64)])
-    word = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
+    return np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right"), mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def shingles(rows: list[str], words: int, ignore_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as 64-bit numbers: (row, shingle), sorted by both. Shorter texts are one shingle."""
+    doc, word = word_hashes(rows, ignore_case)
+    if not len(word):
+        return doc, word
     counts = np.bincount(doc, minlength=len(rows))
     first = np.cumsum(counts) - counts
     left = np.minimum(counts[doc], words)  # words in this text's shingles

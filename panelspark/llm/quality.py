@@ -10,7 +10,8 @@ texts. Of certified rules the one that rejects most bad held-out texts is taken.
 
 Results for odd input: null and empty texts have no words and fail the base rule; without labels, or with too few to
 certify a rule, only the base rule rejects; null labels are no labels, a doc_id that repeats in labels takes its largest;
-repeated documents are measured each; a null doc_id has no label; other columns are left aside.
+repeated documents are measured each; a null doc_id has no label; a text of any length is measured whole; a value equal
+to a cutoff isn't rejected; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, whole_docs
+from panelspark.llm.common import cut, mix, slices, texts, whole_docs
+from panelspark.llm.minhash import BASE, SLICE, word_hashes
 
 RISK, ERROR, GAIN = 0.02, 0.05, 3.0
 #: Shares of good texts that one measure may reject where the rules are laid out.
@@ -43,30 +45,33 @@ STRATA = [0, 100, 300, 1000]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 
 
-def repeated_words(words: list[bytes], size: int = 3) -> int:
-    """Words in windows of `size` words that are found twice or more."""
-    windows = list(zip(*(words[i:] for i in range(size)), strict=False))
-    if len(set(windows)) == len(windows):
-        return 0
-    times: dict = {}
-    for w in windows:
-        times[w] = times.get(w, 0) + 1
-    inside = upto = 0
-    for i, w in enumerate(windows):
-        if times[w] > 1:
-            inside += i + size - max(upto, i)
-            upto = i + size
-    return inside
+def repeated_words(rows: list[str], size: int = 3) -> np.ndarray:
+    """For each text the number of words in windows of `size` words that are found twice or more in it."""
+    doc, word = word_hashes(rows, ignore_case=False)
+    n = len(word) - size + 1
+    if n < 1:
+        return np.zeros(len(rows), np.int64)
+    window = np.zeros(n, np.uint64)
+    for j in range(size):
+        window = mix(window * np.uint64(BASE) + word[j : j + n])
+    at = np.flatnonzero(doc[:n] == doc[size - 1 :])
+    at = at[np.lexsort((window[at], doc[at]))]
+    like_next = (window[at][1:] == window[at][:-1]) & (doc[at][1:] == doc[at][:-1])
+    often = at[np.concatenate([like_next, [False]]) | np.concatenate([[False], like_next])]
+    edges = np.zeros(len(word) + 1, np.int64)
+    edges[often] += 1
+    np.subtract.at(edges, often + size, 1)
+    return np.bincount(doc[np.cumsum(edges[:-1]) > 0], minlength=len(rows))
 
 
 def measure(text: str) -> list[int]:
+    """COUNTS of a text, but for repeated words; bytes are split at just the white space meant here."""
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()  # bytes split at just the white space meant here
     blank = sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     capitals = sum(map(str.isupper, text)) if not text.islower() else 0
     symbols = sum(raw.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))
-    return [len(words), len(text) - blank, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines), capitals]
+    return [len(raw.split()), len(text) - blank, symbols, len(lines) - len(set(lines)), 0, len(lines), capitals]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -74,8 +79,11 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([measure(t or "") for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], ["doc_id", *COUNTS])
+            for part in slices(batch, "text", SLICE):
+                of = texts(part, "text")
+                rows = np.array([measure(t) for t in of], np.int64)
+                rows[:, COUNTS.index("n_repeat_words")] = repeated_words(of)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], ["doc_id", *COUNTS])
 
     return whole_docs(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
