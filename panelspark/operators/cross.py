@@ -26,8 +26,10 @@ def limited(df: DataFrame, x: str, low: Column, high: Column, drop: bool = False
 
 
 def outliers_by_ratio(df: DataFrame, x: str, by: str = "date", ratio: float = 0.1, drop: bool = False) -> DataFrame:
-    q = lambda r: F.percentile(x, F.lit(r)).over(_over(by))
-    return limited(df, x, q(ratio), q(1 - ratio), drop)
+    # bounds are aggregated and joined: a window would hold all rows of a date for each
+    bounds = df.groupBy(F.col(by).alias("_by")).agg(F.percentile(x, F.array(F.lit(ratio), F.lit(1 - ratio))).alias("_q"))
+    rows = df.join(bounds, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return limited(rows, x, F.get("_q", F.lit(0)), F.get("_q", F.lit(1)), drop).drop("_by", "_q")
 
 
 def outliers_by_deviation(df: DataFrame, x: str, by: str = "date", alpha: float = 3.0, drop: bool = False) -> DataFrame:
@@ -108,13 +110,15 @@ def standardised(df: DataFrame, x: str, by: str = "date", mean_weight: str | Non
 
 def standardised_by_rank(df: DataFrame, x: str, by: str = "date", out: str | None = None) -> DataFrame:
     """Distinct values spread evenly over (0, 1), as normal quantiles, as z-scores; one distinct value gives null."""
-    order = Window.partitionBy(by).orderBy(F.col(x).asc_nulls_last())
-    df = df.withColumn("_rank", F.when(F.col(x).isNotNull(), F.dense_rank().over(order)))
-    most = F.max("_rank").over(_over(by))
-    p = 1e-6 + (F.col("_rank") - 1) * (1 - 2e-6) / F.nullif(most - 1, F.lit(0))
-    df = df.withColumn("_q", normal_quantile(p))
-    z = (F.col("_q") - F.avg("_q").over(_over(by))) / F.nullif(F.stddev_pop("_q").over(_over(by)), F.lit(0.0))
-    return df.withColumn(out or f"{x}_qt", z).drop("_rank", "_q")
+    out, n, q = out or f"{x}_qt", F.col("_n"), F.col("_q")
+    values = df.where(F.col(x).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_by")
+    ranked = values.withColumn("_rank", F.row_number().over(w.orderBy("_x"))).withColumn("_most", F.count("*").over(w))
+    p = 1e-6 + (F.col("_rank") - 1) * (1 - 2e-6) / F.nullif(F.col("_most") - 1, F.lit(0))
+    ranked = ranked.withColumn("_q", normal_quantile(p)).withColumn("_mean", F.sum(n * q).over(w) / F.sum(n).over(w))
+    spread = F.sqrt(F.sum(n * (q - F.col("_mean")) * (q - F.col("_mean"))).over(w) / F.sum(n).over(w))
+    ranked = ranked.select("_by", "_x", ((q - F.col("_mean")) / F.nullif(spread, F.lit(0.0))).alias(out))
+    return df.join(ranked, F.col(by).eqNullSafe(F.col("_by")) & (F.col(x) == F.col("_x")), "left").drop("_by", "_x")
 
 
 def combined(df: DataFrame, factors: list[str], weights: list[float], out: str = "combined") -> DataFrame:
@@ -212,23 +216,26 @@ def symmetric_orthogonal(df: DataFrame, factors: list[str], by: str = "date") ->
     return joined.withColumns(new).drop(*(f"_s{i}_{j}" for i in range(k) for j in range(k)))
 
 
-def average_rank(x: Column, ok: Column, by: str) -> Column:
-    """Rank among the group's rows that are ok, ties sharing the mean rank."""
-    v = F.when(ok, x)
-    low = F.rank().over(Window.partitionBy(by).orderBy(v.asc_nulls_last()))
-    return F.when(ok, low + (F.count(v).over(Window.partitionBy(by, v)) - 1) / 2)
+def average_rank(x: str, by: list[str]) -> Column:
+    """Rank among the group's rows, ties sharing the mean rank; one sort serves ranks and ties."""
+    order = Window.partitionBy(*by).orderBy(x)
+    return F.rank().over(order) + (F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
 def correlations(df: DataFrame, factors: list[str], by: str = "date", method: str = "spearman") -> DataFrame:
     """by, left, right, corr of every two factors, over the rows that have both."""
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i:]]
+    # a factor's correlation with itself is 1 (nan if it is constant), ranked or not
+    alone = df.unpivot([by], factors, "left", "x").where("x is not null").groupBy(by, "left").agg(F.corr("x", "x").alias("corr"))
+    alone = alone.select(by, "left", F.col("left").alias("right"), "corr")
+    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
+    if not pairs:
+        return alone
     sides = F.explode(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs))).alias("p")
     rows = df.select(by, sides).select(by, "p.*").where("x is not null and y is not null")
     if method == "spearman":
-        keyed = rows.withColumn("_k", F.struct(by, "left", "right"))
-        yes = F.lit(True)
-        rows = keyed.withColumn("_rx", average_rank(F.col("x"), yes, "_k")).withColumn("_ry", average_rank(F.col("y"), yes, "_k")).withColumn("x", F.col("_rx")).withColumn("y", F.col("_ry"))
-    return rows.groupBy(by, "left", "right").agg(F.corr("x", "y").alias("corr"))
+        key = [by, "left", "right"]
+        rows = rows.withColumn("_x", average_rank("x", key)).withColumn("y", average_rank("y", key)).withColumn("x", F.col("_x"))
+    return rows.groupBy(by, "left", "right").agg(F.corr("x", "y").alias("corr")).unionByName(alone)
 
 
 def industry_return(df: DataFrame, ret: str, mv: str, industry: str, by: str = "date") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Time-series filters and turning points. A series is a group of rows; what is recursive runs over its ordered array."""
+"""Time-series filters and turning points. A series is a group of rows; what is recursive runs over it in order, once."""
 
 from __future__ import annotations
 
@@ -12,42 +12,32 @@ from pyspark.sql import functions as F
 LAMBDA = {"M": 129600.0, "Q": 1600.0, "Y": 6.25, "D": 1600.0 * 60**4}
 
 
-def _ordered(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("x")))).alias("_xs"))
-
-
-def _spread(df: DataFrame, by: str, order: str, out: str) -> DataFrame:
-    """Arrays _xs and _ys as rows again."""
-    zipped = F.zip_with("_xs", "_ys", lambda x, y: F.struct(x["at"].alias(order), x["x"].alias("value"), y.alias(out)))
-    return df.select(by, F.explode(zipped).alias("r")).select(by, "r.*")
-
-
 def ewma(df: DataFrame, window: float | None = None, half_life: float | None = None, by: str = "series", value: str = "value", order: str = "date") -> DataFrame:
     """y0 = x0, then (1 - a) y + a x, with a = 2 / (1 + window), or by half-life."""
     a = 2 / (1 + window) if window is not None else 1 - math.exp(math.log(0.5) / half_life)
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.when(F.size(acc) == 0, x["x"]).otherwise((1 - a) * F.element_at(acc, -1) + a * x["x"])
-        return F.concat(acc, F.array(new))
+    def f(x: np.ndarray) -> list[np.ndarray]:
+        y = x.copy()
+        for t in range(1, len(x)):
+            y[t] = (1 - a) * y[t - 1] + a * x[t]
+        return [y]
 
-    rows = _ordered(df, by, value, order)
-    return _spread(rows.withColumn("_ys", F.aggregate("_xs", F.array().cast("array<double>"), step)), by, order, "ewma")
+    return _per_series(df, f, by, value, order, ["ewma"])
 
 
 def llt(df: DataFrame, window: float = 6, by: str = "series", value: str = "value", order: str = "date") -> DataFrame:
     """Second-order low-lag trend line, begun in the steady state of the first value."""
     a = 2 / (1 + window)
 
-    def step(acc: Column, x: Column) -> Column:
-        v, last = x["x"], acc["ys"]
-        x1, x2, y1, y2 = (F.coalesce(acc[c], v) for c in ("x1", "x2", "y1", "y2"))
-        y = (a - a * a / 4) * v + (a * a / 2) * x1 - (a - 3 * a * a / 4) * x2 + 2 * (1 - a) * y1 - (1 - a) ** 2 * y2
-        return F.struct(v.alias("x1"), x1.alias("x2"), y.alias("y1"), y1.alias("y2"), F.concat(last, F.array(y)).alias("ys"))
+    def f(x: np.ndarray) -> list[np.ndarray]:
+        out = np.empty(len(x))
+        x1 = x2 = y1 = y2 = x[0] if len(x) else 0.0
+        for t, v in enumerate(x):
+            out[t] = y = (a - a * a / 4) * v + (a * a / 2) * x1 - (a - 3 * a * a / 4) * x2 + 2 * (1 - a) * y1 - (1 - a) ** 2 * y2
+            x1, x2, y1, y2 = v, x1, y, y1
+        return [out]
 
-    none = F.lit(None).cast("double")
-    start = F.struct(*(none.alias(c) for c in ("x1", "x2", "y1", "y2")), F.array().cast("array<double>").alias("ys"))
-    rows = _ordered(df, by, value, order)
-    return _spread(rows.withColumn("_ys", F.aggregate("_xs", start, step, lambda acc: acc["ys"])), by, order, "llt")
+    return _per_series(df, f, by, value, order, ["llt"])
 
 
 def _per_series(df: DataFrame, f, by: str, value: str, order: str, columns: list[str]) -> DataFrame:

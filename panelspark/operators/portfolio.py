@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.align import as_of
+
 PERIODS = {"d": 252, "w": 52, "m": 12}
 
 
@@ -29,11 +31,13 @@ def held_returns(targets: DataFrame, returns: DataFrame, commission: float = 0.0
     before it; weights drift with returns and sum to 1 each day. As no weight depends on the one before the rebalance,
     all chunks run side by side, and turnover compares each chunk's first weights with the last of the one before.
     """
-    rebalances = targets.select("date").distinct().withColumn("until", F.lead("date").over(Window.orderBy("date"))).withColumn("nth", F.row_number().over(Window.orderBy("date")))
+    rebalances = targets.select("date").distinct().withColumn("nth", F.row_number().over(Window.orderBy("date")))
     scaled = targets.withColumn("w1", F.col("weight") / F.sum("weight").over(Window.partitionBy("date")))
-    chunks = scaled.join(F.broadcast(rebalances), "date").select("nth", "until", F.col("date").alias("begin"), "id", "w1")
-    days = returns.select("date", "id", F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    held = chunks.join(days, "id").where((F.col("date") >= F.col("begin")) & (F.col("until").isNull() | (F.col("date") < F.col("until"))))
+    chunks = scaled.join(rebalances, "date").select("nth", "id", "w1")
+    # each day is told its rebalance, so that days meet weights by an equal key
+    one = F.lit(1).alias("_k")
+    days = as_of(returns.select("date", one).distinct(), rebalances.select("date", "nth", one), "_k", "date", ["nth"]).drop("_k")
+    held = returns.select("date", "id", F.coalesce("ret", F.lit(0.0)).alias("ret")).join(days, "date").join(chunks, ["nth", "id"])
     path = Window.partitionBy("nth", "id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     grown = held.withColumn("end", F.col("w1") * F.product(1 + F.col("ret")).over(path)).withColumn("start", F.col("end") / F.nullif(1 + F.col("ret"), F.lit(0.0)))
     day = Window.partitionBy("date")
@@ -42,7 +46,7 @@ def held_returns(targets: DataFrame, returns: DataFrame, commission: float = 0.0
     last = grown.withColumn("_last", F.max("date").over(Window.partitionBy("nth"))).where("date = _last").select((F.col("nth") + 1).alias("nth"), "id", F.col("after").alias("w0"))
     moves = chunks.select("nth", "id", "w1").join(last, ["nth", "id"], "full").groupBy("nth").agg(F.sum(F.abs(F.coalesce("w1", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))).alias("turnover"))
     first = F.col("date") == F.min("date").over(Window.partitionBy("nth"))
-    joined = daily.join(F.broadcast(moves), "nth").withColumn("turnover", F.when(first, F.col("turnover")).otherwise(0.0))
+    joined = daily.join(moves, "nth").withColumn("turnover", F.when(first, F.col("turnover")).otherwise(0.0))
     return joined.select("date", (F.col("value") - commission * F.col("turnover")).alias("value"), "turnover")
 
 
