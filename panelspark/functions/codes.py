@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.align import numbered
+
 
 def trade_code(code: Column) -> Column:
     """Six digits of a code given as a number, a short text or a suffixed code."""
@@ -58,15 +60,15 @@ def new_keys(known: DataFrame, seen: DataFrame, name: str, key: str) -> DataFram
     """known plus the unseen names, numbered on after the largest key in the order of names."""
     fresh = seen.select(name).where(F.col(name).isNotNull()).distinct().join(known.select(name), name, "left_anti")
     top = known.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy(name)))
-    return known.select(name, key).unionByName(numbered.crossJoin(F.broadcast(top)).select(name, (F.col("_top") + F.col("_n")).cast("long").alias(key)))
+    after = numbered(fresh, [name], "_n").crossJoin(F.broadcast(top))  # top is one row
+    return known.select(name, key).unionByName(after.select(name, (F.col("_top") + F.col("_n") + 1).cast("long").alias(key)))
 
 
 def id_ranges(df: DataFrame, key: str, order: str) -> DataFrame:
     """First and last position of each run of equal keys along `order`, positions counted from 0."""
-    w = Window.orderBy(order)
-    numbered = df.withColumn("_pos", F.row_number().over(w) - 1).withColumn("_own", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return numbered.groupBy(key, (F.col("_pos") - F.col("_own")).alias("_island")).agg(F.min("_pos").alias("start"), F.max("_pos").alias("end")).drop("_island")
+    rows = numbered(df.select(key, order), [order], "_pos")
+    own = F.row_number().over(Window.partitionBy(key).orderBy("_pos"))
+    return rows.withColumn("_island", F.col("_pos") - own).groupBy(key, "_island").agg(F.min("_pos").cast("int").alias("start"), F.max("_pos").cast("int").alias("end")).drop("_island")
 
 
 def fixed_point(x: Column, digits: int = 4) -> Column:

@@ -105,6 +105,18 @@ def label_of(df: DataFrame, values: list[str], out: str = "label") -> DataFrame:
     return df.withColumn(out, F.coalesce(*(F.when(F.col(v) == 1, v) for v in values)))
 
 
+def numbered(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
+    """df with each row's place (from 0) in an order. Ranges of the order are numbered side by side and then moved on by the
+    sizes of those before them, so no task meets more than a range; one row a range meets in one."""
+    ranges = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_moved"))
+    place = F.row_number().over(inside) - 1 + F.col("_moved")
+    return ranges.join(moved, "_range").withColumn(out, place).drop("_range", "_moved")
+
+
 def codes_as_of(dates: DataFrame, codes: DataFrame, label: str, values: list[str]) -> DataFrame:
     """0/1 columns of each id's last label at or before each date; an id without one yet is left out."""
     grid = dates.select("date").distinct().crossJoin(codes.select("id").distinct())

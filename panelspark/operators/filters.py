@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.align import as_of
+
 LAMBDA = {"M": 129600.0, "Q": 1600.0, "Y": 6.25, "D": 1600.0 * 60**4}
 
 
@@ -262,11 +264,37 @@ def merged_spring(df: DataFrame, by: str = "series") -> DataFrame:
     return df.where(F.month("date") > 2).select(by, "date", "value").unionByName(spring)
 
 
-def matched_turns(a: DataFrame, b: DataFrame, look_back: int) -> DataFrame:
-    """Turning points of a (date, turning) with the last like one of b at most `look_back` days before it, else the first
-    as many days after; lead in days."""
-    like = b.select(F.col("date").alias("other"), F.col("turning").alias("_t"))
-    near = a.join(like, (F.col("turning") == F.col("_t")) & (F.abs(F.datediff("date", "other")) <= look_back), "left")
-    lead = F.datediff("date", "other")
-    best = near.withColumn("_lead", lead).groupBy("date", "turning").agg(F.min_by("_lead", F.struct((F.col("_lead") < 0).alias("late"), F.abs("_lead").alias("far"))).alias("lead"))
-    return best.withColumn("matched", F.col("lead").isNotNull())
+def matched_turns(a: DataFrame, b: DataFrame, look_back: int, look_forward: int = 0, by: str = "series") -> DataFrame:
+    """Turning points of a with those of b that they match; both: by, date, turning.
+
+    A point is matched by the last one of b up to it, if that is alike, at most `look_back` days before, and no other
+    point of a lies from it on. If the last one is not alike, the last one of b up to `look_forward` days after the point
+    matches if it is alike. lead: days by which b's comes first. known: whether b has any point up to this one.
+    """
+    own = a.select(by, "date", "turning").withColumn("_before", F.lag("date").over(Window.partitionBy(by).orderBy("date")))
+    other = b.select(F.col(by), F.col("date").alias("_day"), F.col("turning").alias("_turn"))
+    near = as_of(own, other, by, "date", ["_day", "_turn"], right_order="_day").withColumn("_until", F.date_add("date", look_forward))
+    ahead = other.select(by, F.col("_day").alias("_day2"), F.col("_turn").alias("_turn2"))
+    near = as_of(near, ahead, by, "_until", ["_day2", "_turn2"], right_order="_day2")
+    alike = F.col("turning") == F.col("_turn")
+    first = alike & (F.datediff("date", "_day") <= look_back) & (F.col("_before").isNull() | (F.col("_before") < F.col("_day")))
+    match = F.when(first, F.col("_day")).when(~alike & (F.col("turning") == F.col("_turn2")), F.col("_day2"))
+    out = near.select(by, "date", "turning", match.alias("other"), F.col("_turn").isNotNull().alias("known"))
+    return out.withColumn("lead", F.datediff("date", "other")).withColumn("matched", F.col("other").isNotNull())
+
+
+def match_report(a: DataFrame, b: DataFrame, look_back: int, look_forward: int = 0, by: str = "series") -> DataFrame:
+    """Per series: points of a without data, matched, their share, b's superfluous share, mean and spread of the lead.
+
+    Of b's points those count that lie within a's, and the next beyond either end.
+    """
+    rows = matched_turns(a, b, look_back, look_forward, by)
+    ends = a.groupBy(by).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    within = b.join(ends, by).groupBy(by).agg(
+        F.sum(F.col("date").between(F.col("_lo"), F.col("_hi")).cast("long")).alias("_in"),
+        F.max((F.col("date") < F.col("_lo")).cast("long")).alias("_early"), F.max((F.col("date") > F.col("_hi")).cast("long")).alias("_late"),
+    )
+    n = lambda c: F.sum(c.cast("long"))
+    stats = rows.groupBy(by).agg(n(~F.col("known")).alias("without_data"), n(F.col("matched")).alias("matched"), n(F.col("known")).alias("_all"), F.avg("lead").alias("mean_lead"), F.stddev_pop("lead").alias("std_lead"))
+    other = F.col("_in") + F.col("_early") + F.col("_late")
+    return stats.join(within, by, "left").select(by, "without_data", "matched", (F.col("matched") / F.nullif(F.col("_all"), F.lit(0))).alias("match_ratio"), ((other - F.col("matched")) / other).alias("redundant_ratio"), "mean_lead", "std_lead")

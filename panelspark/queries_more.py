@@ -542,6 +542,19 @@ def g6_by_score(spark, d):
     return rounded(timing.by_score(signals(spark, d)), digits=8)
 
 
+TURNS = f"""{SIGNALS}, x AS (SELECT name AS series, date, signal AS turning, lag(signal) OVER (PARTITION BY name ORDER BY date) AS p FROM signals), a AS (SELECT series, date, turning, lag(date) OVER (PARTITION BY series ORDER BY date) AS before FROM x WHERE turning <> 0 AND turning IS DISTINCT FROM p),
+ b AS (SELECT series, CAST(date + 2 AS DATE) AS day, CASE WHEN day(date) % 4 = 0 THEN -turning ELSE turning END AS turn FROM a), n AS (SELECT a.*, b.day, b.turn FROM a ASOF LEFT JOIN b ON a.series = b.series AND a.date >= b.day),
+ m AS (SELECT n.*, c.day AS day2, c.turn AS turn2 FROM n ASOF LEFT JOIN b c ON n.series = c.series AND CAST(n.date + 2 AS DATE) >= c.day)"""
+
+
+@query(f"WITH {TURNS}, o AS (SELECT *, CASE WHEN turning = turn AND date - day <= 4 AND (before IS NULL OR before < day) THEN day WHEN turning <> turn AND turning = turn2 THEN day2 END AS other FROM m) SELECT series, date, turning, other, turn IS NOT NULL AS known, CAST(date - other AS INTEGER) AS lead, other IS NOT NULL AS matched FROM o")
+def z11_matched_turns(spark, d):
+    s = signals(spark, d).withColumn("_p", F.lag("signal").over(Window.partitionBy("name").orderBy("date")))
+    a = s.where("signal <> 0 and (_p is null or _p <> signal)").select(F.col("name").alias("series"), "date", F.col("signal").alias("turning"))
+    b = a.withColumn("turning", F.when(F.day("date") % 4 == 0, -F.col("turning")).otherwise(F.col("turning"))).withColumn("date", F.date_add("date", 2))
+    return filters.matched_turns(a, b, 4, 2)
+
+
 @query(None)
 def g9_unit_root(spark, d):
     return rounded(regress.adf(series(spark, d), 1), digits=5)
