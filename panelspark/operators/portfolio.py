@@ -51,43 +51,53 @@ def held_returns(targets: DataFrame, returns: DataFrame, commission: float = 0.0
 
 
 def backtest(targets: DataFrame, returns: DataFrame, status: DataFrame, commission: float = 0.0) -> DataFrame:
-    """portfolio, date, value, turnover with names that can't be traded; one portfolio is one group, its state runs
-    through its rebalances. targets: portfolio, date, id, weight; returns: portfolio, date, id, ret; status: portfolio,
-    date, id, no_buy, no_sell (missing: both)."""
-    both = targets.select("portfolio", "date", "id", F.col("weight"), F.lit(None).cast("double").alias("ret"), F.lit(None).cast("boolean").alias("no_buy"), F.lit(None).cast("boolean").alias("no_sell"), F.lit(0).alias("kind"))
-    both = both.unionByName(returns.select("portfolio", "date", "id", "ret", F.lit(1).alias("kind")), allowMissingColumns=True)
-    both = both.unionByName(status.select("portfolio", "date", "id", "no_buy", "no_sell", F.lit(2).alias("kind")), allowMissingColumns=True)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        target = pdf[pdf.kind == 0].pivot_table(index="date", columns="id", values="weight", aggfunc="last")
-        ret = pdf[pdf.kind == 1].pivot_table(index="date", columns="id", values="ret", aggfunc="last").fillna(0.0)
-        names = sorted(set(target.columns) | set(ret.columns))
-        target, ret = target.reindex(columns=names).fillna(0.0), ret.reindex(columns=names).fillna(0.0)
-        state = pdf[pdf.kind == 2]
-        flags = {c: state.assign(**{c: state[c].astype(float)}).pivot_table(index="date", columns="id", values=c, aggfunc="last").reindex(index=ret.index, columns=names).fillna(1.0).to_numpy() > 0 for c in ("no_buy", "no_sell")}
-        w, out = np.zeros(len(names)), []
-        starts = np.searchsorted(ret.index, target.index)
-        if not len(starts):
-            return pd.DataFrame({"portfolio": [], "date": [], "value": [], "turnover": []})
-        at = dict(zip(starts, range(len(target)), strict=True))
-        for i, day in enumerate(ret.index):
-            turnover = 0.0
-            if i in at:
-                goal = target.iloc[at[i]].to_numpy()
-                blocked = (flags["no_buy"][i] & (goal > w)) | (flags["no_sell"][i] & (goal < w))
-                free = goal[~blocked].sum()
-                new = np.where(blocked, w, goal * ((1 - w[blocked].sum()) / free if free else 0.0))
-                turnover, w = np.abs(new - w).sum(), new
-            elif i < starts[0]:
-                continue
-            r = ret.iloc[i].to_numpy()
-            out.append((pdf.portfolio.iloc[0], day, float(w @ r - commission * turnover), float(turnover)))
-            grown = w * (1 + r)
-            w = grown / grown.sum() * w.sum() if grown.sum() else grown
-        return pd.DataFrame(out, columns=["portfolio", "date", "value", "turnover"])
-
-    kind = dict(targets.dtypes)["portfolio"]
-    return both.groupBy("portfolio").applyInPandas(one, f"portfolio {kind}, date date, value double, turnover double")
+    """portfolio, date, value, turnover with names that can't be traded.
+
+    targets: portfolio, date, id, weight; returns: portfolio, date, id, ret; status: portfolio, date, id, no_buy, no_sell
+    (missing: both). A target counts from the first day with returns at or after its date, the last one of a day. Only the
+    weights that rebalances trade to depend on what was held before: these are walked through one by one, from each id's
+    growth between rebalances; the days between are worked out side by side.
+    """
+    key = "portfolio"
+    days = returns.select(key, "date").distinct()
+    first = as_of(targets.select(key, "date").distinct(), days.withColumn("day", F.col("date")), key, "date", ["day"], right_order="day", forward=True)
+    starts = first.where("day is not null").groupBy(key, "day").agg(F.max("date").alias("target"))
+    starts = starts.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("day")))
+    days = as_of(days, starts.select(key, "day", "nth"), key, "date", ["nth"], right_order="day").where("nth is not null")
+    paid = returns.select(key, "date", "id", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    growth = paid.join(days, [key, "date"]).groupBy(key, "nth", "id").agg(F.product(1 + F.col("ret")).alias("growth"))
+    goals = targets.withColumnRenamed("date", "target").join(starts, [key, "target"]).select(key, "nth", "id", "weight")
+    ids = goals.select(key, "id").distinct()  # what is never a target is never held
+    grid = starts.select(key, "nth", "day").join(ids, key)
+    flags = status.select(key, F.col("date").alias("day"), "id", "no_buy", "no_sell")
+    yes = F.lit(True)
+    rows = grid.join(goals, [key, "nth", "id"], "left").join(growth, [key, "nth", "id"], "left").join(flags, [key, "day", "id"], "left")
+    rows = rows.select(key, "nth", "id", F.coalesce("weight", F.lit(0.0)).alias("goal"), F.coalesce("growth", F.lit(1.0)).alias("growth"), F.coalesce("no_buy", yes).alias("no_buy"), F.coalesce("no_sell", yes).alias("no_sell"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["nth", "id"])
+        out, w = [], None
+        for _, step in pdf.groupby("nth", sort=True):
+            goal = step["goal"].to_numpy()
+            w = np.zeros(len(step)) if w is None else w
+            blocked = (step["no_buy"].to_numpy() & (goal > w)) | (step["no_sell"].to_numpy() & (goal < w))
+            free = goal[~blocked].sum()
+            new = np.where(blocked, w, goal * ((1 - w[blocked].sum()) / free if free else 0.0))
+            out.append(step[[key, "nth", "id"]].assign(w1=new, turnover=np.abs(new - w).sum()))
+            grown = new * step["growth"].to_numpy()
+            w = grown / grown.sum() * new.sum() if grown.sum() else grown
+        return pd.concat(out)
+
+    kinds = dict(rows.dtypes)
+    held = rows.groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, nth int, id {kinds['id']}, w1 double, turnover double")
+    path = Window.partitionBy(key, "nth", "id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    daily = days.join(held, [key, "nth"]).join(paid, [key, "date", "id"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    daily = daily.withColumn("at", F.col("w1") * F.coalesce(F.product(1 + F.col("ret")).over(path), F.lit(1.0)))
+    value = F.coalesce(F.sum(F.col("at") * F.col("ret")) / F.nullif(F.sum("at"), F.lit(0.0)) * F.sum("w1"), F.lit(0.0))
+    out = daily.groupBy(key, "nth", "date").agg(value.alias("value"), F.max("turnover").alias("turnover"))
+    begins = F.col("date") == F.min("date").over(Window.partitionBy(key, "nth"))
+    out = out.withColumn("turnover", F.when(begins, F.col("turnover")).otherwise(0.0))
+    return out.select(key, "date", (F.col("value") - commission * F.col("turnover")).alias("value"), "turnover")
 
 
 def price_returns(prices: DataFrame, price: str = "close", at_open: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,37 @@ def test_blocked_backtest_equals_the_free_one_without_blocks(spark):
     assert none.count() == 8 and none.agg(F.sum(F.abs("value"))).first()[0] == 0
 
 
+def test_backtest_equals_a_walk_over_days(spark):
+    rng = np.random.default_rng(5)
+    days = pd.to_datetime("2020-01-01") + pd.to_timedelta(range(60), "D")
+    ret = pd.DataFrame(rng.normal(0, 0.02, (60, 5)), days, list("abcde"))
+    goal = pd.DataFrame(rng.random((6, 5)), days[[3, 12, 13, 30, 45, 59]], list("abcde"))
+    goal = goal.div(goal.sum(axis=1), axis=0)
+    buy, sell = (pd.DataFrame(rng.random((60, 5)) < 0.3, days, list("abcde")) for _ in range(2))
+    w, expected = np.zeros(5), []
+    for i, day in enumerate(days):
+        if i < 3:
+            continue
+        turnover = 0.0
+        if day in goal.index:
+            g = goal.loc[day].to_numpy()
+            blocked = (buy.loc[day].to_numpy() & (g > w)) | (sell.loc[day].to_numpy() & (g < w))
+            new = np.where(blocked, w, g * ((1 - w[blocked].sum()) / g[~blocked].sum() if g[~blocked].sum() else 0.0))
+            turnover, w = np.abs(new - w).sum(), new
+        r = ret.loc[day].to_numpy()
+        expected.append((day.date(), w @ r - 0.001 * turnover, turnover))
+        grown = w * (1 + r)
+        w = grown / grown.sum() * w.sum() if grown.sum() else grown
+    long = lambda f, name: [("p", d.date(), c, f.loc[d, c].item()) for d in f.index for c in f.columns]
+    targets = spark.createDataFrame(long(goal, "weight"), "portfolio string, date date, id string, weight double")
+    returns = spark.createDataFrame(long(ret, "ret"), "portfolio string, date date, id string, ret double")
+    flags = [(p, d, c, x, y) for (p, d, c, x), (*_, y) in zip(long(buy, "b"), long(sell, "s"), strict=True)]
+    status = spark.createDataFrame(flags, "portfolio string, date date, id string, no_buy boolean, no_sell boolean")
+    got = {r["date"]: r for r in portfolio.backtest(targets, returns, status, 0.001).collect()}
+    assert len(got) == len(expected)
+    assert all(got[d]["value"] == pytest.approx(v) and got[d]["turnover"] == pytest.approx(t) for d, v, t in expected)
+
+
 def test_overfitting_of_noise_and_skill(spark):
     rng = np.random.default_rng(6)
     rows = [(D(2020, 1, 1) + dt.timedelta(d), f"s{i}", float(rng.normal() / 100 + (0.02 if i == 0 else 0))) for d in range(80) for i in range(5)]
