@@ -162,3 +162,17 @@ def optimised(assets: DataFrame, covariance: DataFrame, risk: float = 1.0, cost:
         return pd.DataFrame({"date": a["date"], "id": a["id"], "weight": a["wb"] + x, "active": x})
 
     return left.groupBy("date").cogroup(right.groupBy("_date")).applyInPandas(one, "date date, id string, weight double, active double")
+
+
+def factor_covariance(exposures: DataFrame, factors: DataFrame, specific: DataFrame) -> DataFrame:
+    """date, id1, id2, cov by a factor model: exposures' product over the factors' covariance, and the squares of specific
+    risks on the diagonal. exposures: date, id, factor, x; factors: date, factor1, factor2, cov; specific: date, id, sd.
+
+    Every two ids of a date are asked for, so the result is as large as that.
+    """
+    left = exposures.select("date", F.col("id").alias("id1"), F.col("factor").alias("factor1"), F.col("x").alias("_x1"))
+    right = exposures.select("date", F.col("id").alias("id2"), F.col("factor").alias("factor2"), F.col("x").alias("_x2"))
+    half = left.join(factors, ["date", "factor1"]).groupBy("date", "id1", "factor2").agg(F.sum(F.col("_x1") * F.col("cov")).alias("_h"))
+    common = half.join(right, ["date", "factor2"]).groupBy("date", "id1", "id2").agg(F.sum(F.col("_h") * F.col("_x2")).alias("cov"))
+    own = specific.select("date", F.col("id").alias("id1"), F.col("id").alias("id2"), (F.col("sd") * F.col("sd")).alias("cov"))
+    return common.unionByName(own).groupBy("date", "id1", "id2").agg(F.sum("cov").alias("cov"))

@@ -12,7 +12,8 @@ from panelspark.functions import codes, dates, industries
 from panelspark.functions import maths as mx
 from panelspark.operators import align, calendar, filters, funds, listing, pit, portfolio, regress, rolling, timing
 from panelspark.plans import universe
-from panelspark.queries import CAL, CODE, KEYS, KNOWN, MEMBERS, PANEL, PRIOR, SERIES, SIGNALS, STATEMENTS, YEARS_BACK, as_of_keys, cal, panel, query, read, rounded, series, signals, statements, weights
+from panelspark.queries import CAL, KEYS, KNOWN, MEMBERS, METRICS, PANEL, PRIOR, SERIES, SIGNALS, STATEMENTS, YEARS_BACK, as_of_keys, cal, panel, query, read, rounded, series, signals, statements, weights
+from panelspark.sources import clients
 from panelspark.sources import store as stores
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -542,6 +543,27 @@ def g6_by_score(spark, d):
     return rounded(timing.by_score(signals(spark, d)), digits=8)
 
 
+@query(f"WITH {PANEL}, s AS (SELECT date AS snapshot, id, f2 FROM panel WHERE month(date) IN (2, 3, 8) AND f2 > 60), dd AS (SELECT DISTINCT date FROM panel), m AS (SELECT dd.date, x.snapshot FROM dd ASOF JOIN (SELECT DISTINCT snapshot FROM s) x ON dd.date >= x.snapshot) SELECT m.date, s.snapshot, s.id, s.f2 FROM m JOIN s USING (snapshot) WHERE m.date - s.snapshot < 62")
+def s20_latest_weights(spark, d):
+    p = panel(spark, d)
+    snaps = p.where(F.month("date").isin(2, 3, 8) & (F.col("f2") > 60)).select(F.col("date").alias("snapshot"), "id", "f2")
+    return clients.latest_within(p.select("date"), snaps, 62).select("date", "snapshot", "id", "f2")
+
+
+@query(f"WITH {PANEL}, x AS (SELECT date, industry AS id, 'a' AS f, avg(f2) / 10 AS x FROM panel GROUP BY 1, 2 UNION ALL SELECT date, industry, 'b', count(f3) / 10e0 FROM panel GROUP BY 1, 2), c(f, g, v) AS (VALUES ('a', 'a', 0.0437e0), ('a', 'b', 0.0113e0), ('b', 'a', 0.0113e0), ('b', 'b', 0.0911e0)) SELECT p.date, p.id AS id1, q.id AS id2, ROUND(sum(p.x * c.v * q.x) + CASE WHEN p.id = q.id THEN 0.0225e0 ELSE 0 END, 3) AS cov FROM x p JOIN c ON c.f = p.f JOIN x q ON q.date = p.date AND q.f = c.g GROUP BY p.date, p.id, q.id")
+def o2_factor_covariance(spark, d):
+    g = panel(spark, d).groupBy("date", F.col("industry").alias("id")).agg((F.avg("f2") / 10).alias("a"), (F.count("f3") / 10).alias("b"))
+    cov = spark.createDataFrame([("a", "a", 0.0437), ("a", "b", 0.0113), ("b", "a", 0.0113), ("b", "b", 0.0911)], "factor1 string, factor2 string, cov double")
+    factors = g.select("date").distinct().crossJoin(F.broadcast(cov))  # four rows a date
+    return rounded(regress.factor_covariance(g.unpivot(["date", "id"], ["a", "b"], "factor", "x"), factors, g.select("date", "id", F.lit(0.15).alias("sd"))), digits=3)
+
+
+@query(f"WITH {SIGNALS}, v AS (SELECT name AS series, CAST(year(date) AS INTEGER) AS year, date, signal * benchmark AS value, benchmark FROM signals WHERE day(date) > 5), n AS (SELECT *, product(1 + value) OVER (PARTITION BY series, year ORDER BY date) AS nav FROM v), p AS (SELECT *, max(nav) OVER (PARTITION BY series, year ORDER BY date) AS peak FROM n) SELECT series, year, {METRICS} FROM p GROUP BY series, year")
+def b5_yearly_report(spark, d):
+    s = signals(spark, d).where(F.day("date") > 5).select(F.col("name").alias("series"), "date", (F.col("signal") * F.col("benchmark")).alias("value"), "benchmark")
+    return rounded(portfolio.report(s, yearly=True))
+
+
 TURNS = f"""{SIGNALS}, x AS (SELECT name AS series, date, signal AS turning, lag(signal) OVER (PARTITION BY name ORDER BY date) AS p FROM signals), a AS (SELECT series, date, turning, lag(date) OVER (PARTITION BY series ORDER BY date) AS before FROM x WHERE turning <> 0 AND turning IS DISTINCT FROM p),
  b AS (SELECT series, CAST(date + 2 AS DATE) AS day, CASE WHEN day(date) % 4 = 0 THEN -turning ELSE turning END AS turn FROM a), n AS (SELECT a.*, b.day, b.turn FROM a ASOF LEFT JOIN b ON a.series = b.series AND a.date >= b.day),
  m AS (SELECT n.*, c.day AS day2, c.turn AS turn2 FROM n ASOF LEFT JOIN b c ON n.series = c.series AND CAST(n.date + 2 AS DATE) >= c.day)"""

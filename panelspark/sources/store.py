@@ -2,7 +2,8 @@
 
 Writes follow one of four modes. append: only dates that aren't there yet; update: the new row of a key replaces the old;
 overlay: new values replace old ones where they aren't null; replace: everything anew. A write makes a new version
-folder and then moves the pointer to it, so that readers and failed writers never see half a version.
+folder of the years it touches and then moves the pointers to it, so that readers and failed writers never see half a
+version; years not touched stay where they are. What no pointer names any more stays for readers until clean().
 """
 
 from __future__ import annotations
@@ -63,8 +64,7 @@ class PanelStore:
     def load(self, name: str, factors: list[str] | None = None, dates: list | tuple | None = None, ids: list | None = None, index: DataFrame | None = None, drop_empty: bool = False) -> DataFrame:
         """Factors of some dates (a list, or a pair of ends with None for open) and ids; index: keys to return instead."""
         meta = self._meta(name)
-        df = self.spark.read.parquet(f"{self.root}/{name}/{meta['version']}").drop("_year")
-        keys = meta["keys"]
+        df, keys = self._read(name, meta, years_of(dates)), meta["keys"]
         if isinstance(dates, tuple):
             df = df.where(F.col("date") >= F.lit(dates[0]).cast("date")) if dates[0] is not None else df
             df = df.where(F.col("date") <= F.lit(dates[1]).cast("date")) if dates[1] is not None else df
@@ -78,6 +78,12 @@ class PanelStore:
             df = df.dropna("all", subset=[c for c in df.columns if c not in keys])
         return index.select(*keys).join(df, keys, "left") if index is not None else df
 
+    def _read(self, name: str, meta: dict, years=None) -> DataFrame:
+        """The rows of the years for which years(year) holds (None: all)."""
+        schema = T.StructType.fromJson(meta["schema"])
+        paths = [f"{self.root}/{name}/{version}/_year={year}" for year, version in meta["parts"].items() if years is None or years(int(year))]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def save(self, name: str, df: DataFrame, mode: str = "update", keys: list[str] = KEYS, attributes: dict | None = None) -> None:
         bad = [f.name for f in df.schema if not isinstance(f.dataType, ALLOWED)]
         if bad:
@@ -85,20 +91,24 @@ class PanelStore:
         for f in df.schema:
             if isinstance(f.dataType, T.DoubleType | T.FloatType):
                 df = df.withColumn(f.name, F.when(~F.isnan(f.name), F.col(f.name)))
-        old, meta = None, {"keys": keys, "attributes": {}}
-        if self.exists(name):
-            meta = self._meta(name)
-            old = self.load(name)
-        new = self.merged(old, df, mode, keys) if old is not None and mode != "replace" else last_of(df, keys)
+        meta = self._meta(name) if self.exists(name) else {"attributes": {}, "parts": {}}
+        kept = mode != "replace" and bool(meta["parts"])
+        year = F.year("date") if "date" in df.columns else F.lit(0)
+        touched = {r[0] for r in df.select(year).distinct().collect()}  # one number a year
+        new = self.merged(self._read(name, meta, touched.__contains__), df, mode, keys) if kept else last_of(df, keys)
         version = f"v-{uuid.uuid4().hex}"
-        year = F.year("date") if "date" in new.columns else F.lit(0)
         new.withColumn("_year", year).repartition("_year", F.pmod(F.xxhash64(*keys), F.lit(16))).sortWithinPartitions(*keys).write.partitionBy("_year").parquet(f"{self.root}/{name}/{version}")
-        before = meta.get("version")
-        meta |= {"version": version, "keys": keys, "attributes": meta["attributes"] | (attributes or {})}
-        folder = self._folder(name)
-        folder.write("meta.json", json.dumps(meta))
-        if before:
-            folder.delete(before)
+        written = {n.removeprefix("_year="): version for n in self._folder(f"{name}/{version}").names() if n.startswith("_year=")}
+        stay = {y: v for y, v in meta["parts"].items() if kept and int(y) not in touched}
+        meta |= {"parts": stay | written, "schema": new.schema.jsonValue(), "keys": keys, "attributes": meta["attributes"] | (attributes or {})}
+        self._folder(name).write("meta.json", json.dumps(meta))
+
+    def clean(self, name: str) -> None:
+        """Delete versions that no year points to; no reader may be at them."""
+        folder, used = self._folder(name), set(self._meta(name)["parts"].values())
+        for n in folder.names():
+            if n.startswith("v-") and n not in used:
+                folder.delete(n)
 
     @staticmethod
     def merged(old: DataFrame, new: DataFrame, mode: str, keys: list[str] = KEYS) -> DataFrame:
@@ -141,6 +151,18 @@ class PanelStore:
         return f"{name}_{n}"
 
 
+def years_of(dates: list | tuple | None):
+    """Whether a year can hold any of the dates (a list, or a pair of ends); None: every year."""
+    if dates is None:
+        return None
+    year = lambda d: int(str(d)[:4])
+    if isinstance(dates, tuple):
+        low, high = (None if d is None else year(d) for d in dates)
+        return lambda y: y == 0 or (low is None or y >= low) and (high is None or y <= high)
+    wanted = {year(d) for d in dates} | {0}
+    return wanted.__contains__
+
+
 def last_of(df: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
     """One row a key: the last by `order`, else the largest."""
     rest = [c for c in df.columns if c not in keys]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import dates, maths
 from panelspark.operators import align, calendar, cross, filters, options, portfolio, regress, rolling
 from panelspark.plans import universe
+from panelspark.sources import clients, tables
 from panelspark.sources.store import PanelStore, last_of, read_csv_dates, risk_model, write_csv_dates
 from panelspark.streaming import windows
 
@@ -200,6 +201,54 @@ def test_store(spark, tmp_path):
         store.save("bad", spark.createDataFrame([(D(2020, 1, 1), "x", [1])], "date date, id string, f array<int>"))
 
 
+def test_store_rewrites_touched_years_alone(spark, tmp_path):
+    store = PanelStore(spark, str(tmp_path / "s"))
+    rows = [(D(2019 + i // 3, 1 + i % 3, 5), i % 2, float(i)) for i in range(9)]
+    store.save("p", spark.createDataFrame(rows, "date date, id int, x double"))
+    before = store._meta("p")["parts"]
+    store.save("p", spark.createDataFrame([(D(2020, 1, 5), 1, 50.0, "n")], "date date, id int, x double, y string"), "update")
+    after = store._meta("p")["parts"]
+    assert {y for y in after if after[y] != before[y]} == {"2020"}
+    got = {(r["date"], r["id"]): (r["x"], r["y"]) for r in store.load("p").collect()}
+    assert len(got) == 9 and got[D(2020, 1, 5), 1] == (50.0, "n") and got[D(2019, 1, 5), 0] == (0.0, None)
+    assert store.load("p", dates=("2021-01-01", None)).count() == 3 == store.load("p", dates=["2019-01-05", "2019-02-05", "2019-03-05"]).count()
+    store.clean("p")
+    assert store.load("p").count() == 9
+
+
+def test_tables_and_sheets(spark, tmp_path):
+    tables.create(spark, "ddl_one", "id long, name string", path=str(tmp_path / "one"))
+    with pytest.raises(ValueError):
+        tables.create(spark, "ddl_one", "id long")
+    tables.create(spark, "ddl_one", "id long", if_exists="keep")
+    tables.insert(spark, "ddl_one", spark.createDataFrame([("a", 1)], "name string, id long"))
+    tables.add_columns(spark, "ddl_one", "x double")
+    tables.rename(spark, "ddl_one", "ddl_two")
+    assert tables.exists(spark, "ddl_two") and not tables.exists(spark, "ddl_one") and "ddl_two" in tables.names(spark)
+    assert spark.table("ddl_two").collect()[0].asDict() == {"id": 1, "name": "a", "x": None}
+    tables.drop_columns(spark, "ddl_two", ["name"], path=str(tmp_path / "two"))
+    assert spark.table("ddl_two").columns == ["id", "x"]
+    tables.drop(spark, "ddl_two")
+    tables.write_sheets({"s": spark.range(3)}, str(tmp_path / "report"))
+    assert spark.read.csv(str(tmp_path / "report/s"), header=True).count() == 3
+
+
+def test_clients_are_paged_and_limited(spark):
+    def client():
+        import pandas as pd
+
+        return lambda day, offset, limit: pd.DataFrame({"day": day, "n": range(offset, min(offset + limit, 7 * day))})
+
+    calls = spark.createDataFrame([(0,), (1,), (2,), (3,)], "day int")
+    got = clients.fetched(calls, client, "day int, n int", cap=7).groupBy("day").count().collect()
+    assert {r["day"]: r["count"] for r in got} == {1: 7, 2: 14, 3: 21}
+    pauses = []
+    limiter = clients.Limiter(2, 5.0, pauses.append)
+    for _ in range(5):
+        limiter()
+    assert pauses == [5.0, 5.0]
+
+
 def test_csv_by_date(spark, tmp_path):
     (tmp_path / "20200102.csv").write_bytes("id,名\n000001,平安\n".encode("gbk"))
     df = read_csv_dates(spark, str(tmp_path), "id string, name string")
