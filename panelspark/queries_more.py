@@ -22,8 +22,7 @@ EVENTS = ["click", "error", "purchase", "signup", "view"]
 
 def a_store(spark: SparkSession) -> stores.PanelStore:
     """A store of its own in the folder for checkpoints."""
-    align.settled(spark.range(1))
-    return stores.PanelStore(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
+    return stores.PanelStore(spark, f"{align.shared_folder(spark)}/store-{uuid.uuid4().hex}")
 
 
 # --- scans ----------------------------------------------------------------------------------------------------------
