@@ -223,11 +223,11 @@ def s1_load_factor(spark, d):
     return align.matching(panel(spark, d), {"id": [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144]}, {"date": (F.lit("1995-01-01").cast("date"), F.lit("1995-12-31").cast("date"))}, fields=["date", "id", "f2"])
 
 
-@query(f"WITH {PANEL} SELECT d.date, i.id, p.f1, p.f2 FROM (SELECT DISTINCT date FROM panel WHERE year(date) = 1996) d CROSS JOIN (SELECT p_partkey AS id FROM part) i LEFT JOIN panel p ON p.date = d.date AND p.id = i.id")
+@query(f"WITH {PANEL} SELECT d.date, i.id, p.f1, p.f2 FROM (SELECT DISTINCT date FROM panel) d CROSS JOIN (SELECT p_partkey AS id FROM part) i LEFT JOIN panel p ON p.date = d.date AND p.id = i.id")
 def s5_dense_grid(spark, d):
     p = panel(spark, d)
     ids = read(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    return align.dense_grid(p.where(F.year("date") == 1996), ids, [p.select("date", "id", "f1", "f2")])
+    return align.dense_grid(p, ids, [p.select("date", "id", "f1", "f2")])
 
 
 @query("""WITH RECURSIVE t AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region), a AS (SELECT node, parent AS ancestor, 1 AS depth FROM t UNION ALL SELECT a.node, t.parent, a.depth + 1 FROM a JOIN t ON t.node = a.ancestor) SELECT node, ancestor, depth FROM a""")
@@ -243,16 +243,23 @@ def f6_optional_predicates(spark, d):
     return align.matching(c, {"segment": ["BUILDING", "MACHINERY"]}, {"balance": (1000, None)}, {"c_name": "1"}, ["id", "segment", "balance"])
 
 
-@query(f"WITH {PANEL}, a AS (SELECT date, id, f1 FROM panel WHERE id % 2 = 0), b AS (SELECT date, id, f2 FROM panel WHERE id % 3 = 0) SELECT date, id, a.f1, b.f2 FROM a FULL JOIN b USING (date, id)")
+ORDERED = "ordered AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_custkey AS id, CAST(count(*) AS DOUBLE) AS f2, CAST(max(o_orderkey) AS DOUBLE) AS f3 FROM orders GROUP BY 1, 2)"
+
+
+def ordered(spark: SparkSession, d: str) -> DataFrame:
+    """date (month), id (customer), f2 and f3: another panel, some of whose keys the first one has."""
+    o = read(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("date"), F.col("o_custkey").alias("id"))
+    return o.agg(F.count("*").cast("double").alias("f2"), F.max("o_orderkey").cast("double").alias("f3"))
+
+
+@query(f"WITH {PANEL}, {ORDERED} SELECT date, id, a.f1, b.f2 FROM panel a FULL JOIN ordered b USING (date, id)")
 def j3_merge_outer(spark, d):
-    p = panel(spark, d)
-    return align.merged([p.where("id % 2 = 0").select("date", "id", "f1"), p.where("id % 3 = 0").select("date", "id", "f2")])
+    return align.merged([panel(spark, d).select("date", "id", "f1"), ordered(spark, d).select("date", "id", "f2")])
 
 
-@query(f"WITH {PANEL}, a AS (SELECT date, id, f1 FROM panel WHERE id % 2 = 0), b AS (SELECT date, id FROM panel WHERE id % 3 = 0) SELECT a.date, a.id, a.f1 FROM a SEMI JOIN b USING (date, id)")
+@query(f"WITH {PANEL}, {ORDERED} SELECT a.date, a.id, a.f1 FROM panel a SEMI JOIN ordered b USING (date, id)")
 def j1_align_inner(spark, d):
-    p = panel(spark, d)
-    return align.aligned([p.where("id % 2 = 0").select("date", "id", "f1"), p.where("id % 3 = 0").select("date", "id", "f2")], "inner")[0]
+    return align.aligned([panel(spark, d).select("date", "id", "f1"), ordered(spark, d)], "inner")[0]
 
 
 @query(f"""WITH {STATEMENTS}, k AS (SELECT o_custkey AS id, CAST(o_orderdate AS DATE) AS date, o_orderkey FROM orders), day AS (SELECT id, ann_dt, unnest(max(struct_pack(period := period, value := value))) FROM raw GROUP BY id, ann_dt)
@@ -308,20 +315,18 @@ def r2_one_hot(spark, d):
     return align.label_of(align.one_hot(c, "c_mktsegment", names, drop_first=True), names[1:]).drop("c_mktsegment")
 
 
-@query(f"WITH {PANEL}, old AS (SELECT date, id, f1, f3 FROM panel WHERE id % 3 <> 0), new AS (SELECT date, id, f3 * 2 AS f3, f2 FROM panel WHERE id % 2 = 0) SELECT date, id, o.f1, coalesce(n.f3, o.f3) AS f3, n.f2 FROM old o FULL JOIN new n USING (date, id)")
+@query(f"WITH {PANEL}, {ORDERED} SELECT date, id, o.f1, coalesce(n.f3, o.f3) AS f3, n.f2 FROM panel o FULL JOIN ordered n USING (date, id)")
 def k2_overlay(spark, d):
     from panelspark.sources.store import PanelStore
 
-    p = panel(spark, d)
-    return PanelStore.merged(p.where("id % 3 <> 0").select("date", "id", "f1", "f3"), p.where("id % 2 = 0").select("date", "id", (F.col("f3") * 2).alias("f3"), "f2"), "overlay")
+    return PanelStore.merged(panel(spark, d).select("date", "id", "f1", "f3"), ordered(spark, d), "overlay")
 
 
-@query(f"WITH {PANEL}, old AS (SELECT date, id, f2 FROM panel WHERE id % 3 <> 0), new AS (SELECT date, id, f2 + 1 AS f2 FROM panel WHERE id % 2 = 0) SELECT * FROM new UNION ALL SELECT o.* FROM old o ANTI JOIN new n USING (date, id)")
+@query(f"WITH {PANEL}, {ORDERED} SELECT date, id, f2 FROM ordered UNION ALL SELECT o.date, o.id, o.f2 FROM panel o ANTI JOIN ordered n USING (date, id)")
 def k1_upsert(spark, d):
     from panelspark.sources.store import PanelStore
 
-    p = panel(spark, d)
-    return PanelStore.merged(p.where("id % 3 <> 0").select("date", "id", "f2"), p.where("id % 2 = 0").select("date", "id", (F.col("f2") + 1).alias("f2")), "update")
+    return PanelStore.merged(panel(spark, d).select("date", "id", "f2"), ordered(spark, d).select("date", "id", "f2"), "update")
 
 
 # --- point in time --------------------------------------------------------------------------------------------------
