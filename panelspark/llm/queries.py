@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, licenses, linededup, minhash, packing, quality, sql, suffixes, toxicity, urls
+from panelspark.llm import bpe, fingerprints, interaction, licenses, linededup, minhash, packing, quality, sql, suffixes, toxicity, urls
 from panelspark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -56,8 +56,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    found = [op1_toxicity, op2_near_duplicates, op3_packing, op4_bpe, op5_url_filter, op6_licenses, op7_quality, op8_fingerprints, op9_line_dedup, op10_suffix_dedup]
+    found = [op1_toxicity, op2_near_duplicates, op3_packing, op4_bpe, op5_url_filter, op6_licenses, op7_quality, op8_fingerprints, op9_line_dedup, op10_suffix_dedup, op12_interaction]
     return {f.__name__: f for f in found}
 
 

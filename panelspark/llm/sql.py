@@ -46,4 +46,21 @@ WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 SELECT b.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM b LEFT JOIN cut c ON c.doc_id = b.doc_id"""
 
-SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op9_line_dedup": LINE_DEDUP, "op10_suffix_dedup": SUFFIX_DEDUP}
+_LETTERS = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+
+INTERACTION = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
+ known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+ f AS (SELECT doc_id, part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS INT)
+   + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM t),
+ h AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN known USING (doc_id) GROUP BY 1, 2),
+ o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+   FROM {_LETTERS} a(f, b), {_LETTERS} b(f, b), {_LETTERS} c(f, b), {_LETTERS} d(f, b), {_LETTERS} e(f, b) WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+ s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step, bits FROM o),
+ w AS (SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INT) AS before FROM s),
+ r AS (SELECT part, filter_order, step, own, sum(n) FILTER (mask & (own | before) = 0) AS kept, sum(n) FILTER (mask & own > 0 AND mask & before = 0) AS removed, sum(n) FILTER (mask & own > 0 AND mask & before > 0) AS redundant,
+   sum(n) FILTER (mask = own) AS unique_fails, sum(good) FILTER (mask & own > 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & own > 0 AND mask & before = 0) AS toxic_lost FROM h, w GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+ CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op9_line_dedup": LINE_DEDUP, "op10_suffix_dedup": SUFFIX_DEDUP, "op12_interaction": INTERACTION}
