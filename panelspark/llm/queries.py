@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, interaction, licenses, linededup, minhash, packing, quality, sql, suffixes, toxicity, urls
+from panelspark.llm import bpe, fingerprints, interaction, licenses, linededup, minhash, packing, quality, secretscan, sql, suffixes, toxicity, urls
 from panelspark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -56,12 +56,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    of = {r.kind: F.filter("spans", lambda s, i=i: s.kind == i) for i, r in enumerate(secretscan.BASE)}
+    base = F.filter("spans", lambda s: s.kind < len(secretscan.BASE))
+    counts = (F.size(c).cast("long").alias(f"n_{kind}") for kind, c in of.items())
+    found = secretscan.scanned(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counts, F.sha2(secretscan.printed(base), 256).alias("base_sha256"), secretscan.printed(spans).alias("spans"))
+
+
 def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    found = [op1_toxicity, op2_near_duplicates, op3_packing, op4_bpe, op5_url_filter, op6_licenses, op7_quality, op8_fingerprints, op9_line_dedup, op10_suffix_dedup, op12_interaction]
+    found = [op1_toxicity, op2_near_duplicates, op3_packing, op4_bpe, op5_url_filter, op6_licenses, op7_quality, op8_fingerprints, op9_line_dedup, op10_suffix_dedup, op11_secrets, op12_interaction]
     return {f.__name__: f for f in found}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 from panelspark.llm.linededup import WORDS
+from panelspark.llm.secretscan import ISSUED
 from panelspark.llm.suffixes import LENGTH
 
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -46,6 +47,37 @@ WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 SELECT b.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM b LEFT JOIN cut c ON c.doc_id = b.doc_id"""
 
+def _either_case(word: str) -> str:
+    """A word in letters of either case, of ASCII alone."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: (kind, pattern, group that has `least` characters or more); the kinds in order.
+_SECRETS = [
+    ("assign", "(" + "|".join(map(_either_case, ["password", "passwd", "secret", "token", "api_?key"])) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    *((r.kind, r.pattern, 0, 0) for r in ISSUED),
+]
+
+
+def _spans(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Rows (doc_id, row, kind, start, stop) of a pattern's matches, from the lengths of matches and of the pieces between."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT row, {k} AS k, '{kind}' AS kind, stop - size AS start, stop FROM (
+ SELECT row, length(m) AS size, length(v) AS value, sum(length(p) + length(m)) OVER (PARTITION BY row ORDER BY i) AS stop FROM (
+ SELECT row, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(ps[: len(ms)]) AS p FROM (
+ SELECT row, regexp_extract_all(t, '{quoted}') AS ms, regexp_extract_all(t, '{quoted}', {group}) AS vs, string_split_regex(t, '{quoted}') AS ps FROM d))) WHERE value >= {least}"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+ s AS ({" UNION ALL ".join(_spans(k, *x) for k, x in enumerate(_SECRETS))}),
+ p AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS printed FROM s)
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))},
+ sha256(coalesce(string_agg(printed, ',' ORDER BY start, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(printed, ',' ORDER BY start, k), '') AS spans
+FROM d LEFT JOIN p USING (row) GROUP BY row, doc_id"""
+
 _LETTERS = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
 
 INTERACTION = rf"""
@@ -63,4 +95,4 @@ WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
 SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
 
-SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op9_line_dedup": LINE_DEDUP, "op10_suffix_dedup": SUFFIX_DEDUP, "op12_interaction": INTERACTION}
+SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op9_line_dedup": LINE_DEDUP, "op10_suffix_dedup": SUFFIX_DEDUP, "op11_secrets": SECRETS, "op12_interaction": INTERACTION}
