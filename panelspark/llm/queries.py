@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, interaction, licenses, linededup, minhash, packing, quality, secretscan, sql, suffixes, toxicity, urls
-from panelspark.llm.common import table
+from panelspark.llm import bpe, conversations, fingerprints, interaction, licenses, linededup, minhash, packing, quality, secretscan, sql, suffixes, toxicity, urls
+from panelspark.llm.common import same, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -69,8 +69,16 @@ def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.audit(conversations.damaged(rows)).withColumnRenamed("conv_id", "of_conv")
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct().join(found, same(F.col("conv_id"), F.col("of_conv")), "left")
+    zeros = (F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return every.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
-    found = [op1_toxicity, op2_near_duplicates, op3_packing, op4_bpe, op5_url_filter, op6_licenses, op7_quality, op8_fingerprints, op9_line_dedup, op10_suffix_dedup, op11_secrets, op12_interaction]
+    found = [op1_toxicity, op2_near_duplicates, op3_packing, op4_bpe, op5_url_filter, op6_licenses, op7_quality, op8_fingerprints, op9_line_dedup, op10_suffix_dedup, op11_secrets, op12_interaction, op13_conversations]
     return {f.__name__: f for f in found}
 
 

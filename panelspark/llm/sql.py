@@ -95,4 +95,35 @@ WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
 SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
 
-SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op9_line_dedup": LINE_DEDUP, "op10_suffix_dedup": SUFFIX_DEDUP, "op11_secrets": SECRETS, "op12_interaction": INTERACTION}
+# crc32 of an ASCII string, byte by byte and bit by bit
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+ lambda sofar, byte: list_reduce(list_concat([xor(sofar, byte)], CAST(range(8) AS BIGINT[])), lambda x, nth: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_BLANK = r"[\x20\x09-\x0D]"
+
+# one row for each conversation, number of rows so far, and last initial given out; of equal costs the least audit
+CONVERSATIONS = rf"""
+WITH RECURSIVE n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+ k AS (SELECT *, {_CRC} % 20 AS kind FROM n),
+ d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+ f AS (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?]{_BLANK}*\z') THEN 3 ELSE 0 END AS fault FROM o),
+ c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+   count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows FROM f GROUP BY 1),
+ given AS (SELECT * FROM (VALUES ('n', 'u', ''), ('n', 'a', 'u'), ('s', 'u', ''), ('s', 'a', 'u'), ('u', 'u', 'a'), ('u', 'a', ''), ('a', 'u', ''), ('a', 'a', 'u')) g(state, after, missing)),
+ steps AS (SELECT 'n' AS state, 's' AS after, '' AS missing, 's' AS needs, 0 AS cost, 'K' AS edit UNION ALL SELECT state, after, missing, after, 5 * length(missing), repeat('I', length(missing)) || 'K' FROM given
+   UNION ALL SELECT state, after, missing, NULL, 5 * length(missing) + 1, repeat('I', length(missing)) || 'R' FROM given),
+ full_name AS (SELECT * FROM (VALUES ('u', 'user'), ('a', 'assistant')) v(initial, name)),
+ w AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 'n' AS state, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])}} AS way FROM c
+  UNION ALL SELECT conv_id, i, state, min(way) FROM (
+   SELECT w.conv_id, f.i, w.state, {{'cost': w.way.cost + 2, 'audit': w.way.audit || 'D', 'lines': w.way.lines}} AS way FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+   UNION ALL SELECT w.conv_id, f.i, s.after, {{'cost': w.way.cost + s.cost + CASE WHEN fault = 3 THEN 5 ELSE 0 END, 'audit': w.way.audit || s.edit,
+     'lines': w.way.lines || CASE WHEN m.name IS NULL THEN CAST([] AS VARCHAR[]) ELSE [m.name || ':'] END || [CASE WHEN s.needs IS NULL THEN r.name ELSE f.role END || ':' || f.text]}}
+    FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 AND f.fault NOT IN (1, 2) JOIN steps s ON s.state = w.state AND (s.needs IS NULL OR s.needs = f.initial)
+    LEFT JOIN full_name m ON m.initial = s.missing LEFT JOIN full_name r ON r.initial = s.after) GROUP BY 1, 2, 3),
+ ends AS (SELECT * FROM (VALUES ('n', '', []), ('s', 'II', ['user:', 'assistant:']), ('u', 'I', ['assistant:']), ('a', '', [])) e(state, edit, lines)),
+ best AS (SELECT w.conv_id, min({{'cost': way.cost + 5 * length(e.edit), 'audit': way.audit || e.edit, 'lines': way.lines || e.lines}}) AS way FROM w JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.rows = w.i JOIN ends e ON e.state = w.state GROUP BY 1)
+SELECT a.conv_id, {", ".join(f"coalesce({x}, 0) AS {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, coalesce(way.cost, 0) AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(array_to_string(way.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op9_line_dedup": LINE_DEDUP, "op10_suffix_dedup": SUFFIX_DEDUP, "op11_secrets": SECRETS, "op12_interaction": INTERACTION, "op13_conversations": CONVERSATIONS}
