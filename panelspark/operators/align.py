@@ -81,6 +81,34 @@ def as_of(left: DataFrame, right: DataFrame, on: str, order: str, values: list[s
     return found.select("_left.*", *(F.col(f"_match.{v}").alias(v) for v in values))
 
 
+def as_of_in_ranges(left: DataFrame, right: DataFrame, on: str | list[str], order: str, values: list[str], right_order: str | None = None, forward: bool = False) -> DataFrame:
+    """What as_of returns, with a key's rows spread over tasks however many they are.
+
+    Rows of both sides are dealt by ranges of (key, order) and written. Each range fills its own rows from the row of right
+    before them; what stands at the beginning of a range takes the last row of right before the range, if that has its key.
+    Of the rows of right one for each range meets in one task. Equal places are parted by a hash, so a hot one is spread, too.
+    """
+    keys, right_order = [on] if isinstance(on, str) else on, right_order or order
+    key = F.struct(*(F.col(k).alias(k) for k in keys)).alias("_key")
+    first, second = (0, 1) if not forward else (1, 0)  # of equal places right comes first in the direction of filling
+    side = right.select(key, F.col(right_order).alias("_at"), F.lit(first).alias("_side"), F.xxhash64(*values).alias("_spread"), F.struct(*values).alias("_row"))
+    kept = left.select(key, F.col(order).alias("_at"), F.lit(second).alias("_side"), F.xxhash64(*left.columns).alias("_spread"), F.struct(*left.columns).alias("_left"))
+    place = ["_key", "_at", "_side", "_spread"]
+    ranges = settled(side.unionByName(kept, allowMissingColumns=True).repartitionByRange(*place).withColumn("_range", F.spark_partition_id()))
+    known = F.when(F.col("_row").isNotNull(), F.struct("_key", "_row"))
+    way = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
+    inside = Window.partitionBy("_range").orderBy(*map(way, place)).rowsBetween(Window.unboundedPreceding, 0)
+    last = (F.min_by if forward else F.max_by)(F.struct("_key", "_row"), F.struct(*place))
+    of_right = ranges.where("_row is not null").groupBy("_range").agg(last.alias("_known"))
+    ends = ranges.select("_range").distinct().join(of_right, "_range", "left")
+    before = Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_range", F.last("_known", ignorenulls=True).over(before).alias("_carried"))
+    found = ranges.withColumn("_near", F.last(known, ignorenulls=True).over(inside)).join(carried, "_range", "left").where("_left is not null")
+    near = F.coalesce("_near", "_carried")
+    match = F.when(near["_key"] == F.col("_key"), near["_row"])
+    return found.withColumn("_match", match).select("_left.*", *(F.col(f"_match.{v}").alias(v) for v in values))
+
+
 def snapshot_as_of(dates: DataFrame, snapshots: DataFrame, order: str = "snapshot") -> DataFrame:
     """Every date with all rows of the last snapshot at or before it; members left out by a later one don't linger."""
     known = snapshots.select(order).distinct().withColumn("_k", F.lit(1))

@@ -617,4 +617,4 @@ def st1_windowed_events(spark, d):
     return rounded(w.withColumn("start", F.col("start").cast("timestamp_ntz")), "total", digits=4)
 
 
-from panelspark import queries_more  # noqa: E402, F401  # registers the others
+from panelspark import queries_more, queries_scale  # noqa: E402, F401  # registers the others
