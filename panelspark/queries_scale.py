@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import align
 from panelspark.queries import KEYS, PANEL, SERIES, STATEMENTS, as_of_keys, panel, query, read, rounded, series, statements
+from panelspark.sources import ranges
 
 # --- as-of joins over hot keys --------------------------------------------------------------------------------------
 
@@ -33,3 +34,29 @@ def j4_as_of_hot(spark, d):
 def j4_as_of_hot_forward(spark, d):
     points, marks = _hot(spark, d)
     return align.as_of_in_ranges(points, marks, "kind", "ts", ["mark", "top"], forward=True)
+
+
+# --- stores clustered by key ----------------------------------------------------------------------------------------
+
+
+def a_range_store(spark: SparkSession) -> ranges.RangeStore:
+    """A store of its own in the folder for checkpoints."""
+    return ranges.RangeStore(spark, f"{align.shared_folder(spark)}/ranges-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {PANEL} SELECT date, id, f1, CASE WHEN id BETWEEN 30 AND 45 THEN f2 * 2 ELSE f2 END AS f2 FROM panel WHERE id BETWEEN 20 AND 60 AND date >= DATE '1994-03-01'")
+def s10_clustered_range(spark, d):
+    """A table cut into ranges of ids, one of which is updated; a range of ids is read from its files alone."""
+    st, p = a_range_store(spark), panel(spark, d).select("date", "id", "f1", "f2")
+    st.save("panel", p, "replace", rows=4096)
+    st.save("panel", p.where("id between 30 and 45").withColumn("f2", F.col("f2") * 2), rows=4096)
+    return st.load("panel", dates=("1994-03-01", None), ids=(20, 60))
+
+
+@query(f"WITH {PANEL}, n AS (SELECT date, id + 7 AS id, f2 + 1 AS f2, CASE WHEN id % 3 = 0 THEN f1 END AS f1 FROM panel WHERE f2 > 40) SELECT date, id, coalesce(n.f1, o.f1) AS f1, coalesce(n.f2, o.f2) AS f2 FROM (SELECT date, id, f1, f2 FROM panel) o FULL JOIN n USING (date, id)")
+def k6_clustered_overlay(spark, d):
+    """New values over old ones, key by key, in the ranges that they belong to."""
+    st, p = a_range_store(spark), panel(spark, d)
+    st.save("panel", p.select("date", "id", "f1", "f2"), "replace", rows=4096)
+    st.save("panel", p.where("f2 > 40").select("date", (F.col("id") + 7).alias("id"), (F.col("f2") + 1).alias("f2"), F.when(F.col("id") % 3 == 0, F.col("f1")).alias("f1")), "overlay", rows=4096)
+    return st.load("panel")

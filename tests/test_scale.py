@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import align
+from panelspark.sources.ranges import RangeStore
 
 
 def day(n):
@@ -48,3 +49,57 @@ def test_as_of_in_ranges_of_nothing(spark):
     marks = spark.createDataFrame([(1, day(1), 2.0)], "k int, date date, x double")
     assert align.as_of_in_ranges(none, marks, "k", "date", ["x"]).count() == 0
     assert align.as_of_in_ranges(marks.drop("x"), none.withColumn("x", F.lit(1.0)), "k", "date", ["x"]).collect()[0]["x"] is None
+
+
+def rows_of(df):
+    return {(r["date"], r["id"]): tuple(r[c] for c in df.columns if c not in ("date", "id")) for r in df.collect()}
+
+
+def test_range_store_reads_few_files_and_rewrites_touched_ones(spark, tmp_path):
+    store = RangeStore(spark, str(tmp_path / "r"))
+    held = {(day(t), i): (float(i * 1000 + t),) for i in range(200) for t in range(30)}
+    frame = lambda rows, c="x": spark.createDataFrame([(*k, *v) for k, v in rows.items()], f"date date, id long, {c} double")
+    store.save("p", frame(held), "replace", rows=100)
+    every = store.files("p")
+    assert 50 <= len(every) <= 70
+    few = store.files("p", ids=(40, 44))
+    assert len(few) < len(every) / 10 and len(store.files("p", ids=[7, 150])) <= 4
+    assert set(store.load("p", ids=(40, 44)).inputFiles()) == {f for f in store.load("p").inputFiles() if f.split("/r/p/")[1] in few}
+    assert rows_of(store.load("p", ids=(40, 44), dates=(day(3), day(9)))) == {k: v for k, v in held.items() if 40 <= k[1] <= 44 and day(3) <= k[0] <= day(9)}
+    assert rows_of(store.load("p", ids=[7, 150], dates=[day(1)])) == {(day(1), i): held[day(1), i] for i in (7, 150)}
+    # an update of some ids, of new ids between, before and after all, and of new dates
+    new = {(day(t), i): (-1.0 * i,) for i in (-5, 41, 42, 1000) for t in (3, 77)} | {(day(500), 120): (0.5,)}
+    store.save("p", frame(new), rows=100)
+    held |= new
+    after = store.files("p")
+    assert len(set(every) & set(after)) > 0.85 * len(every)
+    assert rows_of(store.load("p")) == held
+    assert rows_of(store.load("p", ids=(41, 41))) == {k: v for k, v in held.items() if k[1] == 41}
+    assert len(store.files("p", ids=(40, 44))) < len(after) / 10
+    # values over values, with a new column; nothing replaces what isn't given
+    store.save("p", spark.createDataFrame([(day(3), 41, None, 2.0), (day(900), 60, 7.0, None)], "date date, id long, x double, y double"), "overlay", rows=100)
+    assert rows_of(store.load("p", ids=(41, 41), dates=[day(3)])) == {(day(3), 41): (-41.0, 2.0)} and rows_of(store.load("p", ids=[60], dates=[day(900)])) == {(day(900), 60): (7.0, None)}
+    # only dates that aren't there yet
+    store.save("p", frame({(day(3), 9999): (1.0,), (day(901), 9999): (2.0,)}), "append", rows=100)
+    assert rows_of(store.load("p", ["x"], ids=[9999])) == {(day(901), 9999): (2.0,)}
+    whole = rows_of(store.load("p"))
+    store.compact("p", rows=1000)
+    store.clean("p")
+    assert rows_of(store.load("p")) == whole and len(store.files("p")) < 10
+    assert len(store._folder("p").names()) == 3
+
+
+def test_range_store_of_two_writers_and_of_nothing(spark, tmp_path):
+    store = RangeStore(spark, str(tmp_path / "r"))
+    empty = spark.createDataFrame([], "date date, id long, x double")
+    store.save("e", empty, "replace")
+    assert store.load("e", ids=(1, 2)).count() == 0
+    store.save("e", spark.createDataFrame([(day(1), 5, 1.0), (day(1), 5, 1.0)], "date date, id long, x double"))
+    assert rows_of(store.load("e")) == {(day(1), 5): (1.0,)}
+    store.save("e", empty)
+    assert rows_of(store.load("e")) == {(day(1), 5): (1.0,)}
+    meta, last = store._meta("e"), store._versions("e")[-1]
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        store._publish("e", last, meta)
+    with pytest.raises(ValueError, match="no such mode"):
+        store.save("e", empty, "upsert")
