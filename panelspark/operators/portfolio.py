@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.align import as_of
+from panelspark.operators.align import as_of, settled
 
 PERIODS = {"d": 252, "w": 52, "m": 12}
 
@@ -50,13 +52,93 @@ def held_returns(targets: DataFrame, returns: DataFrame, commission: float = 0.0
     return joined.select("date", (F.col("value") - commission * F.col("turnover")).alias("value"), "turnover")
 
 
+def flat_paths(batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The fields of path and told of all rows of a batch, one after another, and where each row ends."""
+    out = {}
+    for column in ("path", "told"):
+        values = batch.column(column).flatten()
+        out |= {f.name: values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(values.type)}
+    return out, np.cumsum(batch.column("path").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def walked(x: dict[str, np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each id's weight before and after every rebalance, and whether it was blocked, all ids at once; x has the portfolio's share and scale, too."""
+    begins = np.concatenate([[0], ends[:-1]])
+    old, new, blocked = np.zeros(len(x["goal"])), np.zeros(len(x["goal"])), np.zeros(len(x["goal"]), bool)
+    w, lengths = np.zeros(len(ends)), ends - begins
+    for n in range(int(lengths.max(initial=0))):
+        row = np.flatnonzero(lengths > n)
+        at = begins[row] + n
+        goal, mine = x["goal"][at], w[row]
+        stuck = (x["no_buy"][at] & (goal > mine)) | (x["no_sell"][at] & (goal < mine))
+        to = np.where(stuck, mine, goal * x["share"][at])
+        old[at], new[at], blocked[at] = mine, to, stuck
+        w[row] = to * x["growth"][at] * x["scale"][at]
+    return old, new, blocked
+
+
+def rebalanced(rows: DataFrame, key: str = "portfolio", tolerance: float = 1e-13) -> DataFrame:
+    """key, nth, id, w1 (the weight traded to) and turnover (of the whole rebalance).
+
+    rows: key, nth (1, 2, ... without gaps), id, goal, growth (until the next rebalance), no_buy, no_sell; every id at every
+    nth. All that one id has to know of the others at a rebalance are two numbers: share, by which the goals of free names
+    are scaled, and scale, which makes grown weights sum to what they were. Told these, ids are walked side by side,
+    wherever they are; sums of what they do give better numbers. A round makes those of one more rebalance right at least, as
+    weights depend on earlier ones alone; where few names are blocked for long, few rounds settle all. No task meets all
+    ids of a portfolio.
+    """
+    kinds = dict(rows.dtypes)
+    fields = F.struct("nth", "goal", "growth", "no_buy", "no_sell")
+    paths = settled(rows.groupBy(key, "id").agg(F.array_sort(F.collect_list(fields)).alias("path")))
+    over = lambda a, b, other: F.when(b != 0, a / b).otherwise(F.lit(other))
+    goals = paths.select(key, F.explode("path").alias("p")).select(key, "p.*").groupBy(key, "nth").agg(F.sum("goal").alias("_g"), F.sum(F.col("goal") * F.col("growth")).alias("_h"))
+    told = settled(goals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", over(F.lit(1.0), F.col("_g"), 0.0).alias("share"), over(F.col("_g"), F.col("_h"), 1.0).alias("scale")))).alias("told"), F.lit(1.0).alias("gap")))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, ends = flat_paths(batch)
+            old, _, blocked = walked(x, ends)
+            coded = batch.column(key).dictionary_encode()
+            code, lengths = coded.indices.to_numpy(zero_copy_only=False), np.diff(np.concatenate([[0], ends]))
+            most = np.zeros(len(coded.dictionary), np.int64)
+            np.maximum.at(most, code, lengths)
+            before = np.concatenate([[0], np.cumsum(most)])
+            at = np.repeat(before[code], lengths) + x["nth"] - 1
+            total = lambda v: pa.array(np.bincount(at, v, before[-1]))  # noqa: B023, E731
+            free, nth = np.where(blocked, 0.0, x["goal"]), np.arange(before[-1]) - np.repeat(before[:-1], most) + 1
+            kept = np.where(blocked, old, 0.0)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(np.repeat(np.arange(len(most)), most))), pa.array(nth.astype(np.int32)), *map(total, (kept, free, kept * x["growth"], free * x["growth"]))], [key, "nth", "kept", "free", "kept_grown", "free_grown"])
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, ends = flat_paths(batch)
+            old, new, _ = walked(x, ends)
+            row = pa.array(np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends]))))
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(row), pa.array(x["nth"].astype(np.int32)), batch.column("id").take(row), pa.array(new), pa.array(np.abs(new - old))], [key, "nth", "id", "w1", "moved"])
+
+    rounds = (goals.agg(F.max("nth")).first()[0] or 0) + 2
+    for _ in range(rounds):
+        still = told.where(F.col("gap") > tolerance)
+        if still.isEmpty():
+            break
+        found = paths.join(still, key).select(key, "path", "told").mapInArrow(sums, f"{key} {kinds[key]}, nth int, kept double, free double, kept_grown double, free_grown double")
+        found = found.groupBy(key, "nth").agg(*(F.sum(c).alias(c) for c in ("kept", "free", "kept_grown", "free_grown")))
+        share = F.when(F.col("free") != 0, (1 - F.col("kept")) / F.col("free")).otherwise(0.0)
+        found = found.withColumn("share", share).withColumn("scale", over(F.col("kept") + F.col("share") * F.col("free"), F.col("kept_grown") + F.col("share") * F.col("free_grown"), 1.0))
+        better = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "share", "scale"))).alias("better"))
+        apart = lambda a, b: F.greatest(*(F.abs(a[c] - b[c]) / F.greatest(F.abs(a[c]), F.lit(1e-300)) for c in ("share", "scale")))
+        moved = still.join(better, key).select(key, F.col("better").alias("told"), F.array_max(F.zip_with("told", "better", apart)).alias("gap"))
+        told = settled(told.where(F.col("gap") <= tolerance).unionByName(moved))
+    held = settled(paths.join(told, key).select(key, "id", "path", "told").mapInArrow(weights, f"{key} {kinds[key]}, nth int, id {kinds['id']}, w1 double, moved double"))
+    return held.drop("moved").join(held.groupBy(key, "nth").agg(F.sum("moved").alias("turnover")), [key, "nth"])
+
+
 def backtest(targets: DataFrame, returns: DataFrame, status: DataFrame, commission: float = 0.0) -> DataFrame:
     """portfolio, date, value, turnover with names that can't be traded.
 
     targets: portfolio, date, id, weight; returns: portfolio, date, id, ret; status: portfolio, date, id, no_buy, no_sell
     (missing: both). A target counts from the first day with returns at or after its date, the last one of a day. Only the
-    weights that rebalances trade to depend on what was held before: these are walked through one by one, from each id's
-    growth between rebalances; the days between are worked out side by side.
+    weights that rebalances trade to depend on what was held before (rebalanced()); the days between are worked out side by side.
     """
     key = "portfolio"
     days = returns.select(key, "date").distinct()
@@ -74,22 +156,7 @@ def backtest(targets: DataFrame, returns: DataFrame, status: DataFrame, commissi
     rows = grid.join(goals, [key, "nth", "id"], "left").join(growth, [key, "nth", "id"], "left").join(flags, [key, "day", "id"], "left")
     rows = rows.select(key, "nth", "id", F.coalesce("weight", F.lit(0.0)).alias("goal"), F.coalesce("growth", F.lit(1.0)).alias("growth"), F.coalesce("no_buy", yes).alias("no_buy"), F.coalesce("no_sell", yes).alias("no_sell"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["nth", "id"])
-        out, w = [], None
-        for _, step in pdf.groupby("nth", sort=True):
-            goal = step["goal"].to_numpy()
-            w = np.zeros(len(step)) if w is None else w
-            blocked = (step["no_buy"].to_numpy() & (goal > w)) | (step["no_sell"].to_numpy() & (goal < w))
-            free = goal[~blocked].sum()
-            new = np.where(blocked, w, goal * ((1 - w[blocked].sum()) / free if free else 0.0))
-            out.append(step[[key, "nth", "id"]].assign(w1=new, turnover=np.abs(new - w).sum()))
-            grown = new * step["growth"].to_numpy()
-            w = grown / grown.sum() * new.sum() if grown.sum() else grown
-        return pd.concat(out)
-
-    kinds = dict(rows.dtypes)
-    held = rows.groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, nth int, id {kinds['id']}, w1 double, turnover double")
+    held = rebalanced(rows, key)
     path = Window.partitionBy(key, "nth", "id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     daily = days.join(held, [key, "nth"]).join(paid, [key, "date", "id"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
     daily = daily.withColumn("at", F.col("w1") * F.coalesce(F.product(1 + F.col("ret")).over(path), F.lit(1.0)))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import align
+from panelspark.operators import align, portfolio
 from panelspark.queries import KEYS, PANEL, SERIES, STATEMENTS, as_of_keys, panel, query, read, rounded, series, statements
 from panelspark.sources import ranges
 
@@ -60,3 +60,36 @@ def k6_clustered_overlay(spark, d):
     st.save("panel", p.select("date", "id", "f1", "f2"), "replace", rows=4096)
     st.save("panel", p.where("f2 > 40").select("date", (F.col("id") + 7).alias("id"), (F.col("f2") + 1).alias("f2"), F.when(F.col("id") % 3 == 0, F.col("f1")).alias("f1")), "overlay", rows=4096)
     return st.load("panel")
+
+
+# --- portfolios with names that can't be traded ---------------------------------------------------------------------
+
+#: Each supplier's portfolio of kinds of parts, set anew each quarter; a kind that moved by 15 % can't be traded in that direction.
+_BOOKS = f"""{PANEL}, p AS (SELECT date, industry AS id, sum(f2) AS q FROM panel GROUP BY 1, 2), r AS (SELECT date, id, ROUND(coalesce(q / lag(q) OVER (PARTITION BY id ORDER BY date) - 1, 0), 6) AS ret FROM p),
+ b AS (SELECT l_suppkey AS portfolio, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, p_type AS id, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE month(l_shipdate) % 3 = 1 GROUP BY 1, 2, 3),
+ t AS (SELECT portfolio, date, id, q / sum(q) OVER (PARTITION BY portfolio, date) AS weight FROM b)"""
+
+
+@query(f"""WITH RECURSIVE {_BOOKS}, s AS (SELECT portfolio, date AS day, lead(date) OVER (PARTITION BY portfolio ORDER BY date) AS until, row_number() OVER (PARTITION BY portfolio ORDER BY date) AS nth FROM (SELECT DISTINCT portfolio, date FROM t)),
+ g AS (SELECT s.portfolio, nth, day, until, i.id, coalesce(weight, 0) AS goal, coalesce(f.ret > 0.15, true) AS no_buy, coalesce(f.ret < -0.15, true) AS no_sell FROM s JOIN (SELECT DISTINCT portfolio, id FROM t) i ON i.portfolio = s.portfolio
+   LEFT JOIN t ON t.portfolio = s.portfolio AND t.date = day AND t.id = i.id LEFT JOIN r f ON f.id = i.id AND f.date = day),
+ grown AS (SELECT g.portfolio, nth, g.id, product(1 + ret) AS growth FROM g JOIN r ON r.id = g.id AND r.date >= day AND (until IS NULL OR r.date < until) GROUP BY 1, 2, 3),
+ x AS (SELECT g.*, coalesce(growth, 1) AS growth FROM g LEFT JOIN grown USING (portfolio, nth, id)),
+ walk AS (SELECT portfolio, id, CAST(0 AS BIGINT) AS nth, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS held FROM x WHERE x.nth = 1
+  UNION ALL SELECT portfolio, id, nth, w0, w1, CASE WHEN sum(w1 * growth) OVER (PARTITION BY portfolio) <> 0 THEN w1 * growth / sum(w1 * growth) OVER (PARTITION BY portfolio) * sum(w1) OVER (PARTITION BY portfolio) ELSE w1 * growth END FROM (
+   SELECT portfolio, id, nth, growth, w0, CASE WHEN stuck THEN w0 ELSE goal * CASE WHEN sum(CASE WHEN stuck THEN 0 ELSE goal END) OVER (PARTITION BY portfolio) <> 0 THEN (1 - sum(CASE WHEN stuck THEN w0 ELSE 0 END) OVER (PARTITION BY portfolio)) / sum(CASE WHEN stuck THEN 0 ELSE goal END) OVER (PARTITION BY portfolio) ELSE 0 END END AS w1 FROM (
+    SELECT x.portfolio, x.id, x.nth, x.goal, x.growth, walk.held AS w0, (no_buy AND goal > walk.held) OR (no_sell AND goal < walk.held) AS stuck FROM walk JOIN x ON x.portfolio = walk.portfolio AND x.id = walk.id AND x.nth = walk.nth + 1))),
+ turn AS (SELECT portfolio, nth, sum(abs(w1 - w0)) AS turnover FROM walk WHERE nth > 0 GROUP BY 1, 2),
+ d AS (SELECT x.portfolio, x.nth, x.day, x.id, m.date, w.w1, coalesce(r.ret, 0) AS ret FROM x JOIN walk w USING (portfolio, nth, id) JOIN (SELECT DISTINCT date FROM r) m ON m.date >= day AND (until IS NULL OR m.date < until) LEFT JOIN r ON r.id = x.id AND r.date = m.date),
+ a AS (SELECT *, w1 * coalesce(product(1 + ret) OVER (PARTITION BY portfolio, nth, id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS part FROM d)
+ SELECT portfolio, date, ROUND(coalesce(sum(part * ret) / nullif(sum(part), 0) * sum(w1), 0) - 0.001e0 * CASE WHEN date = day THEN max(turnover) ELSE 0 END, 6) AS value, ROUND(CASE WHEN date = day THEN max(turnover) ELSE 0 END, 6) AS turnover FROM a JOIN turn USING (portfolio, nth) GROUP BY portfolio, nth, day, date""")
+def b3_backtest_books(spark, d):
+    p = panel(spark, d).groupBy("date", F.col("industry").alias("id")).agg(F.sum("f2").alias("q"))
+    w = Window.partitionBy("id").orderBy("date")
+    returns = p.select("date", "id", F.round(F.coalesce(F.col("q") / F.lag("q").over(w) - 1, F.lit(0.0)), 6).alias("ret"))
+    lines = read(spark, d, "lineitem").where(F.month("l_shipdate") % 3 == 1).join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    books = lines.groupBy(F.col("l_suppkey").alias("portfolio"), F.date_trunc("month", "l_shipdate").cast("date").alias("date"), F.col("p_type").alias("id")).agg(F.sum("l_quantity").alias("q"))
+    targets = books.withColumn("weight", F.col("q") / F.sum("q").over(Window.partitionBy("portfolio", "date"))).drop("q")
+    every = books.select("portfolio").distinct().join(returns, F.lit(True))  # asked for: each book with the returns of a few kinds
+    status = every.select("portfolio", "date", "id", (F.col("ret") > 0.15).alias("no_buy"), (F.col("ret") < -0.15).alias("no_sell"))
+    return rounded(portfolio.backtest(targets, every, status, 0.001))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import align
+from panelspark.operators import align, portfolio
 from panelspark.sources.ranges import RangeStore
 
 
@@ -103,3 +103,31 @@ def test_range_store_of_two_writers_and_of_nothing(spark, tmp_path):
         store._publish("e", last, meta)
     with pytest.raises(ValueError, match="no such mode"):
         store.save("e", empty, "upsert")
+
+
+def test_rebalanced_equals_a_walk_of_every_portfolio(spark):
+    """300 portfolios, some with names blocked for long, some all blocked, some without goals; ids of one lie in many tasks."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for p in range(300):
+        n, ids, stuck = int(rng.integers(1, 9)), int(rng.integers(1, 12)), float(rng.choice([0.0, 0.3, 0.9, 1.0]))
+        w = np.zeros(ids)
+        for k in range(1, n + 1):
+            goal = rng.random(ids) * (rng.random(ids) < 0.7) * (p % 11 > 0)
+            growth, buy, sell = 1 + rng.normal(0, 0.1, ids), rng.random(ids) < stuck, rng.random(ids) < stuck
+            rows += [(p, k, f"i{i}", *map(float, (goal[i], growth[i])), bool(buy[i]), bool(sell[i])) for i in range(ids)]
+            blocked = (buy & (goal > w)) | (sell & (goal < w))
+            free = goal[~blocked].sum()
+            new = np.where(blocked, w, goal * ((1 - w[blocked].sum()) / free if free else 0.0))
+            want |= {(p, k, f"i{i}"): (new[i], np.abs(new - w).sum()) for i in range(ids)}
+            grown = new * growth
+            w = grown / grown.sum() * new.sum() if grown.sum() else grown
+    df = spark.createDataFrame(rows, "portfolio int, nth int, id string, goal double, growth double, no_buy boolean, no_sell boolean").repartition(7)
+    got = {(r["portfolio"], r["nth"], r["id"]): (r["w1"], r["turnover"]) for r in portfolio.rebalanced(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_rebalanced_of_nothing(spark):
+    none = spark.createDataFrame([], "portfolio int, nth int, id string, goal double, growth double, no_buy boolean, no_sell boolean")
+    assert portfolio.rebalanced(none).count() == 0
