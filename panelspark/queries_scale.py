@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import align, portfolio
 from panelspark.queries import KEYS, PANEL, SERIES, STATEMENTS, as_of_keys, panel, query, read, rounded, series, statements
-from panelspark.sources import ranges
+from panelspark.sources import databases, ranges
 
 # --- as-of joins over hot keys --------------------------------------------------------------------------------------
 
@@ -93,3 +93,31 @@ def b3_backtest_books(spark, d):
     every = books.select("portfolio").distinct().join(returns, F.lit(True))  # asked for: each book with the returns of a few kinds
     status = every.select("portfolio", "date", "id", (F.col("ret") > 0.15).alias("no_buy"), (F.col("ret") < -0.15).alias("no_sell"))
     return rounded(portfolio.backtest(targets, every, status, 0.001))
+
+
+# --- databases ------------------------------------------------------------------------------------------------------
+
+
+def a_database(spark: SparkSession) -> str:
+    """An embedded database of its own, for one machine; users hand over the address of theirs."""
+    return f"jdbc:derby:memory:db{uuid.uuid4().hex};create=true"
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_custkey BETWEEN 20 AND 90 AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def s17_database_in_parts(spark, d):
+    """A table sent to a database and read again in eight parts; the database filters."""
+    url = a_database(spark)
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("order_day"))
+    databases.written(o, url, "orders", "o_orderpriority VARCHAR(20)")
+    found = databases.read_parts(spark, url, "orders", "o_orderkey", 8, {"o_orderpriority": ["1-URGENT", "2-HIGH"]}, {"o_custkey": (20, 90)})
+    return found.withColumnRenamed("order_day", "date")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS sent, o_custkey FROM orders")
+def k10_insert_ignore(spark, d):
+    """Orders that are filled are in the table already; all are inserted again, and only the others arrive."""
+    url, o = a_database(spark), read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    old, new = (df.select("o_orderkey", F.lit(i).alias("sent"), "o_custkey") for i, df in enumerate((o.where("o_orderstatus = 'F'"), o)))
+    databases.written(old, url, "orders")
+    databases.insert_ignored(new, url, "orders", ["o_orderkey"])
+    return databases.read_parts(spark, url, "orders", "o_orderkey", 4)

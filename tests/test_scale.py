@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import align, portfolio
+from panelspark.sources import databases
 from panelspark.sources.ranges import RangeStore
 
 
@@ -131,3 +132,29 @@ def test_rebalanced_equals_a_walk_of_every_portfolio(spark):
 def test_rebalanced_of_nothing(spark):
     none = spark.createDataFrame([], "portfolio int, nth int, id string, goal double, growth double, no_buy boolean, no_sell boolean")
     assert portfolio.rebalanced(none).count() == 0
+
+
+def test_database_in_parts_of_like_size(spark):
+    url = f"jdbc:derby:memory:test{np.random.default_rng().integers(1 << 40)};create=true"
+    ids = [*range(900), *range(10**6, 10**6 + 50), 5 * 10**6, None]  # crowded at one end
+    df = spark.createDataFrame([(i, f"n{(i or 0) % 3}", None if i == 7 else (i or 0) * 1.5) for i in ids], "id long, name string, x double")
+    databases.written(df, url, "t", "name VARCHAR(10)", batch=100)
+    back = databases.read_parts(spark, url, "t", "id", 6)
+    assert sorted(map(str, back.collect())) == sorted(map(str, back.sparkSession.createDataFrame(df.collect(), back.schema).collect()))
+    sizes = [r["count"] for r in back.groupBy(F.spark_partition_id()).count().collect()]
+    assert back.rdd.getNumPartitions() <= 7 and len(sizes) >= 3
+    some = databases.read_parts(spark, url, "t", "id", 6, {"name": ["n1"]}, {"id": (5, 100)}, fields=["id", "name"])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "IN (n1)" in plan.replace("[", "(").replace("]", ")") or "EqualTo" in plan or "*In" in plan
+    assert sorted(r["id"] for r in some.collect()) == [i for i in range(5, 101) if i % 3 == 1]
+    assert databases.ranges_of([(0, 10), (1, 10), (2, 10), (3, 10)], 2) == [0, 2] and databases.ranges_of([(4, 1)], 5) == [4]
+    # what is there stays; keys that come twice are inserted once
+    databases.executed(spark, url, 'CREATE TABLE u ("id" BIGINT PRIMARY KEY, "x" DOUBLE)', "INSERT INTO u VALUES (1, 0.5)")
+    more = spark.createDataFrame([(1, 9.0), (2, 2.0), (2, 2.0), (3, 3.0)], "id long, x double")
+    assert databases.insert_ignored(more, url, "u", ["id"]) == 2 and databases.insert_ignored(more, url, "u", ["id"]) == 0
+    assert sorted(databases.asked(spark, url, 'SELECT "id", "x" FROM u')) == [(1, 0.5), (2, 2.0), (3, 3.0)]
+    with pytest.raises(Exception, match="(?i)duplicate|unique|23505"):  # a transaction is whole or nothing
+        databases.executed(spark, url, "INSERT INTO u VALUES (10, 1)", "INSERT INTO u VALUES (1, 1)")
+    assert len(databases.asked(spark, url, 'SELECT "id" FROM u')) == 3
+    empty = databases.read_parts(spark, url, "(SELECT * FROM t WHERE \"id\" < 0) e", "id", 3)
+    assert empty.count() == 0
