@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators import align, portfolio
 from panelspark.queries import KEYS, PANEL, SERIES, STATEMENTS, as_of_keys, panel, query, read, rounded, series, statements
-from panelspark.sources import databases, ranges
+from panelspark.sources import databases, ranges, vendors
 
 # --- as-of joins over hot keys --------------------------------------------------------------------------------------
 
@@ -121,3 +124,43 @@ def k10_insert_ignore(spark, d):
     databases.written(old, url, "orders")
     databases.insert_ignored(new, url, "orders", ["o_orderkey"])
     return databases.read_parts(spark, url, "orders", "o_orderkey", 4)
+
+
+# --- vendors' tables ------------------------------------------------------------------------------------------------
+
+
+class Desk:
+    """A stand-in for a vendor's client: quotes by quarter, cut from the table of orders, 500 rows a page."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def tables(self) -> dict[str, vendors.Table]:
+        return {"orders": vendors.Table("o_orderkey long, o_custkey long, o_orderpriority string, quarter date", "quarter", ("o_custkey", "o_orderpriority"), 500)}
+
+    def _rows(self):
+        t = ds.dataset(self.path).to_table(columns=["o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"])
+        day = pc.floor_temporal(t["o_orderdate"], unit="quarter").cast("date32")
+        return t.drop_columns("o_orderdate").append_column("quarter", day)
+
+    def values(self, table: str) -> list:
+        return sorted(pc.unique(self._rows()["quarter"]).to_pylist())
+
+    def fetch(self, table, value, equal, between, offset, limit):
+        rows = self._rows()
+        keep = pc.equal(rows["quarter"], value)
+        for c, wanted in equal.items():
+            keep = pc.and_(keep, pc.is_in(rows[c], pa.array(wanted, rows[c].type)))
+        for c, (low, high) in between.items():
+            keep = pc.and_(keep, pc.greater_equal(rows[c], low)) if low is not None else keep
+            keep = pc.and_(keep, pc.less_equal(rows[c], high)) if high is not None else keep
+        return rows.filter(keep).sort_by("o_orderkey").slice(offset, limit)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter FROM orders WHERE o_custkey BETWEEN 10 AND 120 AND o_orderpriority IN ('1-URGENT', '5-LOW') AND date_trunc('quarter', o_orderdate) >= DATE '1995-04-01' AND o_orderkey % 2 = 0")
+def s19_vendor_table(spark, d):
+    """A vendor's table as a source of Spark: a call a quarter, narrowed by the filters that calls can take."""
+    name = f"desk_{uuid.uuid4().hex}"
+    vendors.registered(spark, name, lambda path=f"{d}/orders.parquet": Desk(path))
+    rows = spark.read.format(name).option("table", "orders").load()
+    return rows.where("o_custkey between 10 and 120 and o_orderpriority in ('1-URGENT', '5-LOW') and quarter >= '1995-04-01' and o_orderkey % 2 = 0")

@@ -4,11 +4,13 @@ import collections
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from panelspark.operators import align, portfolio
-from panelspark.sources import databases
+from panelspark.sources import databases, vendors
 from panelspark.sources.ranges import RangeStore
 
 
@@ -158,3 +160,59 @@ def test_database_in_parts_of_like_size(spark):
     assert len(databases.asked(spark, url, 'SELECT "id" FROM u')) == 3
     empty = databases.read_parts(spark, url, "(SELECT * FROM t WHERE \"id\" < 0) e", "id", 3)
     assert empty.count() == 0
+
+
+def quotes_client(log):
+    """A class of its own, as tasks can't import this file."""
+    from panelspark.sources.vendors import Table
+
+    first = dt.date(2020, 1, 1)
+
+    class Quotes:
+        """A vendor's client that notes its calls in a folder."""
+
+        def __init__(self, log):
+            self.log = log
+
+        def tables(self):
+            return {"daily": Table("date date, code string, n int", "date", ("code",), 4)}
+
+        def values(self, table):
+            stop = int((self.log / "days").read_text())
+            return [first + dt.timedelta(days=i) for i in range(stop)]
+
+        def fetch(self, table, value, equal, between, offset, limit):
+            (self.log / f"call-{value}-{offset}-{np.random.default_rng().integers(1 << 40)}").touch()
+            rows = [(value, c, i) for i, c in enumerate("abcab" * 2) if c in equal.get("code", "abc")]
+            return pa.table(dict(zip(("date", "code", "n"), map(list, zip(*rows[offset : offset + limit], strict=True)), strict=True)) if rows[offset:] else {"date": [], "code": [], "n": []}, pa.schema([("date", pa.date32()), ("code", pa.string()), ("n", pa.int32())]))
+
+    return lambda: Quotes(log)
+
+
+def test_vendor_tables_are_a_source(spark, tmp_path):
+    (tmp_path / "days").write_text("20")
+    calls = lambda: [p for p in tmp_path.iterdir() if p.name.startswith("call")]
+    vendors.registered(spark, "test_quotes", quotes_client(tmp_path))
+    daily = spark.read.format("test_quotes").option("table", "daily").load()
+    assert daily.schema.names == ["date", "code", "n"] and not calls()
+    assert daily.count() == 200 and len(calls()) == 60 and daily.rdd.getNumPartitions() == 20
+    [p.unlink() for p in calls()]
+    few = daily.where("date >= '2020-01-05' and date <= '2020-01-06' and code in ('a', 'c') and n > 2")
+    assert sorted((r["date"], r["code"], r["n"]) for r in few.collect()) == sorted((day(i), c, k) for i in (4, 5) for k, c in enumerate("abcab" * 2) if c in "ac" and k > 2)
+    assert {p.name[5:15] for p in calls()} == {"2020-01-05", "2020-01-06"} and len(calls()) == 4  # six rows a day, four a page
+    # as a stream: what has come since
+    out = [str(tmp_path / x) for x in ("out", "check")]
+    run = lambda: spark.readStream.format("test_quotes").option("table", "daily").load().writeStream.format("parquet").option("checkpointLocation", out[1]).trigger(availableNow=True).start(out[0]).awaitTermination(120)
+    run()
+    assert spark.read.parquet(out[0]).count() == 200
+    (tmp_path / "days").write_text("23")
+    run()
+    got = spark.read.parquet(out[0])
+    assert got.count() == 230 and got.agg(F.max("date")).first()[0] == day(22)
+
+
+def test_narrowed_filters():
+    n, at = vendors.Narrowed({}, {}), ("x",)
+    assert n.take(ds.In(at, (1, 2, 3)), {"x"}) and n.take(ds.EqualTo(at, 2), {"x"}) and n.take(ds.GreaterThanOrEqual(at, 1), {"x"}) and n.take(ds.GreaterThanOrEqual(at, 0), {"x"}) and n.take(ds.LessThanOrEqual(at, 5), {"x"})
+    assert not n.take(ds.GreaterThan(at, 1), {"x"}) and not n.take(ds.EqualTo(("y",), 1), {"x"})
+    assert n.equal == {"x": [2]} and n.between == {"x": (1, 5)} and n.passes("x", 2) and not n.passes("x", 3) and n.passes("z", None)
