@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.orderstats import with_quantiles
+
 
 def discrete(signals: DataFrame) -> DataFrame:
     """name and whether all its signals are -1, 0 or 1."""
@@ -77,9 +79,6 @@ def _contrast(rows: DataFrame) -> DataFrame:
 
 def rolling_terciles(df: DataFrame, window: int, days: int, shift: int = 1) -> DataFrame:
     """The same with each row's third taken within the `window` rows up to it."""
-    rows = forward_returns(df, days, shift)
-    w = Window.partitionBy("name").orderBy("date").rowsBetween(1 - window, 0)
-    full = F.count("factor").over(w) == window
-    q = lambda r: F.percentile("factor", F.lit(r)).over(w)
-    third = F.when(full, _tercile(F.col("factor"), q(1 / 3), q(2 / 3)))
+    rows = with_quantiles(forward_returns(df, days, shift), "factor", window, {"_low": 1 / 3, "_high": 2 / 3}, "name")
+    third = F.when(F.col("_low").isNotNull(), _tercile(F.col("factor"), F.col("_low"), F.col("_high")))
     return _contrast(rows.withColumn("third", third).where("third is not null and forward is not null"))

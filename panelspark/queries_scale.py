@@ -10,7 +10,7 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import align, portfolio
+from panelspark.operators import align, orderstats, portfolio
 from panelspark.queries import KEYS, PANEL, SERIES, STATEMENTS, as_of_keys, panel, query, read, rounded, series, statements
 from panelspark.sources import databases, ranges, vendors
 
@@ -164,3 +164,20 @@ def s19_vendor_table(spark, d):
     vendors.registered(spark, name, lambda path=f"{d}/orders.parquet": Desk(path))
     rows = spark.read.format(name).option("table", "orders").load()
     return rows.where("o_custkey between 10 and 120 and o_orderpriority in ('1-URGENT', '5-LOW') and quarter >= '1995-04-01' and o_orderkey % 2 = 0")
+
+
+# --- order statistics in long windows -------------------------------------------------------------------------------
+
+_LONG = "SELECT event_type, event_id, ts, value, {} OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {} PRECEDING AND {}) AS l FROM events"
+
+
+@query(f"SELECT event_type, event_id, CASE WHEN len(l) = 400 THEN ROUND(len(list_filter(l, lambda v: v <= value)) / 400e0, 6) END AS share FROM ({_LONG.format('list(value)', 400, '1 PRECEDING')})")
+def t7_percentile_long(spark, d):
+    e = read(spark, d, "events").select("event_type", "event_id", F.struct("ts", "event_id").alias("at"), "value")
+    return rounded(orderstats.with_shares(e, "value", 400, "event_type", "at").select("event_type", "event_id", "share"))
+
+
+@query(f"SELECT event_type, event_id, CASE WHEN len(l) = 300 THEN ROUND(quantile_cont(v, 0.25), 6) END AS low, CASE WHEN len(l) = 300 THEN ROUND(quantile_cont(v, 0.9), 6) END AS high FROM (SELECT event_type, event_id, l, unnest(l) AS v FROM ({_LONG.format('list(value)', 299, 'CURRENT ROW')})) GROUP BY event_type, event_id, l UNION ALL SELECT event_type, event_id, NULL, NULL FROM ({_LONG.format('list(value)', 299, 'CURRENT ROW')}) WHERE len(l) = 0")
+def g8_rolling_quantiles(spark, d):
+    e = read(spark, d, "events").select("event_type", "event_id", F.struct("ts", "event_id").alias("at"), "value")
+    return rounded(orderstats.with_quantiles(e, "value", 300, {"low": 0.25, "high": 0.9}, "event_type", "at").select("event_type", "event_id", "low", "high"))

@@ -2,14 +2,16 @@
 
 import collections
 import datetime as dt
+import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from panelspark.operators import align, portfolio
+from panelspark.operators import align, orderstats, portfolio, rolling
 from panelspark.sources import databases, vendors
 from panelspark.sources.ranges import RangeStore
 
@@ -216,3 +218,49 @@ def test_narrowed_filters():
     assert n.take(ds.In(at, (1, 2, 3)), {"x"}) and n.take(ds.EqualTo(at, 2), {"x"}) and n.take(ds.GreaterThanOrEqual(at, 1), {"x"}) and n.take(ds.GreaterThanOrEqual(at, 0), {"x"}) and n.take(ds.LessThanOrEqual(at, 5), {"x"})
     assert not n.take(ds.GreaterThan(at, 1), {"x"}) and not n.take(ds.EqualTo(("y",), 1), {"x"})
     assert n.equal == {"x": [2]} and n.between == {"x": (1, 5)} and n.passes("x", 2) and not n.passes("x", 3) and n.passes("z", None)
+
+
+def test_wavelet_matrix_equals_sorting():
+    rng = np.random.default_rng(6)
+    for top in (1, 2, 7, 1000):
+        values = rng.integers(top, size=300)
+        tree = orderstats.WaveletMatrix(values)
+        start = rng.integers(300, size=400)
+        stop = start + np.array([int(rng.integers(1, 301 - s)) for s in start])
+        v, k = rng.integers(top + 3, size=400), np.array([int(rng.integers(b - a)) for a, b in zip(start, stop, strict=True)])
+        assert list(tree.below(start, stop, v)) == [int((values[a:b] < x).sum()) for a, b, x in zip(start, stop, v, strict=True)]
+        assert list(tree.smallest(start, stop, k)) == [np.sort(values[a:b])[i] for a, b, i in zip(start, stop, k, strict=True)]
+
+
+def test_order_statistics_of_long_and_short_series(spark):
+    """Chunks smaller than series and larger; nulls; equal to the plain windows."""
+    rng = np.random.default_rng(8)
+    rows = [(s, i, None if rng.random() < 0.02 else float(rng.integers(50))) for s, n in (("hot", 700), ("a", 3), ("b", 90), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, date int, x double").repartition(5)
+    plain = df.select("id", "date", rolling.percentile_of("x", 20).alias("share"))
+    for size in (64, 1 << 16):
+        got = orderstats.with_shares(df, "x", 20, size=size).select("id", "date", "share")
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    of = {}
+    for s, i, x in rows:
+        of.setdefault(s, []).append((i, x))
+    for r in orderstats.with_quantiles(df, "x", 15, {"q": 0.3, "m": 0.5}, size=50).collect():
+        inside = [x for i, x in of[r["id"]] if r["date"] - 15 < i <= r["date"]]
+        whole = len(inside) == 15 and None not in inside
+        assert (r["q"], r["m"]) == (pytest.approx(np.quantile(inside, 0.3)), np.median(inside)) if whole else r["q"] is r["m"] is None
+
+
+def test_work_does_not_grow_with_the_window():
+    """Seconds of the kernel for windows of 100 and of 20,000 rows, the best of three."""
+    pdf = pd.DataFrame({"x": np.random.default_rng(9).random(60_000), "_series": 1})
+    best = []
+    for window in (100, 20_000):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            value, start, stop, full = orderstats.spans(pdf, "x", window, False)
+            rank, _ = orderstats.ranked(value)
+            orderstats.WaveletMatrix(rank).below(start[full], stop[full], rank[full] + 1)
+            took.append(time.perf_counter() - began)
+        best.append(min(took))
+    assert best[1] < 3 * best[0]
