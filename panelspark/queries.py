@@ -416,9 +416,23 @@ def cal(spark: SparkSession) -> DataFrame:
     return calendar.calendar(spark, "1992-01-01", "2001-12-31", holidays)
 
 
-@query(f"WITH {CAL} SELECT date FROM (SELECT max(date) AS date FROM cal WHERE is_td GROUP BY date_trunc('month', date))")
+#: The calendar of the years in which there are orders.
+ORDER_CAL = CAL.replace("DATE '1992-01-01'", "make_date((SELECT min(year(o_orderdate)) FROM orders), 1, 1)").replace("DATE '2001-12-31'", "make_date((SELECT max(year(o_orderdate)) FROM orders), 12, 31)")
+
+
+def order_years(spark: SparkSession, d: str) -> tuple[str, str]:
+    r = read(spark, d, "orders").agg(F.year(F.min("o_orderdate")), F.year(F.max("o_orderdate"))).first()
+    return f"{r[0]}-01-01", f"{r[1]}-12-31"
+
+
+def order_cal(spark: SparkSession, d: str) -> DataFrame:
+    holidays = read(spark, d, "orders").select(F.make_date(F.year("o_orderdate"), F.lit(1), F.lit(1)).alias("date")).distinct()
+    return calendar.calendar(spark, *order_years(spark, d), holidays)
+
+
+@query(f"WITH {ORDER_CAL} SELECT date FROM (SELECT max(date) AS date FROM cal WHERE is_td GROUP BY date_trunc('month', date))")
 def c2_month_ends(spark, d):
-    return calendar.trade_days(cal(spark), "1992-01-01", "2001-12-31", "m")
+    return calendar.trade_days(order_cal(spark, d), *order_years(spark, d), "m")
 
 
 @query(f"WITH {CAL}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, (SELECT count(*) FROM td WHERE td.date <= CAST(o_orderdate AS DATE)) AS seq FROM orders) SELECT o_orderkey, o.date, a.date AS later, b.date AS earlier FROM o LEFT JOIN td a ON a.seq = o.seq + 3 LEFT JOIN td b ON b.seq = CASE WHEN EXISTS (SELECT 1 FROM td WHERE td.date = o.date) THEN o.seq - 2 ELSE o.seq - 1 END")
@@ -428,14 +442,14 @@ def c4_trade_day_offset(spark, d):
     return calendar.shifted_days(calendar.shifted_days(o, c, 3, out="later"), c, -2, out="earlier").select("o_orderkey", "date", "later", "earlier")
 
 
-@query(f"WITH {CAL}, w AS (SELECT date, lag(date) OVER (ORDER BY date) AS p, lead(date) OVER (ORDER BY date) AS n FROM td) SELECT date, coalesce(date_trunc('week', date) <> date_trunc('week', p), true) AS first_w, coalesce(date_trunc('quarter', date) <> date_trunc('quarter', n), true) AS last_q FROM w")
+@query(f"WITH {ORDER_CAL}, w AS (SELECT date, lag(date) OVER (ORDER BY date) AS p, lead(date) OVER (ORDER BY date) AS n FROM td) SELECT date, coalesce(date_trunc('week', date) <> date_trunc('week', p), true) AS first_w, coalesce(date_trunc('quarter', date) <> date_trunc('quarter', n), true) AS last_q FROM w")
 def c5_period_flags(spark, d):
-    return calendar.period_flags(cal(spark)).select("date", "first_w", "last_q")
+    return calendar.period_flags(order_cal(spark, d)).select("date", "first_w", "last_q")
 
 
-@query(f"WITH {CAL}, m AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS month FROM days), n AS (SELECT month, CAST(month + CAST((10 - isodow(month)) % 7 + 21 AS INTEGER) AS DATE) AS nominal FROM m) SELECT month, nominal, (SELECT min(date) FROM td WHERE td.date >= nominal) AS expiry FROM n")
+@query(f"WITH {ORDER_CAL}, m AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS month FROM days), n AS (SELECT month, CAST(month + CAST((10 - isodow(month)) % 7 + 21 AS INTEGER) AS DATE) AS nominal FROM m) SELECT month, nominal, (SELECT min(date) FROM td WHERE td.date >= nominal) AS expiry FROM n")
 def c10_expiry(spark, d):
-    return calendar.expiry_days(cal(spark)).select("month", "nominal", "expiry")
+    return calendar.expiry_days(order_cal(spark, d)).select("month", "nominal", "expiry")
 
 
 @query(f"WITH {SIGNALS} SELECT name, max(date) AS date, ROUND(product(1 + benchmark) - 1, 8) AS benchmark FROM signals GROUP BY name, date_trunc('week', date)")

@@ -12,7 +12,7 @@ from panelspark.functions import codes, dates, industries
 from panelspark.functions import maths as mx
 from panelspark.operators import align, calendar, filters, funds, listing, pit, portfolio, regress, rolling, timing
 from panelspark.plans import universe
-from panelspark.queries import CAL, KEYS, KNOWN, MEMBERS, METRICS, PANEL, PRIOR, SERIES, SIGNALS, STATEMENTS, YEARS_BACK, as_of_keys, cal, panel, query, read, rounded, series, signals, statements, weights
+from panelspark.queries import CAL, KEYS, KNOWN, MEMBERS, METRICS, ORDER_CAL, PANEL, PRIOR, SERIES, SIGNALS, STATEMENTS, YEARS_BACK, as_of_keys, cal, order_cal, order_years, panel, query, read, rounded, series, signals, statements, weights
 from panelspark.sources import clients
 from panelspark.sources import store as stores
 
@@ -384,9 +384,9 @@ def t11_overfitting_drawn(spark, d):
     return rounded(rolling.overfitting(series(spark, d).withColumnRenamed("series", "id"), draws=40, seed=7))
 
 
-@query(f"WITH {CAL}, st AS (SELECT unnest([interval 600 minute, interval 630 minute, interval 660 minute, interval 690 minute, interval 810 minute, interval 840 minute, interval 870 minute, interval 900 minute]) AS s) SELECT date, CAST(date AS TIMESTAMP) + s AS ts FROM td, st")
+@query(f"WITH {ORDER_CAL}, st AS (SELECT unnest([interval 600 minute, interval 630 minute, interval 660 minute, interval 690 minute, interval 810 minute, interval 840 minute, interval 870 minute, interval 900 minute]) AS s) SELECT date, CAST(date AS TIMESTAMP) + s AS ts FROM td, st")
 def c3_intraday_stamps(spark, d):
-    return calendar.intraday(calendar.trade_days(cal(spark), "1992-01-01", "2001-12-31"), 30)
+    return calendar.intraday(calendar.trade_days(order_cal(spark, d), *order_years(spark, d)), 30)
 
 
 @query(f"WITH {CAL} SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, td.date AS trade_day FROM orders ASOF LEFT JOIN td ON CAST(o_orderdate AS DATE) >= td.date")
@@ -412,9 +412,9 @@ def _ends_sql(freq: str, end: str) -> str:
 ENDS = " UNION ALL ".join(_ends_sql(f, e) for f, e in (("w", "CAST(date_trunc('week', date) + INTERVAL 4 DAY AS DATE)"), ("m", "last_day(date)"), ("q", "last_day(CAST(date_trunc('quarter', date) AS DATE) + INTERVAL 2 MONTH)"), ("y", "make_date(year(date), 12, 31)")))
 
 
-@query(f"WITH {CAL}, n AS ({ENDS}) SELECT freq, nominal, td.date FROM (SELECT * FROM n WHERE nominal <= (SELECT max(date) FROM days)) n ASOF LEFT JOIN td ON n.nominal >= td.date")
+@query(f"WITH {ORDER_CAL}, n AS ({ENDS}) SELECT freq, nominal, td.date FROM (SELECT * FROM n WHERE nominal <= (SELECT max(date) FROM days)) n ASOF JOIN td ON n.nominal >= td.date")
 def c9_period_ends(spark, d):
-    c = cal(spark)
+    c = order_cal(spark, d)
     return align.stacked_rows([calendar.period_ends(c, f).select(F.lit(f).alias("freq"), "nominal", "date") for f in "wmqy"])
 
 
@@ -468,11 +468,20 @@ def v8_fixed_point(spark, d):
 # --- filters, regressions, portfolios, timing -----------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT y AS year, CAST(1 + y % 2 AS INTEGER) AS month, CAST(1 + y * 11 % 27 AS INTEGER) AS day FROM range(1970, 2021) t(y)), x AS (SELECT year, CAST(unnest(generate_series(make_date(year, month, day) - INTERVAL 10 DAY, make_date(year, month, day) + INTERVAL 7 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM f), s AS (SELECT year, month(d) AS month, count(*) / 18e0 AS share FROM x GROUP BY 1, 2),
+#: A festival a year: the day of January or February with most orders, the first of such days.
+FESTIVALS = "f AS (SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, CAST(day(d) AS INTEGER) AS day FROM (SELECT arg_min(d, (-n, d)) AS d FROM (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders WHERE month(o_orderdate) <= 2 GROUP BY 1) GROUP BY year(d)))"
+
+
+def festivals(spark: SparkSession, d: str) -> DataFrame:
+    days = read(spark, d, "orders").where(F.month("o_orderdate") <= 2).groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("n"))
+    best = days.groupBy(F.year("d").alias("year")).agg(F.min_by("d", F.struct(-F.col("n"), "d")).alias("d"))
+    return best.select("year", F.month("d").alias("month"), F.dayofmonth("d").alias("day"))
+
+
+@query(f"""WITH {FESTIVALS}, x AS (SELECT year, CAST(unnest(generate_series(make_date(year, month, day) - INTERVAL 10 DAY, make_date(year, month, day) + INTERVAL 7 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM f), s AS (SELECT year, month(d) AS month, count(*) / 18e0 AS share FROM x GROUP BY 1, 2),
  g AS (SELECT year, m AS month FROM f, (SELECT unnest([1, 2, 3]) AS m)), j AS (SELECT g.year, g.month, coalesce(share, 0) AS share FROM g LEFT JOIN s USING (year, month)) SELECT CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, ROUND(share - avg(share) OVER (PARTITION BY month), 8) AS value FROM j""")
 def z7_festival_regressor(spark, d):
-    f = spark.sql("select cast(y as int) as year, cast(1 + y % 2 as int) as month, cast(1 + y * 11 % 27 as int) as day from (select explode(sequence(1970, 2020)) as y)")
-    return rounded(filters.festival_regressor(f), digits=8)
+    return rounded(filters.festival_regressor(festivals(spark, d)), digits=8)
 
 
 @query(f"WITH {PANEL}, s AS (SELECT industry AS series, date, sum(f2) AS value FROM panel GROUP BY 1, 2) SELECT series, date, value FROM s WHERE month(date) > 2 UNION ALL SELECT series, last_day(make_date(year(date), 2, 1)), avg(value) FROM s WHERE month(date) <= 2 GROUP BY series, year(date)")

@@ -10,8 +10,9 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import align, orderstats, portfolio
+from panelspark.operators import align, filters, orderstats, portfolio, seasonal
 from panelspark.queries import KEYS, PANEL, SERIES, STATEMENTS, as_of_keys, panel, query, read, rounded, series, statements
+from panelspark.queries_more import festivals
 from panelspark.sources import databases, ranges, vendors
 
 # --- as-of joins over hot keys --------------------------------------------------------------------------------------
@@ -181,3 +182,23 @@ def t7_percentile_long(spark, d):
 def g8_rolling_quantiles(spark, d):
     e = read(spark, d, "events").select("event_type", "event_id", F.struct("ts", "event_id").alias("at"), "value")
     return rounded(orderstats.with_quantiles(e, "value", 300, {"low": 0.25, "high": 0.9}, "event_type", "at").select("event_type", "event_id", "low", "high"))
+
+
+# --- seasons --------------------------------------------------------------------------------------------------------
+
+
+def months(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly quantities of each kind of part, with a festival's regressor."""
+    s = panel(spark, d).groupBy(F.col("industry").alias("series"), "date").agg(F.sum("f2").alias("value"))
+    f = filters.festival_regressor(festivals(spark, d)).withColumnRenamed("value", "festival")
+    return s.join(f, (F.year("date") == f["year"]) & (F.month("date") == f["month"]), "left").select("series", "date", "value", F.coalesce("festival", F.lit(0.0)).alias("festival"))
+
+
+@query(None)
+def z6_seasonal_adjustment(spark, d):
+    return rounded(seasonal.seasonally_adjusted(months(spark, d), 12, True, ["festival"]), digits=4)
+
+
+@query(None)
+def z9_rolling_seasons(spark, d):
+    return rounded(seasonal.rolling_adjusted(months(spark, d), 60, 12), digits=4)
