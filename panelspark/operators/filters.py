@@ -80,14 +80,47 @@ def hp_trend(x: np.ndarray, lamb: float) -> np.ndarray:
     return y
 
 
+def hp_last(x: np.ndarray, lamb: float) -> np.ndarray:
+    """The last point of the trend of each beginning of x, in one pass.
+
+    The equations of two beginnings differ in their last two rows alone. So all rows but these are eliminated once, and each
+    beginning ends the elimination with two rows of its own, whose last gives the point.
+    """
+    n = len(x)
+    out = np.array([hp_trend(x[: m + 1], lamb)[-1] for m in range(min(n, 4))])
+    if n <= 4:
+        return out
+    d, l1, y = np.zeros(n), np.zeros(n), np.zeros(n)  # l2 is lamb / d two rows before
+
+    def row(i: int, diagonal: float, beside: float) -> tuple[float, float, float]:
+        """What elimination makes of row i: its pivot, its factor of the row before, its right side."""
+        two = lamb / d[i - 2] if i >= 2 else 0.0
+        one = (beside - (lamb * l1[i - 1] if i >= 2 else 0.0)) / d[i - 1] if i >= 1 else 0.0
+        pivot = diagonal - (one * one * d[i - 1] if i >= 1 else 0.0) - (two * two * d[i - 2] if i >= 2 else 0.0)
+        return pivot, one, x[i] - (one * y[i - 1] if i >= 1 else 0.0) - (two * y[i - 2] if i >= 2 else 0.0)
+
+    last = np.empty(n)
+    last[:4] = out
+    for i in range(n):
+        # as an inner row, which the beginnings share
+        inner = 1 + lamb * (1.0 if i == 0 else 5.0 if i == 1 else 6.0), lamb * (-2.0 if i == 1 else -4.0)
+        if i >= 4:
+            kept = d[i - 1], l1[i - 1], y[i - 1]
+            d[i - 1], l1[i - 1], y[i - 1] = row(i - 1, 1 + 5 * lamb, -4 * lamb)
+            pivot, _, right = row(i, 1 + lamb, -2 * lamb)
+            last[i] = right / pivot
+            d[i - 1], l1[i - 1], y[i - 1] = kept
+        d[i], l1[i], y[i] = row(i, *inner)
+    return last
+
+
 def hp_cycle(df: DataFrame, freq: str = "M", min_periods: int = 24, lamb: float | None = None, by: str = "series", value: str = "value", order: str = "date") -> DataFrame:
     """Each point's cycle by the series up to it; the first `min_periods` by the whole series."""
     size = lamb or LAMBDA[freq]
 
     def f(x: np.ndarray) -> list[np.ndarray]:
         out = x - hp_trend(x, size)
-        for i in range(min_periods, len(x)):
-            out[i] = x[i] - hp_trend(x[: i + 1], size)[-1]
+        out[min_periods:] = (x - hp_last(x, size))[min_periods:]
         return [out]
 
     return _per_series(df, f, by, value, order, ["cycle"])

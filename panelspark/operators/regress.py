@@ -146,7 +146,7 @@ def optimised(assets: DataFrame, covariance: DataFrame, risk: float = 1.0, cost:
         for i, j, x in zip(c["id1"], c["id2"], c["cov"], strict=True):
             if i in at and j in at:
                 v[at[i], at[j]] = v[at[j], at[i]] = x
-        empty = pd.DataFrame({"date": [], "id": [], "weight": [], "active": []})
+        empty = a[["date", "id"]].iloc[:0].assign(weight=0.0, active=0.0)
         # buying and selling as two variables above 0: x = w0 - wb + u - s
         base = (a["w0"] - a["wb"]).to_numpy()
         both = np.hstack([np.eye(n), -np.eye(n)])

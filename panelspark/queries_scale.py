@@ -10,7 +10,7 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import align, filters, orderstats, portfolio, seasonal
+from panelspark.operators import align, filters, optimiser, orderstats, portfolio, seasonal, unitroot
 from panelspark.queries import KEYS, PANEL, SERIES, STATEMENTS, as_of_keys, panel, query, read, rounded, series, statements
 from panelspark.queries_more import festivals
 from panelspark.sources import databases, ranges, vendors
@@ -202,3 +202,32 @@ def z6_seasonal_adjustment(spark, d):
 @query(None)
 def z9_rolling_seasons(spark, d):
     return rounded(seasonal.rolling_adjusted(months(spark, d), 60, 12), digits=4)
+
+
+# --- unit roots and optimal portfolios ------------------------------------------------------------------------------
+
+
+@query(None)
+def g9_unit_root(spark, d):
+    s = panel(spark, d).groupBy(F.col("id").alias("series"), "date").agg(F.sum("f2").alias("value"))
+    return rounded(unitroot.unit_root(s), digits=5)
+
+
+@query(None)
+def o2_factor_portfolios(spark, d):
+    """Each year's portfolio of suppliers under kinds of parts as factors; ends, a limit of one kind and the benchmark's share bind."""
+    lines = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.select(F.make_date(F.year("l_shipdate"), F.lit(1), F.lit(1)).alias("date"), F.col("l_suppkey").alias("id"), F.col("p_type").alias("factor"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("discount"))
+    by_kind = lines.groupBy("date", "id", "factor").agg(F.sum("q").alias("q"))
+    of = lambda *keys: Window.partitionBy(*keys)
+    exposures = by_kind.withColumn("x", F.col("q") / F.sum("q").over(of("date", "id")) - 1 / 6).drop("q")
+    whole = lines.groupBy("date", "id").agg(F.sum("q").alias("q"), F.avg("discount").alias("discount"))
+    n, all_q = F.count("*").over(of("date")), F.sum("q").over(of("date"))
+    members = F.col("id") % 3 > 0
+    assets = whole.select("date", "id", (F.col("discount") - 0.05).alias("r"), F.when(members, F.col("q")).otherwise(0.0).alias("wb"), (F.col("q") / all_q).alias("w0"), F.lit(0.0005).alias("cost"), F.lit(0.0).alias("wmin"), (3 / n).alias("wmax"), (F.col("discount") * 3).alias("own"))
+    assets = assets.withColumn("wb", F.col("wb") / F.sum("wb").over(of("date")))
+    kinds = exposures.select("date", "factor").distinct()
+    factors = kinds.select("date", F.col("factor").alias("factor1")).join(kinds.select("date", F.col("factor").alias("factor2")), "date").withColumn("cov", F.when(F.col("factor1") == F.col("factor2"), 0.09).otherwise(0.02))
+    rows = exposures.where("factor = 'PROMO'").select("date", F.lit("promo").alias("name"), "id", "x")
+    limits = rows.select("date", "name").distinct().withColumns({"low": F.lit(-0.002), "high": F.lit(0.002)})
+    return rounded(optimiser.optimised(assets, optimiser.parts(exposures, factors, rows, limits), 0.5, 0.0, 0.75), digits=5)
