@@ -1,10 +1,12 @@
 """I-Match fingerprints with randomised lexicons.
 
 The lexicon holds the terms (words in lower case, by 64-bit hash) with a document frequency from LOW documents to a share
-of HIGH. LEXICONS random subsets of it are drawn by the hashes' bits, each holding half of the lexicon. A text's distinct
-terms in the whole lexicon and in each subset are folded to one hash by XOR; its fingerprint is these hashes. A text without any
-term of the lexicon has the hash of all its text instead. The likeness of two fingerprints is the share of equal hashes
-among those (of the lexicon and its subsets) of which either text has terms.
+of HIGH. Random subsets of it are drawn in FAMILIES, each nested: the first of LEVELS holds a fourth of the lexicon, the next a
+fourth of that, and so on, by bits of a hash of its own. A text's distinct terms in the whole lexicon and in each subset are folded to
+one hash by XOR; its fingerprint is these hashes. A text without any term of the lexicon has the hash of all its text
+instead. A subset's hash survives an edit if none of the terms lost or gained is in it: large subsets tell near copies,
+small ones texts that share a part. The likeness of two fingerprints is the share of equal hashes among those of which
+either text has terms, each with its level as weight (the whole lexicon with 1).
 
 No text is joined with the lexicon term by term: terms above HIGH are few (at most the mean number of a text's terms over
 HIGH), those of one document alone are told to it, and all other words of texts are in the lexicon. Only the up to two
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import cut, whole_docs
 
 LOW, HIGH = 2, 0.05
-LEXICONS = 16
+FAMILIES, LEVELS = 15, 6
 NO_TERMS = "cast(array() as array<bigint>)"
 
 
@@ -46,15 +48,28 @@ def last_word(text: Column) -> Column:
     return F.reverse(first_word(F.reverse(text)))
 
 
-def folded(found: Column, k: int | None = None) -> Column:
-    """Distinct terms as one number, whatever their order: those of the k-th random subset, or all; 0 for none."""
-    inside = found if k is None else F.filter(found, lambda t: t.bitwiseAND(F.lit(1 << k)) != 0)
-    return F.aggregate(inside, F.lit(0).cast("long"), lambda sofar, t: sofar.bitwiseXOR(t))
+def folded(found: Column) -> Column:
+    """Hashes as one number of 32 bits, whatever their order; 0 for none."""
+    return F.shiftright(F.aggregate(found, F.lit(0).cast("long"), lambda sofar, t: sofar.bitwiseXOR(t)), 32).cast("int")
+
+
+def family(found: Column, j: int) -> Column:
+    """The numbers of the j-th family's subsets, the largest first; each is drawn from the one before by two bits."""
+
+    def smaller(of: Column, level: Column) -> Column:
+        return F.filter(of, lambda t: t.bitwiseAND(F.call_function("shiftleft", F.lit(3).cast("long"), 2 * level)) == 0)
+
+    def step(sofar: Column, level: Column) -> Column:
+        return F.struct(smaller(sofar.of, level).alias("of"), F.concat(sofar.numbers, F.array(folded(sofar.of))).alias("numbers"))
+
+    own = F.transform(found, lambda t: F.xxhash64(F.lit(j), t))
+    start = F.struct(smaller(own, F.lit(0)).alias("of"), F.expr("cast(array() as array<int>)").alias("numbers"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, step, lambda end: end.numbers)
 
 
 def state(found: Column) -> Column:
     """The numbers of the lexicon and of each subset; joined() puts those of disjoint sets together."""
-    return F.array(folded(found), *(folded(found, k) for k in range(LEXICONS)))
+    return F.concat(F.array(folded(F.transform(found, lambda t: F.xxhash64(F.lit(-1), t)))), *(family(found, j) for j in range(FAMILIES)))
 
 
 def joined(a: Column, b: Column) -> Column:
@@ -63,7 +78,7 @@ def joined(a: Column, b: Column) -> Column:
 
 def prints(parts: Column, whole: Column) -> Column:
     """A fingerprint of the numbers that state() gives."""
-    hashes = F.transform(parts, lambda x: F.when(x != 0, F.hex(F.xxhash64(x))).otherwise(F.lit("")))
+    hashes = F.transform(parts, lambda x: F.when(x != 0, F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.lit("")))
     return F.array_join(F.when(F.get(parts, F.lit(0)) != 0, hashes).otherwise(F.array(F.hex(whole))), ".")
 
 
@@ -83,11 +98,15 @@ def following(keys: DataFrame) -> DataFrame:
     return found.select("m1", "m2", "n_chars", F.col("next.m1").alias("next_m1"), F.col("next.m2").alias("next_m2"))
 
 
+WEIGHTS = [1, *(level for _ in range(FAMILIES) for level in range(1, LEVELS + 1))]
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints' parts (arrays; one part where the lexicon has no term)."""
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    some = F.size(F.filter(pairs, lambda p: (p.x != "") | (p.y != "")))
-    equal = F.size(F.filter(pairs, lambda p: (p.x != "") & (p.x == p.y)))
+    weights = F.array(*map(F.lit, WEIGHTS))
+    pairs = F.zip_with(weights, F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda w, p: F.struct(w.alias("w"), p.x.alias("x"), p.y.alias("y")))
+    total = lambda fits: F.aggregate(F.filter(pairs, fits), F.lit(0), lambda sofar, p: sofar + p.w)
+    some, equal = total(lambda p: (p.x != "") | (p.y != "")), total(lambda p: (p.x != "") & (p.x == p.y))
     return F.when(a == b, 1.0).when((F.size(a) == 1) | (F.size(b) == 1), 0.0).otherwise(equal / some)
 
 

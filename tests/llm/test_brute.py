@@ -2,11 +2,13 @@
 
 import collections
 import math
+import os
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from panelspark.llm import fingerprints, licenses, quality, toxicity
 
@@ -115,23 +117,77 @@ def test_license_cosines_equal_dense_vectors():
     assert 50 < hits < 300
 
 
-def test_fingerprint_likeness_by_hand(spark):
+def signed(x, bits=64):
+    return x - (1 << bits) if x >> (bits - 1) else x
+
+
+def spark_hash(*values):
+    """xxhash64 of numbers and texts as Spark chains it: each value's hash is the next one's seed."""
+    seed = 42
+    for v, size in values:
+        data = v.encode() if size is None else (v % (1 << 8 * size)).to_bytes(size, "little")
+        seed = xxhash.xxh64_intdigest(data, seed=seed)
+    return seed
+
+
+def plain_fingerprint(text, lexicon):
+    terms = {spark_hash((w, None)) for w in re.split("[\x20\x09-\x0D]+", text.lower()) if w} & lexicon
+    if not terms:
+        return [f"{spark_hash((text, None)):X}"]
+
+    def number(values):
+        total = 0
+        for v in values:
+            total ^= v
+        return f"{total >> 32:X}" if total >> 32 else ""
+
+    out = [number(spark_hash((-1, 4), (t, 8)) for t in terms)]
+    for j in range(fingerprints.FAMILIES):
+        own = [spark_hash((j, 4), (t, 8)) for t in terms]
+        for level in range(1, fingerprints.LEVELS + 1):
+            out.append(number(v for v in own if v % (1 << 2 * level) == 0))
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if len(a) == 1 or len(b) == 1:
+        return 0.0
+    weight = lambda i: 1 if i == 0 else (i - 1) % fingerprints.LEVELS + 1
+    some = sum(weight(i) for i, (x, y) in enumerate(zip(a, b, strict=True)) if x or y)
+    return sum(weight(i) for i, (x, y) in enumerate(zip(a, b, strict=True)) if x and x == y) / some
+
+
+def test_fingerprints_and_likeness_from_terms(spark):
+    """Lexicon, subsets, edited texts and likenesses from the texts' words alone; copies are alike, halves far more than strangers."""
     rng = np.random.default_rng(4)
-    rows = [(i, " ".join(invented(rng, int(rng.integers(0, 30))))) for i in range(40)]
-    found = sorted(fingerprints.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: r["doc_id"])
-
-    def likeness(a, b):
-        a, b = a.split("."), b.split(".")
-        if a == b:
-            return 1.0
-        if len(a) != len(b) or len(a) == 1:
-            return 0.0
-        some = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
-        return sum(x == y for x, y in some) / len(some)
-
-    for r, after in zip(found, found[1:] + found[:1], strict=True):
-        assert r["near_edited"] == pytest.approx(likeness(r["fingerprint"], r["edited_fingerprint"]))
-        assert r["near_next"] == pytest.approx(likeness(r["fingerprint"], after["fingerprint"]))
+    vocabulary = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(rng.choice(vocabulary, size=int(rng.choice([0, 3, 60, 300])))) for _ in range(90)]
+    texts[50], texts[70] = texts[51], "the of and"
+    n = len(texts)
+    df = collections.Counter(w for t in texts for w in set(t.lower().split()))
+    lexicon = {spark_hash((w, None)) for w, k in df.items() if fingerprints.LOW <= k <= max(fingerprints.HIGH * n, fingerprints.LOW)}
+    found = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    ahead = asked = 0
+    for i, text in enumerate(texts):
+        after, half, r = texts[(i + 1) % n], len(text) // 2, found[i]
+        edited = text[: len(text) - half] + after[:half]
+        own, other, following = (plain_fingerprint(t, lexicon) for t in (text, edited, after))
+        assert r["fingerprint"] == ".".join(own) and r["edited_fingerprint"] == ".".join(other)
+        assert r["near_edited"] == pytest.approx(plain_likeness(own, other)) and r["near_next"] == pytest.approx(plain_likeness(own, following))
+        if len(text.split()) >= 50 and text != after:
+            asked += 1
+            ahead += r["near_edited"] > r["near_next"]
+    assert found[50]["near_next"] == 1.0 and asked > 30 and ahead >= 0.9 * asked
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_half_a_text_is_nearer_than_the_next(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = fingerprints.fingerprints(docs).join(docs.select("doc_id", "text"), "doc_id").where("size(split(text, ' ')) >= 50")
+    r = found.selectExpr("avg(cast(near_edited > near_next as int)) as ahead", "avg(near_edited) as edited", "avg(near_next) as following").first()
+    assert r["ahead"] >= 0.9 and r["edited"] > 3 * r["following"]
 
 
 def test_quality_verdicts_by_hand(spark):
