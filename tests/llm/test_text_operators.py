@@ -381,7 +381,7 @@ def test_fingerprints_hold_every_term_of_the_lexicon(spark):
         for t, got in ((a, by[i]["fingerprint"]), (edited, by[i]["edited_fingerprint"])):
             band = frozenset(set(re.split(r"[ \t-\r]+", t.lower())) & lexicon)
             groups.setdefault(band or t, set()).add(got)
-            assert (got.count(".") == fingerprints.LEXICONS) == bool(band)
+            assert (got.count(".") == fingerprints.FAMILIES * fingerprints.LEVELS) == bool(band)
     assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
 
 
