@@ -3,10 +3,12 @@
 Segment by segment from a host's root to each path's end, a segment is kept if it surely has SHARE or more of the
 different paths at that node of the tree (its number less Z standard errors), else it is variable and becomes a wildcard.
 Shares of different paths don't change with the number of pages or with repeated ones. Paths that a rule decides are the
-labels. Branches of one node (a host and all but the last segment of its templates) whose rates of blocked labels can't
-be told apart from those of their siblings (two proportions, Z standard errors) are merged with these; a branch without
-labels can be told apart from none, so it takes the share of its merged siblings. A template is rejected if its share of
-blocked labels, smoothed by SMOOTH labels at the overall rate, is PURITY or more.
+labels. Branches of one node (a host and all but the last segment of its templates) are merged if two rates can't be
+told apart from those of their siblings (two proportions, Z standard errors): that of blocked labels, and that of paths whose
+last segment begins with a digit. So a branch without labels takes the share of its siblings only if its segments are like
+theirs. A template is rejected if its share of blocked labels, smoothed by SMOOTH labels at the overall rate, is PURITY or more.
+
+The tree is settled level by level: as many rounds as the deepest node with FEWEST paths has segments.
 
 Results for odd input: a null url, or one without "://", has an empty host and path and no rule, and is judged like any
 other template without labels; a branch none of whose siblings has labels is allowed; a null page_id stays null; repeated
@@ -76,18 +78,23 @@ def templates(paths: DataFrame) -> DataFrame:
     return out.withColumn("node", F.regexp_extract("template", "^(.*)/[^/]*$", 1))
 
 
+def alike(hits: str, of: str) -> Column:
+    """Whether a branch's rate of hits can't be told from that of its siblings; hits_all, of_all: of all branches of the node."""
+    n, b, n_all, b_all = F.col(of), F.col(hits), F.col(f"{of}_all"), F.col(f"{hits}_all")
+    n2, b2 = n_all - n, b_all - b
+    p = F.when(n_all > 0, b_all / n_all).otherwise(0.0)
+    gap = F.abs(b * n2 - b2 * n).cast("double")  # difference of the rates times n * n2; 0 if either has none
+    return gap * gap <= Z * Z * p * (1 - p) * n * n2 * n_all
+
+
 def purity(paths: DataFrame) -> DataFrame:
-    """For each template whether it is rejected; paths: host, node, template, verdict (null without a label)."""
+    """For each template whether it is rejected; paths: host, node, template, path, verdict (null without a label)."""
+    digit = F.col("path").rlike("/[0-9][^/]*$").cast("long")
     bad = F.coalesce(F.sum((F.col("verdict") == "block").cast("long")), F.lit(0))
-    each = cut(paths.groupBy("host", "node", "template").agg(F.count("verdict").alias("n"), bad.alias("b")))
-    siblings = each.groupBy("host", "node").agg(F.sum("n").alias("n_all"), F.sum("b").alias("b_all"))
+    each = cut(paths.groupBy("host", "node", "template").agg(F.count("verdict").alias("n"), bad.alias("b"), F.count("*").alias("m"), F.coalesce(F.sum(digit), F.lit(0)).alias("g")))
+    siblings = each.groupBy("host", "node").agg(*(F.sum(c).alias(f"{c}_all") for c in "nbmg"))
     overall = each.agg(F.sum("b").alias("b_total"), F.sum("n").alias("n_total"))  # one row
-    rows = each.join(siblings, ["host", "node"])
-    n2, b2 = F.col("n_all") - F.col("n"), F.col("b_all") - F.col("b")
-    p = F.when(F.col("n_all") > 0, F.col("b_all") / F.col("n_all")).otherwise(0.0)
-    gap = F.abs(F.col("b") * n2 - b2 * F.col("n"))  # difference of the shares times n * n2
-    alike = gap * gap <= Z * Z * p * (1 - p) * F.col("n") * n2 * F.col("n_all")  # so is a branch without labels or one alone
-    rows = rows.withColumn("alike", alike)
+    rows = each.join(siblings, ["host", "node"]).withColumn("alike", alike("b", "n") & alike("g", "m"))
     pooled = rows.where("alike").groupBy("host", "node").agg(F.sum("n").alias("n_like"), F.sum("b").alias("b_like"))
     rows = rows.join(pooled, ["host", "node"], "left").crossJoin(F.broadcast(overall))
     n, b = (F.when(F.col("alike"), F.col(f"{c}_like")).otherwise(F.col(c)) for c in "nb")

@@ -302,7 +302,7 @@ def test_url_templates_hold_at_every_size(spark):
 def test_url_branches_without_labels_take_their_siblings_share(spark):
     rows = [("h", "/*", t, v) for t, v, n in (("/*/a", "block", 20), ("/*/b", "block", 20), ("/*/c", None, 3)) for _ in range(n)]
     rows += [("i", "/*", t, v) for t, v, n in (("/*/a", "block", 20), ("/*/b", "allow", 20), ("/*/c", None, 3)) for _ in range(n)] + [("j", "/*", "/*/c", None)]
-    found = {(r["host"], r["template"]): r["rejected"] for r in urls.purity(spark.createDataFrame(rows, "host string, node string, template string, verdict string")).collect()}
+    found = {(r["host"], r["template"]): r["rejected"] for r in urls.purity(spark.createDataFrame(rows, "host string, node string, template string, verdict string").withColumn("path", F.lit("/a/1"))).collect()}
     assert [found["h", f"/*/{x}"] for x in "abc"] == [True, True, True]
     assert [found["i", f"/*/{x}"] for x in "abc"] == [True, False, False] and found["j", "/*/c"] is False
 
