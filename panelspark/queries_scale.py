@@ -10,8 +10,9 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import align, filters, optimiser, orderstats, portfolio, seasonal, unitroot
-from panelspark.queries import KEYS, PANEL, SERIES, STATEMENTS, as_of_keys, panel, query, read, rounded, series, statements
+from panelspark.functions import maths as mx
+from panelspark.operators import align, cross, filters, optimiser, options, orderstats, portfolio, seasonal, unitroot
+from panelspark.queries import PANEL, QUOTES, panel, query, quotes, read, rounded
 from panelspark.queries_more import festivals
 from panelspark.sources import databases, ranges, vendors
 
@@ -231,3 +232,43 @@ def o2_factor_portfolios(spark, d):
     rows = exposures.where("factor = 'PROMO'").select("date", F.lit("promo").alias("name"), "id", "x")
     limits = rows.select("date", "name").distinct().withColumns({"low": F.lit(-0.002), "high": F.lit(0.002)})
     return rounded(optimiser.optimised(assets, optimiser.parts(exposures, factors, rows, limits), 0.5, 0.0, 0.75), digits=5)
+
+
+# --- oracles by closed forms and recursion --------------------------------------------------------------------------
+
+
+def _bs_sql(v: str) -> str:
+    """Black and Scholes' price of s, k, r, t, cp at a volatility."""
+    d1 = f"((ln(s / k) + (r + {v} * {v} / 2) * t) / ({v} * sqrt(t)))"
+    return f"(cp * (s * {mx.normal_cdf_sql(f'(cp * {d1})')} - k * exp(-r * t) * {mx.normal_cdf_sql(f'(cp * ({d1} - {v} * sqrt(t)))')}))"
+
+
+@query(f"""WITH RECURSIVE {QUOTES}, p AS (SELECT *, {_bs_sql('v')} AS price, CASE WHEN cp > 0 THEN s - k * exp(-r * t) ELSE k * exp(-r * t) - s END AS bound FROM quotes),
+ w AS (SELECT id, s, k, r, t, v, cp, price, bound, CAST(0 AS DOUBLE) AS lo, CAST(8 AS DOUBLE) AS hi, 0 AS n FROM p
+  UNION ALL SELECT id, s, k, r, t, v, cp, price, bound, CASE WHEN high THEN lo ELSE mid END, CASE WHEN high THEN mid ELSE hi END, n + 1 FROM (SELECT *, {_bs_sql('mid')} > price AS high FROM (SELECT *, (lo + hi) / 2 AS mid FROM w WHERE n < 60)))
+ SELECT id, ROUND(v, 3) AS v, CASE WHEN price <= 0 OR price <= bound THEN 0 ELSE ROUND((lo + hi) / 2, 3) END AS implied FROM w WHERE n = 60""")
+def q4_bs_implied_volatility(spark, d):
+    s, k, r, t, v, cp = (F.col(c) for c in ("s", "k", "r", "t", "v", "cp"))
+    q = quotes(spark, d).withColumn("price", options.bs_price(s, k, r, t, v, cp))
+    return q.select("id", F.round("v", 3).alias("v"), F.round(options.bs_implied(s, k, r, t, F.col("price"), cp), 3).alias("implied"))
+
+
+@query(f"""WITH RECURSIVE {QUOTES}, q AS (SELECT id, s, k, t, cp, v, bump, v * bump * sqrt(t / 15) AS step FROM quotes, (SELECT unnest([1e0, 1.001e0]) AS bump)), u AS (SELECT *, exp(step) AS up, (1 - 1 / exp(step)) / (exp(step) - 1 / exp(step)) AS p FROM q),
+ w AS (SELECT id, s, k, t, cp, v, bump, step, up, p, 15 AS i, j, greatest(0, cp * (s * exp(step * (2 * j - 15)) - k)) AS value FROM u, range(16) x(j)
+  UNION ALL SELECT id, s, k, t, cp, v, bump, step, up, p, i - 1, j, greatest(p * above + (1 - p) * value, greatest(0, cp * (s * exp(step * (2 * j - i + 1)) - k))) FROM (SELECT *, lead(value) OVER (PARTITION BY id, bump ORDER BY j) AS above FROM w WHERE i > 0) WHERE above IS NOT NULL),
+ g AS (SELECT id, any_value(s) AS s, any_value(t) AS t, any_value(v) AS v, max(CASE WHEN bump = 1 THEN up END) AS up, {", ".join(f"max(CASE WHEN i = {i} AND j = {j} AND bump {'=' if b == '' else '<>'} 1 THEN value END) AS v{i}{j}{b}" for i, j, b in ((0, 0, ""), (0, 0, "b"), (1, 0, ""), (1, 1, ""), (2, 0, ""), (2, 1, ""), (2, 2, "")))} FROM w WHERE i <= 2 GROUP BY id)
+ SELECT id, ROUND(v00, 6) AS price, ROUND((v11 - v10) / (s * up - s / up), 6) AS delta, ROUND(((v22 - v21) / (s * up * up - s) - (v21 - v20) / (s - s / up / up)) / ((s * up * up - s / up / up) / 2), 6) AS gamma, ROUND((v21 - v00) / (2 * t / 15) / 240, 6) AS theta, ROUND((v00b - v00) / (v * 0.001e0) / 100, 4) AS vega FROM g""")
+def q7_tree_greeks_of_quotes(spark, d):
+    s, k, t, v, cp = (F.col(c) for c in ("s", "k", "t", "v", "cp"))
+    found = quotes(spark, d).select("id", *(c.alias(n) for n, c in options.tree_greeks(s, k, t, v, cp).items()))
+    return rounded(rounded(found, "price", "delta", "gamma", "theta"), "vega", digits=4)
+
+
+@query(f"""WITH {PANEL}, x AS (SELECT date, id, f2 / 10 AS a, coalesce(f3, avg(f3) OVER (PARTITION BY date)) * 10 AS b FROM panel), g AS (SELECT date, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM x GROUP BY 1),
+ r AS (SELECT *, sqrt(aa * bb - ab * ab) AS s FROM g WHERE aa * bb - ab * ab > 1e-6 * aa * bb), t AS (SELECT *, s * sqrt(aa + bb + 2 * s) AS d FROM r) SELECT date, id, ROUND((a * (bb + s) - b * ab) / d, 6) AS a_orth, ROUND((b * (aa + s) - a * ab) / d, 6) AS b_orth FROM x JOIN t USING (date)""")
+def x12_two_factors(spark, d):
+    """Two factors have an inverse root in closed form; dates on which they are one and the same line are left out."""
+    x = panel(spark, d).select("date", "id", (F.col("f2") / 10).alias("a"), (F.coalesce("f3", F.avg("f3").over(Window.partitionBy("date"))) * 10).alias("b"))
+    sums = x.groupBy("date").agg(*(F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "ab", "bb")))
+    apart = sums.where("aa * bb - ab * ab > 1e-6 * aa * bb").select("date")
+    return rounded(cross.symmetric_orthogonal(x.join(apart, "date"), ["a", "b"]).select("date", "id", "a_orth", "b_orth"))
