@@ -57,12 +57,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = F.col("spans")
-    of = {r.kind: F.filter("spans", lambda s, i=i: s.kind == i) for i, r in enumerate(secretscan.BASE)}
+    def n(kind: int):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+
+    counts = (n(i).alias(f"n_{r.kind}") for i, r in enumerate(secretscan.BASE))
     base = F.filter("spans", lambda s: s.kind < len(secretscan.BASE))
-    counts = (F.size(c).cast("long").alias(f"n_{kind}") for kind, c in of.items())
     found = secretscan.scanned(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *counts, F.sha2(secretscan.printed(base), 256).alias("base_sha256"), secretscan.printed(spans).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(secretscan.printed(base), 256).alias("base_sha256"), secretscan.printed(F.col("spans")).alias("spans"))
 
 
 def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The secret scan and its trigram queries against plain matching of every rule in every text."""
 
+import hashlib
 import itertools
 import re
 
@@ -73,3 +74,15 @@ def test_empty_table(spark):
     assert secretscan.scanned(spark.createDataFrame([], SCHEMA)).count() == 0
     only = secretscan.scanned(spark.createDataFrame([(1, "f" * 30)], SCHEMA), (secretscan.BASE[2],)).collect()
     assert [tuple(s) for s in only[0]["spans"]] == [(0, 0, 30)]
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    from panelspark.llm import queries
+
+    spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op11_secrets(spark, str(tmp_path)).collect():
+        found = spans(TEXTS[r["doc_id"]])
+        kinds = [secretscan.RULES[k].kind for _, k, _ in found]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [kinds.count(k) for k in ("assign", "access", "hex")]
+        printed = lambda some: ",".join(f"{secretscan.RULES[k].kind}:{a}:{b}" for a, k, b in some)
+        assert r["spans"] == printed(found) and r["base_sha256"] == hashlib.sha256(printed([s for s in found if s[1] < 3]).encode()).hexdigest()
