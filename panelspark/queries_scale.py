@@ -257,7 +257,7 @@ def q4_bs_implied_volatility(spark, d):
  w AS (SELECT id, s, k, t, cp, v, bump, step, up, p, 15 AS i, j, greatest(0, cp * (s * exp(step * (2 * j - 15)) - k)) AS value FROM u, range(16) x(j)
   UNION ALL SELECT id, s, k, t, cp, v, bump, step, up, p, i - 1, j, greatest(p * above + (1 - p) * value, greatest(0, cp * (s * exp(step * (2 * j - i + 1)) - k))) FROM (SELECT *, lead(value) OVER (PARTITION BY id, bump ORDER BY j) AS above FROM w WHERE i > 0) WHERE above IS NOT NULL),
  g AS (SELECT id, any_value(s) AS s, any_value(t) AS t, any_value(v) AS v, max(CASE WHEN bump = 1 THEN up END) AS up, {", ".join(f"max(CASE WHEN i = {i} AND j = {j} AND bump {'=' if b == '' else '<>'} 1 THEN value END) AS v{i}{j}{b}" for i, j, b in ((0, 0, ""), (0, 0, "b"), (1, 0, ""), (1, 1, ""), (2, 0, ""), (2, 1, ""), (2, 2, "")))} FROM w WHERE i <= 2 GROUP BY id)
- SELECT id, ROUND(v00, 6) AS price, ROUND((v11 - v10) / (s * up - s / up), 6) AS delta, ROUND(((v22 - v21) / (s * up * up - s) - (v21 - v20) / (s - s / up / up)) / ((s * up * up - s / up / up) / 2), 6) AS gamma, ROUND((v21 - v00) / (2 * t / 15) / 240, 6) AS theta, ROUND((v00b - v00) / (v * 0.001e0) / 100, 4) AS vega FROM g""")
+ SELECT id, ROUND(v00, 6) AS price, ROUND((v11 - v10) / (s * up - s / up), 6) + 0e0 AS delta, ROUND(((v22 - v21) / (s * up * up - s) - (v21 - v20) / (s - s / up / up)) / ((s * up * up - s / up / up) / 2), 6) + 0e0 AS gamma, ROUND((v21 - v00) / (2 * t / 15) / 240, 6) + 0e0 AS theta, ROUND((v00b - v00) / (v * 0.001e0) / 100, 4) + 0e0 AS vega FROM g""")
 def q7_tree_greeks_of_quotes(spark, d):
     s, k, t, v, cp = (F.col(c) for c in ("s", "k", "t", "v", "cp"))
     found = quotes(spark, d).select("id", *(c.alias(n) for n, c in options.tree_greeks(s, k, t, v, cp).items()))
@@ -265,7 +265,7 @@ def q7_tree_greeks_of_quotes(spark, d):
 
 
 @query(f"""WITH {PANEL}, x AS (SELECT date, id, f2 / 10 AS a, coalesce(f3, avg(f3) OVER (PARTITION BY date)) * 10 AS b FROM panel), g AS (SELECT date, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM x GROUP BY 1),
- r AS (SELECT *, sqrt(aa * bb - ab * ab) AS s FROM g WHERE aa * bb - ab * ab > 1e-6 * aa * bb), t AS (SELECT *, s * sqrt(aa + bb + 2 * s) AS d FROM r) SELECT date, id, ROUND((a * (bb + s) - b * ab) / d, 6) AS a_orth, ROUND((b * (aa + s) - a * ab) / d, 6) AS b_orth FROM x JOIN t USING (date)""")
+ r AS (SELECT *, sqrt(aa * bb - ab * ab) AS s FROM g WHERE aa * bb - ab * ab > 1e-6 * aa * bb), t AS (SELECT *, s * sqrt(aa + bb + 2 * s) AS d FROM r) SELECT date, id, ROUND((a * (bb + s) - b * ab) / d, 6) + 0e0 AS a_orth, ROUND((b * (aa + s) - a * ab) / d, 6) + 0e0 AS b_orth FROM x JOIN t USING (date)""")
 def x12_two_factors(spark, d):
     """Two factors have an inverse root in closed form; dates on which they are one and the same line are left out."""
     x = panel(spark, d).select("date", "id", (F.col("f2") / 10).alias("a"), (F.coalesce("f3", F.avg("f3").over(Window.partitionBy("date"))) * 10).alias("b"))
