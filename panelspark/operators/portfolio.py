@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.align import as_of, settled
+from panelspark.operators.align import as_of, matching, settled
+from panelspark.operators.calendar import shifted_days
 
 PERIODS = {"d": 252, "w": 52, "m": 12}
 
@@ -175,6 +176,30 @@ def price_returns(prices: DataFrame, price: str = "close", at_open: bool = False
     return prices.withColumn("ret", F.coalesce(ret, F.lit(0.0)))
 
 
+#: By kind of price: trade days from a signal to the first day on which new weights earn, and whether days earn to the next open.
+PRICE_TYPES = {"close": (2, False), "open": (1, True)}
+
+
+def stock_backtest(targets: DataFrame, prices: DataFrame, cal: DataFrame, price_type: str = "open", commission: float = 0.0) -> DataFrame:
+    """portfolio, date, value, turnover of stock portfolios that are traded on the trade day after their signals.
+
+    targets: portfolio, date, id, weight; prices: date, id, the price (open or close), suspend, go_up_limit, go_down_limit (0 or 1); cal: a calendar.
+    On its trade day a suspended stock stays, one at its upper limit can't be bought and one at its lower limit can't be sold; one
+    without a row neither. Traded at the close, new weights earn from the day after; at the open, from the day itself to the next open.
+    """
+    if price_type not in PRICE_TYPES:
+        raise ValueError(f"no such price: {price_type}")
+    shift, at_open = PRICE_TYPES[price_type]
+    moved = shifted_days(targets, cal, shift, out="_day").where("_day is not null").select("portfolio", F.col("_day").alias("date"), "id", "weight")
+    ids = moved.select("portfolio", "id").distinct()
+    paid = price_returns(prices.select("date", "id", F.col(price_type).cast("double").alias("_price")), "_price", at_open).select("date", "id", "ret")
+    stopped = lambda limit: F.greatest(F.col("suspend"), F.col(limit)).cast("int") > 0
+    flags = prices.select("date", "id", stopped("go_up_limit").alias("no_buy"), stopped("go_down_limit").alias("no_sell"))
+    if shift > 1:  # flags are those of the trade day
+        flags = shifted_days(flags, cal, shift - 1, out="_day").where("_day is not null").select(F.col("_day").alias("date"), "id", "no_buy", "no_sell")
+    return backtest(moved, ids.join(paid, "id"), ids.join(flags, "id"), commission)
+
+
 def drawdown(df: DataFrame, value: str, by: list[str], order: str = "date") -> DataFrame:
     """df with nav (from 1 before the first return) and its fall from the highest so far."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -194,8 +219,9 @@ def metrics(value: Column, benchmark: Column, fall: Column, rf: float, a: int) -
     ]
 
 
-def report(returns: DataFrame, by: str = "series", rf: float = 0.02, period: str = "d", yearly: bool = False) -> DataFrame:
-    """Eight figures per series over all dates, or per calendar year; returns: by, date, value, benchmark."""
+def report(returns: DataFrame, by: str = "series", rf: float = 0.02, period: str = "d", yearly: bool = False, between: tuple | None = None) -> DataFrame:
+    """Eight figures per series over all dates (or those between two ends, None for open), or per calendar year; returns: by, date, value, benchmark."""
     keys = [by, "year"] if yearly else [by]
-    rows = returns.where("value is not null and benchmark is not null").withColumn("year", F.year("date"))
+    rows = matching(returns, between={"date": tuple(None if d is None else F.lit(d).cast("date") for d in between)} if between else None)
+    rows = rows.where("value is not null and benchmark is not null").withColumn("year", F.year("date"))
     return drawdown(rows, "value", keys).groupBy(*keys).agg(*metrics(F.col("value"), F.col("benchmark"), F.col("drawdown"), rf, PERIODS[period]))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import maths as mx
 from panelspark.operators import align, cross, filters, optimiser, options, orderstats, portfolio, seasonal, unitroot
-from panelspark.queries import PANEL, QUOTES, panel, query, quotes, read, rounded
+from panelspark.queries import PANEL, QUOTES, cal, panel, query, quotes, read, rounded
 from panelspark.queries_more import festivals
 from panelspark.sources import databases, ranges, vendors
+from panelspark.sources import store as stores
 
 # --- as-of joins over hot keys --------------------------------------------------------------------------------------
 
@@ -272,3 +273,26 @@ def x12_two_factors(spark, d):
     sums = x.groupBy("date").agg(*(F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "ab", "bb")))
     apart = sums.where("aa * bb - ab * ab > 1e-6 * aa * bb").select("date")
     return rounded(cross.symmetric_orthogonal(x.join(apart, "date"), ["a", "b"]).select("date", "id", "a_orth", "b_orth"))
+
+
+# --- filled stores, stock portfolios, reports over a range ----------------------------------------------------------
+
+
+@query(f"""WITH {PANEL}, p AS (SELECT date, id, f3 FROM panel WHERE id <= 60), u AS (SELECT date, id, coalesce(CASE WHEN id % 2 = 0 THEN f3 * 2 END, f3) AS f3 FROM p), g AS (SELECT * FROM (SELECT DISTINCT date FROM u), (SELECT DISTINCT id FROM u))
+ SELECT g.date, g.id, last_value(f3 IGNORE NULLS) OVER (PARTITION BY g.id ORDER BY g.date) AS f3 FROM g LEFT JOIN u ON u.date = g.date AND u.id = g.id""")
+def k2_filled_forward(spark, d):
+    st, p = stores.PanelStore(spark, f"{align.shared_folder(spark)}/filled-{uuid.uuid4().hex}"), panel(spark, d).where("id <= 60").select("date", "id", "f3")
+    st.save("a", p)
+    st.save_filled("a", p.where("id % 2 = 0").withColumn("f3", F.col("f3") * 2), "overlay", forward=True)
+    return st.load("a")
+
+
+@query(None)
+def b4_stock_backtest(spark, d):
+    """Monthly portfolios of kinds of parts; days without a sale of a kind are suspended, days of many discounts at a limit."""
+    lines = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_shipdate").cast("date").alias("date"), F.col("p_type").alias("id"))
+    prices = lines.agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("open"), F.avg("l_discount").alias("discount"))
+    prices = prices.select("date", "id", "open", F.lit(0).alias("suspend"), (F.col("discount") > 0.08).cast("int").alias("go_up_limit"), (F.col("discount") < 0.02).cast("int").alias("go_down_limit"))
+    p = panel(spark, d).groupBy("date", F.col("industry").alias("id")).agg(F.sum("f2").alias("q"))
+    targets = p.select(F.lit("kinds").alias("portfolio"), "date", "id", (F.col("q") / F.sum("q").over(Window.partitionBy("date"))).alias("weight"))
+    return rounded(portfolio.stock_backtest(targets, prices, cal(spark), "open", 0.001))

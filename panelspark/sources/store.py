@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,21 @@ class PanelStore:
         meta |= {"parts": stay | written, "schema": new.schema.jsonValue(), "keys": keys, "attributes": meta["attributes"] | (attributes or {})}
         self._folder(name).write("meta.json", json.dumps(meta))
 
+    def save_filled(self, name: str, df: DataFrame, mode: str = "append", value=None, forward: bool = False, keys: list[str] = KEYS) -> None:
+        """save(), and then every date with every id, gaps filled by a value, or forward by each id's last one before.
+
+        The grid is asked for: its size is dates times ids.
+        """
+        whole = self.merged(self._read(name, self._meta(name)), df, mode, keys) if mode != "replace" and self.exists(name) else last_of(df, keys)
+        columns = [c for c in whole.columns if c not in keys]
+        grid = whole.select("date").distinct().crossJoin(whole.select("id").distinct()).join(whole, keys, "left")
+        if value is not None:
+            grid = grid.fillna(value, columns)
+        if forward:
+            before = Window.partitionBy("id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+            grid = grid.select(*keys, *(F.last(c, ignorenulls=True).over(before).alias(c) for c in columns))
+        self.save(name, grid, "replace", keys)
+
     def clean(self, name: str) -> None:
         """Delete versions that no year points to; no reader may be at them."""
         folder, used = self._folder(name), set(self._meta(name)["parts"].values())

@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from panelspark.operators import align, orderstats, portfolio, rolling
+from panelspark.operators import align, calendar, orderstats, portfolio, rolling
 from panelspark.sources import databases, vendors
 from panelspark.sources.ranges import RangeStore
+from panelspark.sources.store import PanelStore
 
 
 def day(n):
@@ -264,3 +265,54 @@ def test_work_does_not_grow_with_the_window():
             took.append(time.perf_counter() - began)
         best.append(min(took))
     assert best[1] < 3 * best[0]
+
+
+@pytest.mark.parametrize("price_type", ["open", "close"])
+def test_stock_backtest_equals_a_walk(spark, price_type):
+    """Signals are traded the next trade day; its flags hold; new weights earn from the day their price is known."""
+    rng = np.random.default_rng(10)
+    c = calendar.calendar(spark, "2021-01-01", "2021-03-31", spark.createDataFrame([], "date date"))
+    days = [r["date"] for r in c.where("is_td").orderBy("date").collect()]
+    n, ids = len(days), ["a", "b", "c", "d"]
+    price = np.exp(np.cumsum(rng.normal(0, 0.03, (n, 4)), axis=0))
+    stop, up, down = (rng.random((n, 4)) < q for q in (0.1, 0.2, 0.2))
+    signals = {i: rng.dirichlet(np.ones(4)) for i in (3, 9, 20, 33, n - 2)}
+    shift = 2 if price_type == "close" else 1
+    ret = np.zeros((n, 4))
+    if price_type == "close":
+        ret[1:] = price[1:] / price[:-1] - 1
+    else:
+        ret[:-1] = price[1:] / price[:-1] - 1
+    starts = {i + shift: (w, i + 1) for i, w in signals.items() if i + shift < n}
+    w, want = np.zeros(4), {}
+    for i in range(min(starts), n):
+        turnover = 0.0
+        if i in starts:
+            goal, traded = starts[i]
+            stuck = ((stop | up)[traded] & (goal > w)) | ((stop | down)[traded] & (goal < w))
+            free = goal[~stuck].sum()
+            new = np.where(stuck, w, goal * ((1 - w[stuck].sum()) / free if free else 0.0))
+            turnover, w = np.abs(new - w).sum(), new
+        want[days[i]] = (w @ ret[i] - 0.001 * turnover, turnover)
+        grown = w * (1 + ret[i])
+        w = grown / grown.sum() * w.sum() if grown.sum() else grown
+    rows = [(days[i], ids[j], float(price[i, j]), int(stop[i, j]), int(up[i, j]), int(down[i, j])) for i in range(n) for j in range(4)]
+    prices = spark.createDataFrame(rows, f"date date, id string, {price_type} double, suspend int, go_up_limit int, go_down_limit int")
+    targets = spark.createDataFrame([("p", days[i], ids[j], float(v[j])) for i, v in signals.items() for j in range(4)], "portfolio string, date date, id string, weight double")
+    got = {r["date"]: (r["value"], r["turnover"]) for r in portfolio.stock_backtest(targets, prices, c, price_type, 0.001).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], abs=1e-9) for d in want)
+    with pytest.raises(ValueError, match="vwap"):
+        portfolio.stock_backtest(targets, prices, c, "vwap")
+
+
+def test_filled_saves_and_reports_over_a_range(spark, tmp_path):
+    store = PanelStore(spark, str(tmp_path / "f"))
+    frame = lambda rows: spark.createDataFrame(rows, "date date, id string, x double")
+    store.save_filled("v", frame([(day(0), "a", 1.0), (day(2), "b", None)]), "replace", value=0.5)
+    assert rows_of(store.load("v")) == {(day(0), "a"): (1.0,), (day(0), "b"): (0.5,), (day(2), "a"): (0.5,), (day(2), "b"): (0.5,)}
+    store.save("w", frame([(day(0), "a", 1.0), (day(1), "b", 2.0)]))
+    store.save_filled("w", frame([(day(1), "a", 9.0), (day(3), "b", 4.0)]), "append", forward=True)
+    assert rows_of(store.load("w")) == {(day(0), "a"): (1.0,), (day(1), "a"): (1.0,), (day(3), "a"): (1.0,), (day(0), "b"): (None,), (day(1), "b"): (2.0,), (day(3), "b"): (4.0,)}
+    returns = spark.createDataFrame([("s", day(i), 0.01 * i, 0.0) for i in range(10)], "series string, date date, value double, benchmark double")
+    some, whole = (portfolio.report(returns, between=b).first()["total_return"] for b in ((day(2), day(4)), (None, None)))
+    assert some == pytest.approx(1.02 * 1.03 * 1.04 - 1) and whole == pytest.approx(np.prod([1 + 0.01 * i for i in range(10)]) - 1)
