@@ -10,8 +10,10 @@ values are normalised by length at several lengths: the mean over the whole text
 of 1, 8 and 32 words and over any three words. A logistic curve turns these figures into a score; it is fitted to labelled
 texts under models that were counted without them (two folds).
 
-Expressions are kept exactly (21 bits a letter) and counted over every labelled training text. The model sent to workers
-has LIMIT expressions at most (16 bytes each): should there be more, the rarest are left to the shared backoff.
+Expressions are kept exactly (21 bits a letter) and counted over every labelled training text. A model of at most LIMIT
+expressions and contexts (16 bytes each) is sent to workers. A larger one stays in Spark's tables: the corpus' different
+words are joined with it, expression by expression, into one value a word, and the words' places in each text with these
+values. Both ways give the same figures, and neither leaves an expression out.
 
 Results for odd input: null, empty or blank texts have figures 0 and the score of these; where there is no labelled
 training text of both kinds, every score is 0; null labels are no labels; a doc_id that repeats in labels takes its
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ DISCOUNT = 0.75
 CUTOFF = 0.3
 #: Labelled texts whose figures the logistic curve is fitted to, at most, chosen by hash.
 FITTED = 50_000
-#: Expressions of a model that is sent to workers, at most.
+#: Expressions (and contexts) of a model that is sent to workers, at most; a larger model is joined instead.
 LIMIT = 1 << 23
 SLICE = 1 << 18
 STRETCHES, TOP = (1, 8, 32), 3
@@ -69,7 +72,7 @@ class Words:
         value = mix(code.astype(np.uint64) + np.uint64(3))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(code)], dtype=np.uint64)])
         name = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-        _, first, self.word = np.unique(name, return_index=True, return_inverse=True)
+        self.name, first, self.word = np.unique(name, return_index=True, return_inverse=True)
         self.code, self.start, self.size = code, start[first], (end - start)[first]
 
     def expressions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +135,7 @@ def backoff(grams: DataFrame) -> DataFrame:
     return found
 
 
-def model(grams: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def model(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For each expression and each context (high, and low without its letter) the difference of log probabilities, toxic less ordinary.
 
     d0 is by the counts of fold 0, d1 by those of fold 1, d by both. Expressions that neither class has seen after a
@@ -146,16 +149,8 @@ def model(grams: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     left = {c: F.when(F.col(f"n_{c}") > 0, d * F.col(f"k_{c}") / F.col(f"n_{c}")).otherwise(1.0) for c, _ in kinds}
     p = {c: F.when(F.col(f"n_{c}") > 0, F.greatest(F.expr(e) - d, F.lit(0.0)) / F.col(f"n_{c}")).otherwise(0.0) + left[c] * F.col("q") for c, e in kinds}
     ratio = lambda of: [(F.log(of[f"t{k}"]) - F.log(of[f"o{k}"])).cast("float").alias(f"d{k}") for k in classes]
-    cutoff, kept = 1, grams
-    while kept.count() > limit:
-        cutoff *= 2
-        kept = grams.where(F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3") >= cutoff)
-    expressions = kept.join(backoff(grams), ["low", "high4"]).join(by_context, ["context", "high"]).select("low", "high", *ratio(p))
-    places = by_context
-    while places.count() > limit:
-        cutoff *= 2
-        places = by_context.where(F.col("n_t") + F.col("n_o") >= cutoff)
-    return expressions, places.select(F.col("context").alias("low"), "high", *ratio(left))
+    expressions = grams.join(backoff(grams), ["low", "high4"]).join(by_context, ["context", "high"]).select("low", "high", *ratio(p))
+    return expressions, by_context.select(F.col("context").alias("low"), "high", *ratio(left))
 
 
 class Table:
@@ -207,6 +202,17 @@ def top(value: np.ndarray, doc: np.ndarray, counts: np.ndarray, k: int = TOP) ->
     return np.bincount(doc[order], np.where(rank < k, value[order], 0.0), len(counts)) / np.maximum(np.minimum(counts, k), 1)
 
 
+def figures_of(value: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """FIGURES of each text by the values of its words in order."""
+    mean = np.bincount(doc, value, len(counts)) / np.maximum(counts, 1)
+    return [mean, mean * np.sqrt(counts), *(stretches(value, doc, counts, k) for k in STRETCHES), top(value, doc, counts)]
+
+
+def with_figures(docs: DataFrame, keep: list[str]) -> str:
+    """The schema of docs' columns `keep` with FIGURES and the number of words."""
+    return ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in keep) + "".join(f", {c} double" for c in FIGURES) + ", words long"
+
+
 def figures(docs: DataFrame, tables: dict[str, tuple[Table, Table]], column: Column) -> DataFrame:
     """docs (with text) with FIGURES of each under the model that `column` names, and the number of words.
 
@@ -214,7 +220,6 @@ def figures(docs: DataFrame, tables: dict[str, tuple[Table, Table]], column: Col
     """
     sent = docs.sparkSession.sparkContext.broadcast(tables)  # at most 2 * LIMIT * 16 bytes a model
     keep = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in keep) + "".join(f", {c} double" for c in FIGURES) + ", words long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
@@ -231,12 +236,71 @@ def figures(docs: DataFrame, tables: dict[str, tuple[Table, Table]], column: Col
                     value[missing] = contexts.get(key(low[missing] >> BITS, high[missing]))
                     np.nan_to_num(value, copy=False)
                     value = np.bincount(word, value, len(found.size))[found.word]
-                    mean = np.bincount(found.doc, value, rows) / np.maximum(found.counts, 1)
-                    all_figures = [mean, mean * np.sqrt(found.counts), *(stretches(value, found.doc, found.counts, k) for k in STRETCHES), top(value, found.doc, found.counts)]
-                    out = np.where(mine, np.array(all_figures), out)
+                    out = np.where(mine, np.array(figures_of(value, found.doc, found.counts)), out)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *map(pa.array, out), pa.array(found.counts.astype(np.int64))], [*keep, *FIGURES, "words"])
 
-    return docs.withColumn("model", column).mapInArrow(run, schema)
+    return docs.withColumn("model", column).mapInArrow(run, with_figures(docs, keep))
+
+
+def word_values(docs: DataFrame, expressions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """word (64 bits of its letters) and its value under each model (d0, d1, d), for all different words of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                found = Words(texts(part, "text"))
+                word, low, high = found.expressions()
+                order = np.lexsort((low, high, word))
+                word, low, high = word[order], low[order], high[order]
+                head = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(word) else np.empty(0, np.int64)
+                times = np.diff(np.append(head, len(word)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[head].view(np.int64)) for x in (found.name[word], low, high)), pa.array(times)], ["word", "low", "high", "times"])
+
+    parts = docs.select("text").mapInArrow(run, "word long, low long, high long, times long").groupBy("word", "low", "high").agg(F.max("times").alias("times"))
+    names = ["d0", "d1", "d"]
+    after = contexts.select(F.col("low").alias("context"), "high", *(F.col(c).alias(f"left_{c}") for c in names))
+    parts = parts.join(expressions, ["low", "high"], "left").withColumn("context", F.expr("shiftrightunsigned(low, 21)")).join(after, ["context", "high"], "left")
+    value = lambda c: F.sum(F.coalesce(F.col(c), F.col(f"left_{c}"), F.lit(0.0)).cast("double") * F.col("times")).alias(c)
+    return parts.groupBy("word").agg(*map(value, names))
+
+
+def joined_figures(docs: DataFrame, values: DataFrame, column: Column) -> DataFrame:
+    """What `figures` returns, by joining each text's words with word_values; a text's different words come as a row each."""
+    keep = [c for c in docs.columns if c != "text"]
+    docs = docs.withColumn("row", F.monotonically_increasing_id())  # texts and ids may repeat
+    kinds = "".join(f"{c} {dict(docs.dtypes)[c]}, " for c in [*keep, "row"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                found = Words(texts(part, "text"))
+                place = np.arange(len(found.doc)) - np.repeat(np.cumsum(found.counts) - found.counts, found.counts)
+                order = np.lexsort((place, found.word, found.doc))
+                doc, word = found.doc[order], found.word[order]
+                head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.empty(0, np.int64)
+                blank = np.flatnonzero(found.counts == 0)
+                rows, m = pa.array(np.concatenate([doc[head], blank])), len(head)
+                names = pa.array(np.concatenate([found.name[word[head]].view(np.int64), np.zeros(len(blank), np.int64)]), mask=np.arange(m + len(blank)) >= m)
+                ends = np.concatenate([head, np.full(len(blank) + 1, len(doc))]).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in [*keep, "row"]), names, places], [*keep, "row", "word", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "found", 1 << 14):
+                pairs = part.column("found").flatten()
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("found")).to_numpy())
+                times = pc.fill_null(pc.list_value_length(pairs.field("places")), 0).to_numpy()
+                doc, place = np.repeat(row, times), pairs.field("places").flatten().to_numpy()
+                order = np.lexsort((place, doc))
+                value, doc = np.repeat(pc.fill_null(pairs.field("value"), 0.0).to_numpy(), times)[order], doc[order]
+                counts = np.bincount(doc, minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *map(pa.array, figures_of(value, doc, counts)), pa.array(counts.astype(np.int64))], [*keep, *FIGURES, "words"])
+
+    rows = docs.mapInArrow(split, f"{kinds}word long, places array<int>").withColumn("model", column).join(values, "word", "left")
+    value = F.when(F.col("model") == "0", F.col("d1")).when(F.col("model") == "1", F.col("d0")).otherwise(F.col("d"))  # each fold by the other's counts
+    found = rows.groupBy(*keep, "row").agg(F.collect_list(F.struct(value.alias("value"), "places")).alias("found"))
+    return found.mapInArrow(run, with_figures(docs, keep))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -258,22 +322,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.concatenate([[b[0] - (b[1:] * middle / scale).sum()], b[1:] / scale])
 
 
-def scored(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, fitted: int = FITTED, limit: int = LIMIT) -> DataFrame:
     """doc_id, held_out, score, predicted, FIGURES and words of every text of docs."""
     docs = whole_docs(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
     # a shuffle at every size: the labels grow with the corpus
     training = docs.where(~held_out(F.col("doc_id"))).join(known.hint("merge"), "doc_id").withColumn("fold", fold)
-    (keys, values), (places, lefts) = map(fetched, model(cut(counts(training))))
-    tables = lambda c: (Table(keys, values[c]), Table(places, lefts[c]))
-    apart = {"0": tables("d1"), "1": tables("d0")}  # each fold by the other's counts
+    grams = cut(counts(training))
+    expressions, contexts = model(grams)
     some = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(fitted)
     judged = docs.join(F.broadcast(some), "doc_id").select("text", "toxic", fold.alias("fold"))  # `fitted` rows of two numbers
-    sample = figures(judged, apart, F.col("fold").cast("string")).select("toxic", *FIGURES).toArrow()
+    own, all_of = F.col("fold").cast("string"), F.lit("all")
+    if max(grams.count(), contexts.count()) <= limit:
+        (keys, values), (places, lefts) = fetched(expressions), fetched(contexts)
+        tables = lambda c: (Table(keys, values[c]), Table(places, lefts[c]))
+        sample, out = figures(judged, {"0": tables("d1"), "1": tables("d0")}, own), figures(docs, {"all": tables("d")}, all_of)
+    else:
+        valued = cut(word_values(docs, expressions, contexts))
+        sample, out = joined_figures(judged, valued, own), joined_figures(docs, valued, all_of)
+    sample = sample.select("toxic", *FIGURES).toArrow()
     y = sample.column("toxic").to_numpy()
     learnt = 0 < y.sum() < len(y)
-    out = figures(docs, {"all": tables("d")}, F.lit("all"))
     score = F.lit(0.0)
     if learnt:
         weights = logistic(np.column_stack([sample.column(c).to_numpy() for c in FIGURES]), y)

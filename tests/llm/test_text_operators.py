@@ -264,6 +264,15 @@ def test_toxicity_on_held_out(spark):
     assert ((held.predicted == 1) == truth).mean() > 0.95
     assert set(toxicity.scored(docs, labels.where("false")).select("score").distinct().toPandas().score) == {0.0}
     assert toxicity.scored(empty(spark), labels).count() == 0
+    # a model that is joined rather than sent: the same figures, very long texts, repeated rows and new words too
+    more = docs.select("doc_id", "text").unionByName(odd).unionByName(spark.createDataFrame([(700, "zwacken aaaaaaaaaa été " * 60_000), (700, "twice"), (3, rows[3][1])], SCHEMA))
+    order = ["doc_id", "words", "mean", "top"]
+    sent, joined = (toxicity.scored(more, labels, limit=n).toPandas().sort_values(order, ignore_index=True) for n in (toxicity.LIMIT, 0))
+    assert len(joined) == 609 and joined.words.max() == 180_000
+    for c in ("score", *toxicity.FIGURES):
+        assert np.allclose(sent[c], joined[c], atol=1e-5)
+    assert (sent[["words", "predicted", "held_out"]] == joined[["words", "predicted", "held_out"]]).all(axis=None)
+    assert toxicity.scored(empty(spark), labels, limit=-1).count() == 0
 
 
 def test_url_rules(spark):
