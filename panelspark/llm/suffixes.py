@@ -15,8 +15,8 @@ sampled suffix ranks by any length, and two strings are equal just if their samp
 tie in both ranks; so no string is compared itself. Large buckets are sorted in salted parts of bounded size, whose
 earliest strings are then compared over all parts by two 64-bit hashes.
 
-Slices of texts resolve what repeats within them before anything is shuffled, so that a common passage comes once a
-slice to its bucket. Contexts are equal if two 64-bit hashes over different byte values agree.
+Slices of texts resolve what repeats within them before anything is shuffled, and a table of bounded size what repeats
+from slice to slice of a task, so that a common passage comes about once a task to its bucket. Contexts are equal if two 64-bit hashes over different byte values agree.
 
 Results for odd input: null texts count as empty; texts shorter than LENGTH lose nothing; a null doc_id comes first in
 order; rows that repeat a doc_id are one document (their equal places are one place, and each loses what is found for
@@ -38,6 +38,8 @@ from panelspark.llm.minhash import byte_values, powers
 LENGTH, GRAM = 100, 32
 #: Contexts of a bucket's part that is sorted at once; only a bucket of more comes in several.
 PART = 2048
+#: Contexts that a task remembers from slice to slice (a power of two; 40 bytes each).
+SEEN = 1 << 18
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 
@@ -117,6 +119,26 @@ def earliest(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> np.n
     return out
 
 
+class Seen:
+    """The earliest place (doc_id, a) of contexts met before. One that came again stays; others give way to new ones."""
+
+    def __init__(self, size: int = SEEN):
+        self.bucket, self.context = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.doc, self.a, self.state = (np.zeros(size, np.int64) for _ in range(3))  # state: 0 empty, 1 met once, 2 met again
+
+    def later(self, bucket: np.ndarray, context: np.ndarray, doc: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Whether each row starts later than an equal context met before; the others are remembered."""
+        slot = (mix(bucket + mix(context)) & np.uint64(len(self.state) - 1)).astype(np.int64)
+        known = (self.state[slot] > 0) & (self.bucket[slot] == bucket) & (self.context[slot] == context)
+        late = known & ((doc > self.doc[slot]) | (doc == self.doc[slot]) & (a > self.a[slot]))
+        self.state[slot[known]] = 2
+        slots, one = np.unique(np.where(~late & (known | (self.state[slot] < 2)), slot, -1), return_index=True)
+        slots, one = slots[slots >= 0], one[slots >= 0]
+        self.state[slots] = np.where(known[one], 2, 1)
+        self.bucket[slots], self.context[slots], self.doc[slots], self.a[slots] = bucket[one], context[one], doc[one], a[one]
+        return late
+
+
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each document, those that overlap or touch as one."""
     if not len(doc):
@@ -151,6 +173,7 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             for part in slices(batch, "text"):
                 code, ends, rank = loaded(part)
@@ -161,10 +184,13 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 base = (ends - np.diff(ends, prepend=0))[row]
                 context = mix(Hashes(code).of(1, first, last + length) + ((place - first) * 256 + (place - last)).astype(np.uint64))
                 stays = earliest([context, value], rank[row], place - base)
+                a, ids = (place - base) << 14 | (place - first) << 7 | (place - last), part.column("doc_id")
+                asked = np.flatnonzero(stays & ids.is_valid().to_numpy(zero_copy_only=False)[row])  # null ids come first anyway
+                stays[asked[seen.later(value[asked], context[asked], ids.fill_null(0).to_numpy()[row[asked]], a[asked])]] = False
                 gone = ~stays
                 doc, start, end = merged(row[gone], (first - base)[gone], (last - base)[gone] + length)
-                a = ((place - base) << 14 | (place - first) << 7 | (place - last))[stays]
-                ids = part.column("doc_id").take(pa.array(np.concatenate([row[stays], doc])))
+                a = a[stays]
+                ids = ids.take(pa.array(np.concatenate([row[stays], doc])))
                 n = len(doc)
                 yield pa.RecordBatch.from_arrays(
                     [
