@@ -247,18 +247,18 @@ def test_suffix_dedup_over_small_batches(spark, docs):
 def test_suffix_contexts_seen_before():
     """Whatever a task's table forgets, the earliest of each context is never called later, and what is called later is."""
     rng = np.random.default_rng(6)
-    for size in (1, 8, 1 << 10):
-        seen, sent, late = suffixes.Seen(size), {}, 0
+    for size in (1, 8, 1 << 16):
+        seen, sent, late, later = suffixes.Seen(size), {}, 0, 0
         rows = [(int(rng.zipf(1.5)) % 50, int(rng.integers(0, 60)), int(rng.integers(0, 5))) for _ in range(3000)]
         for start in range(0, len(rows), 40):
             part = list({r[0]: r for r in rows[start : start + 40]}.values())
             context, doc, a = np.array(part, np.int64).T
             for r, gone in zip(part, seen.later(context.astype(np.uint64) % np.uint64(7), context.astype(np.uint64), doc, a), strict=True):
                 assert not gone or min(sent[r[0]]) < r[1:]
-                late += gone
+                late, later = late + gone, later + (r[0] in sent and min(sent[r[0]]) < r[1:])
                 if not gone:
                     sent.setdefault(r[0], []).append(r[1:])
-        assert late > (0 if size == 1 else 500)
+        assert late == later if size == 1 << 16 else late < later  # with room for all every later one is called so
 
 
 def test_toxicity_on_held_out(spark):
