@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +22,11 @@ TAIL_BOTTOM = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.75
 TAIL = 0.02425
 
 
-def polynomial(x: Column, coefficients: list[float]) -> Column:
-    out = F.lit(coefficients[0])
-    for c in coefficients[1:]:
-        out = out * x + F.lit(c)
+def polynomial(x, coefficients: list[float]):
+    """Of a Column or an array, highest power first."""
+    out = coefficients[0] * x + coefficients[1]
+    for c in coefficients[2:]:
+        out = out * x + c
     return out
 
 
@@ -35,6 +39,25 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
+def exp_of(x: np.ndarray) -> np.ndarray:
+    """By the C library, as databases have it; numpy's own may differ in the last place, Spark's does."""
+    return pc.exp(pa.array(x)).to_numpy(zero_copy_only=False)
+
+
+def ln_of(x: np.ndarray) -> np.ndarray:
+    return pc.ln(pa.array(x)).to_numpy(zero_copy_only=False)
+
+
+def normal_cdf_of(x: np.ndarray) -> np.ndarray:
+    """normal_cdf over arrays."""
+    z = np.abs(x)
+    e = exp_of(-z * z / 2)
+    near = e * polynomial(z, HART_TOP) / polynomial(z, HART_BOTTOM)
+    far = e / (z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 0.65))))) / 2.506628274631
+    tail = np.where(z > 37, 0.0, np.where(z < 7.07106781186547, near, far))
+    return np.where(x > 0, 1 - tail, tail)
+
+
 def normal_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 

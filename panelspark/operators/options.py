@@ -2,16 +2,21 @@
 
 s spot or future, k strike, r rate, t years, v volatility, cp 1 for calls and -1 for puts. Delta and gamma are in money
 per 1 %, theta per trading day of 240, vega per percentage point.
+
+What takes many steps a row (implied volatilities, trees) is computed over batches of rows as arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelspark.functions.maths import normal_cdf, normal_pdf
+from panelspark.functions.maths import exp_of, ln_of, normal_cdf, normal_cdf_of, normal_pdf
 
 C = Column
 
@@ -58,27 +63,66 @@ def black_greeks(s: C, k: C, r: C, t: C, v: C, cp: C) -> dict[str, C]:
     }
 
 
-def implied(price_of, price: C, low_bound: C, steps: int = 60) -> C:
-    """Volatility by bisection of an increasing price on (0, 8), rounded to 4 places; 0 where there is none."""
-    ends = F.struct(F.lit(0.0).alias("a"), F.lit(8.0).alias("b"))
+def _batched(returns: str, kernel: Callable[..., np.ndarray | dict[str, np.ndarray]], *columns: C) -> C:
+    """kernel over whole batches of rows as arrays of doubles (nulls as nan); nan comes back as null."""
+
+    def run(series) -> pd.Series | pd.DataFrame:
+        with np.errstate(all="ignore"):
+            found = kernel(*(x.to_numpy(float, na_value=np.nan) for x in series))
+        return pd.DataFrame(found) if isinstance(found, dict) else pd.Series(found)
+
+    def row(*series: pd.Series) -> pd.Series:
+        return run(series)
+
+    def rows(*series: pd.Series) -> pd.DataFrame:
+        return run(series)
+
+    return F.pandas_udf(rows if returns.startswith("struct") else row, returns)(*columns)
+
+
+def _bs_price(s, k, r, t, v, cp):
+    d1 = (ln_of(s / k) + (r + v * v / 2) * t) / (v * np.sqrt(t))
+    return cp * (s * normal_cdf_of(cp * d1) - k * exp_of(-r * t) * normal_cdf_of(cp * (d1 - v * np.sqrt(t))))
+
+
+def bs_price_in_batches(s: C, k: C, r: C, t: C, v: C, cp: C) -> C:
+    """bs_price to the last place as bs_implied computes it, where a price is next to its bound and that place decides."""
+    return _batched("double", lambda s, k, r, t, v, cp: np.where(v <= 0, np.maximum(0.0, cp * (s - k)), _bs_price(s, k, r, t, v, cp)), s, k, r, t, v, cp)
+
+
+def _black_price(s, k, r, t, v, cp):
+    d1 = (ln_of(s / k) + (0.0 + v * v / 2) * t) / (v * np.sqrt(t))
+    return cp * exp_of(-r * t) * (s * normal_cdf_of(cp * d1) - k * normal_cdf_of(cp * (d1 - v * np.sqrt(t))))
+
+
+def implied(price_of: Callable, low_bound: Callable, s: C, k: C, r: C, t: C, price: C, cp: C, digits: int = 4, steps: int = 60) -> C:
+    """Volatility by bisection of an increasing price on (0, 8), rounded once; 0 where there is none, null where a figure is missing.
+
+    price_of (s, k, r, t, v, cp) and low_bound (s, k, r, t, cp) take arrays: a batch of rows is halved at once.
+    """
+
+    def kernel(s, k, r, t, price, cp):
+        low, high = np.zeros(len(s)), np.full(len(s), 8.0)
+        for _ in range(steps):
+            middle = (low + high) / 2
+            over = price_of(s, k, r, t, middle, cp) > price
+            low, high = np.where(over, low, middle), np.where(over, middle, high)
+        found = np.where((price <= 0) | (price <= low_bound(s, k, r, t, cp)), 0.0, (low + high) / 2)
+        return np.where(np.isnan(s + k + r + t + price + cp), np.nan, found)
 
-    def halve(acc: C, _: C) -> C:
-        mid = (acc["a"] + acc["b"]) / 2
-        high = price_of(mid) > price
-        return F.struct(F.when(high, acc["a"]).otherwise(mid).alias("a"), F.when(high, mid).otherwise(acc["b"]).alias("b"))
+    return F.round(_batched("double", kernel, s, k, r, t, price, cp), digits)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, halve, lambda acc: F.round((acc["a"] + acc["b"]) / 2, 4))
-    return F.when((price <= 0) | (price <= low_bound), 0.0).otherwise(found)
 
+def bs_implied(s: C, k: C, r: C, t: C, price: C, cp: C, digits: int = 4) -> C:
+    def bound(s, k, r, t, cp):
+        off = exp_of(-r * t)
+        return np.where(cp > 0, s - k * off, k * off - s)
 
-def bs_implied(s: C, k: C, r: C, t: C, price: C, cp: C) -> C:
-    off = F.exp(-r * t)
-    bound = F.when(cp > 0, s - k * off).otherwise(k * off - s)
-    return implied(lambda v: bs_price(s, k, r, t, v, cp), price, bound)
+    return implied(_bs_price, bound, s, k, r, t, price, cp, digits)
 
 
-def black_implied(s: C, k: C, r: C, t: C, price: C, cp: C) -> C:
-    return implied(lambda v: black_price(s, k, r, t, v, cp), price, cp * (s - k) * F.exp(-r * t))
+def black_implied(s: C, k: C, r: C, t: C, price: C, cp: C, digits: int = 4) -> C:
+    return implied(_black_price, lambda s, k, r, t, cp: cp * (s - k) * exp_of(-r * t), s, k, r, t, price, cp, digits)
 
 
 def tree_levels(s: C, k: C, t: C, v: C, cp: C, n: int = 15) -> list[C]:

@@ -607,7 +607,7 @@ def q3_bs_greeks(spark, d):
 @query(None)
 def q4_bs_implied(spark, d):
     s, k, r, t, v, cp = (F.col(c) for c in ("s", "k", "r", "t", "v", "cp"))
-    q = quotes(spark, d).withColumn("price", options.bs_price(s, k, r, t, v, cp))
+    q = quotes(spark, d).withColumn("price", options.bs_price_in_batches(s, k, r, t, v, cp))
     return q.select("id", F.round("v", 4).alias("v"), options.bs_implied(s, k, r, t, F.col("price"), cp).alias("implied"))
 
 

@@ -128,6 +128,21 @@ def test_option_parity_and_implied(spark):
     assert tree == pytest.approx(flat, rel=0.03)
 
 
+def test_implied_volatility_of_batches(spark):
+    """Many rows at once, with missing figures and prices without a volatility; no function is called step by step a row."""
+    rows = [(i, 80.0 + i % 41, 100.0, 0.03, 0.25 + i % 5 / 4, 0.1 + i % 7 / 20, 1 if i % 2 else -1) for i in range(3000)]
+    q = spark.createDataFrame(rows, "id int, s double, k double, r double, t double, v double, cp int")
+    s, k, r, t, v, cp = (F.col(c) for c in ("s", "k", "r", "t", "v", "cp"))
+    price = F.when(F.col("id") % 100 == 7, -1.0).when(F.col("id") % 100 != 8, options.bs_price_in_batches(s, k, r, t, v, cp))
+    df = q.withColumn("plain", options.bs_price(s, k, r, t, v, cp)).withColumn("price", price).withColumn("found", options.bs_implied(s, k, r, t, F.col("price"), cp)).withColumn("black", options.black_implied(s, k, r, t, options.black_price(s, k, r, t, v, cp), cp))
+    assert "aggregate(" not in df._jdf.queryExecution().executedPlan().toString()
+    for x in df.collect():
+        kind = x["id"] % 100
+        assert x["found"] is None if kind == 8 else x["found"] == 0 if kind == 7 else x["price"] == pytest.approx(x["plain"], abs=1e-12)
+        if kind not in (7, 8) and 90 < x["s"] < 110:
+            assert x["found"] == pytest.approx(x["v"], abs=1e-4) and x["black"] == pytest.approx(x["v"], abs=1e-4)
+
+
 def test_blocked_backtest_equals_the_free_one_without_blocks(spark):
     days = [D(2020, 1, d) for d in range(1, 9)]
     rng = np.random.default_rng(5)
