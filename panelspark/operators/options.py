@@ -125,43 +125,48 @@ def black_implied(s: C, k: C, r: C, t: C, price: C, cp: C, digits: int = 4) -> C
     return implied(_black_price, lambda s, k, r, t, cp: cp * (s - k) * exp_of(-r * t), s, k, r, t, price, cp, digits)
 
 
-def tree_levels(s: C, k: C, t: C, v: C, cp: C, n: int = 15) -> list[C]:
-    """Values of the last three levels of an American tree on a future (growth 1, no discount): [level 0, 1, 2] as arrays."""
-    step = v * F.sqrt(t / n)
-    up = F.exp(step)
+def _levels(s, k, t, v, cp, n: int) -> list[np.ndarray]:
+    """Values of the first three levels of an American tree on a future (growth 1, no discount), a row for each place."""
+    step = v * np.sqrt(t / n)
+    up = exp_of(step)
     p = (1 - 1 / up) / (up - 1 / up)
-    worth = lambda i, j: F.greatest(F.lit(0.0), cp * (s * F.exp(step * (2 * j - i)) - k))  # noqa: E731  after i steps, j of them up
-    leaves = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda j: worth(F.lit(n), j))
+    rise = {m: s * exp_of(step * m) for m in range(-n, n + 1)}  # after i steps, j of them up, m is 2 j - i
+    worth = lambda i: np.stack([np.maximum(0.0, cp * (rise[2 * j - i] - k)) for j in range(i + 1)])
+    values, levels = worth(n), {}
+    for i in range(n - 1, -1, -1):
+        values = np.maximum(p * values[1:] + (1 - p) * values[:-1], worth(i))
+        levels[i] = values
+    return [levels[i] for i in (0, 1, 2)]
 
-    def before(values: C, i: C) -> C:
-        wait = lambda j: p * F.get(values, j + 1) + (1 - p) * F.get(values, j)
-        return F.transform(F.sequence(F.lit(0), i), lambda j: F.greatest(wait(j), worth(i, j)))
 
-    down_to = lambda last: F.aggregate(F.sequence(F.lit(n - 1), F.lit(last), F.lit(-1)), leaves, before)
-    return [down_to(i) for i in (0, 1, 2)]
+def _tree_price(s, k, t, v, cp, n: int):
+    return np.where(v <= 0, np.maximum(0.0, cp * (s - k)), _levels(s, k, t, v, cp, n)[0][0])
 
 
-def tree_price(s: C, k: C, t: C, v: C, cp: C, n: int = 15) -> C:
-    return F.when(v <= 0, F.greatest(F.lit(0.0), cp * (s - k))).otherwise(F.get(tree_levels(s, k, t, v, cp, n)[0], F.lit(0)))
-
-
-def tree_greeks(s: C, k: C, t: C, v: C, cp: C, n: int = 15) -> dict[str, C]:
-    """Delta and gamma per unit; theta by two steps, vega by a bump of 0.1 %."""
-    zero, one, two = tree_levels(s, k, t, v, cp, n)
-    at = lambda level, j: F.get(level, F.lit(j))
-    up = F.exp(v * F.sqrt(t / n))
-    down = 1 / up
-    price = at(zero, 0)
-    high, low = (at(two, 2) - at(two, 1)) / (s * up * up - s), (at(two, 1) - at(two, 0)) / (s - s * down * down)
-    bumped = tree_price(s, k, t, v * 1.001, cp, n)
+def _tree_greeks(s, k, t, v, cp, n: int) -> dict[str, np.ndarray]:
+    zero, one, two = _levels(s, k, t, v, cp, n)
+    up = exp_of(v * np.sqrt(t / n))
+    down, price = 1 / up, zero[0]
+    high, low = (two[2] - two[1]) / (s * up * up - s), (two[1] - two[0]) / (s - s * down * down)
     return {
         "price": price,
-        "delta": (at(one, 1) - at(one, 0)) / (s * up - s * down),
+        "delta": (one[1] - one[0]) / (s * up - s * down),
         "gamma": (high - low) / ((s * up * up - s * down * down) / 2),
-        "theta": (at(two, 1) - price) / (2 * t / n) / 240,
-        "vega": (bumped - price) / (v * 0.001) / 100,
+        "theta": (two[1] - price) / (2 * t / n) / 240,
+        "vega": (_tree_price(s, k, t, v * 1.001, cp, n) - price) / (v * 0.001) / 100,
     }
 
 
+def tree_price(s: C, k: C, t: C, v: C, cp: C, n: int = 15) -> C:
+    return _batched("double", lambda *a: _tree_price(*a, n), s, k, t, v, cp)
+
+
+def tree_greeks(s: C, k: C, t: C, v: C, cp: C, n: int = 15) -> dict[str, C]:
+    """Delta and gamma per unit; theta by two steps, vega by a bump of 0.1 %. All come from one walk over the tree."""
+    names = ("price", "delta", "gamma", "theta", "vega")
+    found = _batched(f"struct<{', '.join(f'{x}: double' for x in names)}>", lambda *a: _tree_greeks(*a, n), s, k, t, v, cp)
+    return {x: found[x] for x in names}
+
+
 def in_money(s: C, k: C, cp: C) -> C:
     return reduce(lambda a, b: a | b, [(cp > 0) & (s > k), (cp < 0) & (s < k)])

@@ -143,6 +143,33 @@ def test_implied_volatility_of_batches(spark):
             assert x["found"] == pytest.approx(x["v"], abs=1e-4) and x["black"] == pytest.approx(x["v"], abs=1e-4)
 
 
+def test_tree_of_batches_equals_a_walk(spark):
+    """All greeks come from one walk over the tree a batch, equal to a tree walked place by place."""
+    rows = [(i, 90.0 + i % 21, 100.0, 0.25 + i % 5 / 4, 0.1 + i % 7 / 20, 1 if i % 2 else -1) for i in range(60)] + [(99, 95.0, 100.0, 0.5, None, 1)]
+    q = spark.createDataFrame(rows, "id int, s double, k double, t double, v double, cp int")
+
+    def walk(s, k, t, v, cp, n=15):
+        step = v * math.sqrt(t / n)
+        up = math.exp(step)
+        p = (1 - 1 / up) / (up - 1 / up)
+        worth = lambda i, j: max(0.0, cp * (s * math.exp(step * (2 * j - i)) - k))
+        values, levels = [worth(n, j) for j in range(n + 1)], {}
+        for i in range(n - 1, -1, -1):
+            values = levels[i] = [max(p * values[j + 1] + (1 - p) * values[j], worth(i, j)) for j in range(i + 1)]
+        return levels
+
+    df = q.select("*", *(c.alias(n) for n, c in options.tree_greeks(*(F.col(c) for c in ("s", "k", "t", "v", "cp"))).items()))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for x in df.collect():
+        if x["v"] is None:
+            assert x["price"] is x["gamma"] is None
+            continue
+        a, b = walk(x["s"], x["k"], x["t"], x["v"], x["cp"]), walk(x["s"], x["k"], x["t"], x["v"] * 1.001, x["cp"])
+        up = math.exp(x["v"] * math.sqrt(x["t"] / 15))
+        assert x["price"] == pytest.approx(a[0][0], abs=1e-12) and x["delta"] == pytest.approx((a[1][1] - a[1][0]) / (x["s"] * up - x["s"] / up), abs=1e-10)
+        assert x["vega"] == pytest.approx((b[0][0] - a[0][0]) / (x["v"] * 0.001) / 100, abs=1e-9) and x["theta"] == pytest.approx((a[2][1] - a[0][0]) / (2 * x["t"] / 15) / 240, abs=1e-12)
+
+
 def test_blocked_backtest_equals_the_free_one_without_blocks(spark):
     days = [D(2020, 1, d) for d in range(1, 9)]
     rng = np.random.default_rng(5)
