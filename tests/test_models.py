@@ -139,3 +139,21 @@ def test_expanding_trend_in_one_pass():
     began = time.perf_counter()
     filters.hp_last(rng.normal(size=20_000), 1600.0)
     assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("kind, lags", [("n", None), ("c", None), ("ct", None), ("ct", 2)])
+def test_unit_roots_together_equal_those_alone(kind, lags):
+    rng = np.random.default_rng(12)
+    for size in (2, 7, 9, 30, 84):
+        x = np.concatenate([np.cumsum(rng.normal(size=(20, size)), axis=1), rng.normal(size=(20, size)), np.ones((1, size))])
+        for got, row in zip(unitroot.tested_together(x, kind, lags), x, strict=True):
+            want = unitroot.tested(row, kind, lags)
+            assert got is want is None or got == pytest.approx(want, rel=1e-7, abs=1e-9)
+
+
+def test_unit_root_takes_many_series_a_call(spark):
+    df = spark.createDataFrame([(i, t, None if t == i else float((t * 7 + i) % 5)) for i in range(30) for t in range(20)] + [(99, 1, None), (None, 1, 2.0)], "series int, date int, value double")
+    tested = unitroot.unit_root(df)
+    assert "MapInPandas" in tested._jdf.queryExecution().executedPlan().toString()
+    got = {r["series"]: r for r in tested.collect()}
+    assert len(got) == 32 and got[99]["t"] is got[None]["t"] is None and got[3]["n"] is not None
