@@ -4,7 +4,8 @@ The order of keys (ids first, unless told otherwise) is cut into ranges of about
 beside the files, has each file's first key, the ends of each key column, and its rows; a read opens only those files whose
 ends meet what is asked for. A key belongs to the last file that begins at or before it (else to the first), so that the
 rows of a write are told to files without a look into them; a write reads and replaces the files that its keys belong to,
-cuts those that have grown, and leaves the others where they are.
+and leaves the others where they are. Files that are replaced and lie side by side are cut anew together, so that they are
+full again. A task writes many files, one after the other, however small they are.
 
 Every write makes a new numbered description of the table and fails if another writer has made it meanwhile. Readers and
 failed writers never see half a version; what no description names any more stays for readers until clean().
@@ -15,7 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,7 +85,18 @@ class RangeStore(PanelStore):
 
     def _open(self, name: str, meta: dict, files: list[str] | None = None) -> DataFrame:
         schema, found = T.StructType.fromJson(meta["schema"]), self.files(name, meta=meta) if files is None else files
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{f}" for f in found)) if found else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{f}" for f in self._whole(name, found))) if found else self.spark.createDataFrame([], schema)
+
+    def _whole(self, name: str, files: list[str]) -> list[str]:
+        """files, with folders in place of those files that are all a folder holds: one listing for thousands of files."""
+        by_folder: dict[str, list[str]] = {}
+        for f in files:
+            by_folder.setdefault(f.rsplit("/", 1)[0], []).append(f)
+        out = []
+        for folder, inside in by_folder.items():
+            all_of = len(inside) > 1 and len([n for n in self._folder(f"{name}/{folder}").names() if n.endswith(".parquet")]) == len(inside)
+            out += [folder] if all_of else inside
+        return out
 
     def save(self, name: str, df: DataFrame, mode: str = "update", keys: list[str] = KEYS, attributes: dict | None = None, order: list[str] | None = None, rows: int = ROWS) -> None:
         """Write df in one of the modes; order (at first, or with replace): the keys' order, ids before dates unless told otherwise."""
@@ -131,22 +143,35 @@ class RangeStore(PanelStore):
         belongs = align.as_of_in_ranges(df.select(*keys, key.alias("_low"), one).distinct(), zones.select("low", "file", one), "_all", "_low", ["file"], right_order="low")
         first = zones.agg(F.min_by("file", "low").alias("_first"))  # one row
         owned = align.settled(belongs.crossJoin(F.broadcast(first)).select(*keys, F.coalesce("file", "_first").alias("_file")))
-        touched = [r[0] for r in owned.select("_file").distinct().where("_file is not null").collect()]  # names of files to be replaced
+        hit = owned.select("_file").distinct().where("_file is not null")
+        runs = align.settled(self._runs(zones, hit))
+        touched = [r[0] for r in runs.select("_file").collect()]  # names of files to be replaced
         old = self._open(name, meta, touched).withColumn("_file", F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+/[^/]+)$", 1)) if touched else self._open(name, meta, []).withColumn("_file", F.lit(""))
-        new = last_of(df, keys).join(owned, keys).withColumn("_file", F.coalesce("_file", F.lit("")))
+        new = last_of(df, keys).join(owned, keys)
+        old, new = (x.join(F.broadcast(runs), "_file", "left").drop("_file").withColumn("_file", F.coalesce("_run", F.lit(""))).drop("_run") for x in (old, new))  # a row a file
         return self.merged(old, new, "update" if mode == "append" else mode, [*keys, "_file"]), touched
 
+    @staticmethod
+    def _runs(zones: DataFrame, hit: DataFrame) -> DataFrame:
+        """The files that are hit (_file) with the first one of those hit side by side (_run): rows of the zone map, one a file."""
+        order = Window.orderBy("low")
+        marked = zones.join(hit, F.col("file") == F.col("_file"), "left").withColumn("_before", F.lag("_file").over(order))
+        start = F.when(F.col("_file").isNotNull() & F.col("_before").isNull(), F.col("_file"))
+        run = F.last(start, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return marked.withColumn("_run", run).where("_file is not null").select("_file", "_run")
+
     def _written(self, name: str, df: DataFrame, order: list[str], rows: int) -> DataFrame:
-        """Zones of df, written in order as files of about `rows` rows, none with keys of two files."""
+        """Zones of df, written in order as files of at most `rows` rows, none with keys of two runs of files."""
         df = align.settled(df)
-        slots = df.groupBy("_file").agg(F.min(F.struct(*order)).alias("_low"), F.count("*").alias("_n"))
-        total = slots.agg(F.sum("_n")).first()[0] or 0
+        total = df.count()
         version = f"v-{uuid.uuid4().hex}"
         if not total:
             return self._zones_of(name, version, order, df.drop("_file"))
-        # a file's rows lie together as files' keys don't overlap; _slot is a name without odd characters
-        dealt = df.withColumn("_slot", F.hex(F.xxhash64("_file"))).repartitionByRange(max(1, -(-total // rows)), *order).sortWithinPartitions("_slot", *order).drop("_file")
-        dealt.write.partitionBy("_slot").parquet(f"{self.root}/{name}/{version}")
+        # tasks hold many files' rows; with few rows a task a core, but not less than a file. _slot is a name without odd
+        # characters; a run's rows lie together as runs' keys don't overlap
+        tasks = max(-(-total // ROWS), min(-(-total // rows), self.spark.sparkContext.defaultParallelism))
+        dealt = df.withColumn("_slot", F.hex(F.xxhash64("_file"))).repartitionByRange(tasks, *order).sortWithinPartitions("_slot", *order).drop("_file")
+        dealt.write.option("maxRecordsPerFile", rows).partitionBy("_slot").parquet(f"{self.root}/{name}/{version}")
         return self._zones_of(name, version, order, df.drop("_file"))
 
     def _zones_of(self, name: str, version: str, order: list[str], df: DataFrame) -> DataFrame:

@@ -343,3 +343,12 @@ def test_desk_pages_hold_no_more_than_they_return(tmp_path):
         page = desk.fetch("orders", dt.date(2020, 10, 1), {"o_orderpriority": ["0", "2"]}, {"o_custkey": (5, 30), "quarter": (dt.date(2020, 10, 1), None)}, len(got), 100)
         got += page["o_orderkey"].to_pylist()
     assert got == [r[0] for r in want] and len(got) > 300
+
+
+def test_range_store_files_are_full_again_after_an_overlay_of_all(spark, tmp_path):
+    store = RangeStore(spark, str(tmp_path / "r"))
+    frame = spark.range(2000).select(F.lit(day(1)).alias("date"), (F.col("id") * 2).alias("id"), F.lit(1.0).alias("x"))
+    store.save("p", frame, "replace", rows=100)
+    store.save("p", frame.where("id % 40 = 0").withColumn("id", F.col("id") + 1), "overlay", rows=100)
+    assert store.load("p").count() == 2100
+    assert len(store.files("p")) <= 21 + spark.sparkContext.defaultParallelism
