@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ["date", "id"]
+#: Rows of a task, about, where the number of tasks follows the rows.
+ROWS_A_PART = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +30,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def parts_of(df: DataFrame) -> int:
+    """Into how many partitions df's rows go, about ROWS_A_PART each, so that a task holds no more of a larger table; the
+    session's own number at least. df is counted, so it should be a table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_A_PART))
+
+
 def key_union(frames: list[DataFrame], keys: list[str] = KEYS) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.select(*keys) for f in frames]).distinct()
 

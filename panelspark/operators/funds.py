@@ -32,13 +32,17 @@ def holders(holdings: DataFrame, funds: DataFrame, ticker: str, least: float = 0
     return held.join(funds, held["id"] == funds["code"]).drop(funds["code"]).orderBy(F.col("ratio").desc(), "id")
 
 
-def industry_allocation(holdings: DataFrame, industries: DataFrame, names: list[str]) -> DataFrame:
+def industry_allocation(holdings: DataFrame, industries: DataFrame, names: list[str], parts: int | None = None) -> DataFrame:
     """Weight of each industry in each fund's report, a column each; 0 where a report holds none of it.
 
-    holdings: id, report_date, ticker, ratio; industries: ticker, industry.
+    holdings: id, report_date, ticker, ratio; industries: ticker, industry. parts: reports are dealt over so many tasks before
+    they are summed (None: as the session deals). The join keeps the parts of holdings that are dealt by ticker.
     """
-    joined = holdings.join(industries, "ticker")
-    return joined.groupBy("id", "report_date").pivot("industry", names).agg(F.sum("ratio")).fillna(0.0, names)
+    joined = holdings.join(industries, "ticker").select("id", "report_date", "industry", "ratio")
+    if parts:
+        joined = joined.repartition(parts, "id", "report_date")
+    sums = [F.sum(F.when(F.col("industry") == n, F.col("ratio"))).alias(n) for n in names]
+    return joined.groupBy("id", "report_date").agg(*sums).fillna(0.0, names)
 
 
 def at_quarter_ends(reports: DataFrame, date: str = "report_date") -> DataFrame:

@@ -263,8 +263,12 @@ def j7_contract_of_code(spark, d):
 HOLDINGS = "h AS (SELECT l_suppkey AS id, last_day(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 2 MONTH) AS report_date, CAST(l_partkey AS VARCHAR) AS ticker, sum(l_quantity) AS ratio FROM lineitem GROUP BY 1, 2, 3)"
 
 
-def holdings(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id"), dates.period_end(F.col("l_shipdate").cast("date")).alias("report_date"), F.col("l_partkey").cast("string").alias("ticker")).agg(F.sum("l_quantity").alias("ratio"))
+def holdings(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
+    """What suppliers sold in each quarter; parts: dealt by ticker over so many tasks before it is summed."""
+    rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), dates.period_end(F.col("l_shipdate").cast("date")).alias("report_date"), F.col("l_partkey").cast("string").alias("ticker"), "l_quantity")
+    if parts:
+        rows = rows.repartition(parts, "ticker")
+    return rows.groupBy("id", "report_date", "ticker").agg(F.sum("l_quantity").alias("ratio"))
 
 
 @query(f"WITH {HOLDINGS} SELECT h.*, s_name AS name FROM h JOIN supplier ON s_suppkey = id WHERE ticker = '7' AND ratio >= 10")
@@ -276,7 +280,8 @@ def j8_funds_by_stock(spark, d):
 @query(f"WITH {HOLDINGS} SELECT id, report_date, " + ", ".join(f"coalesce(sum(CASE WHEN p_type = '{t}' THEN ratio END), 0) AS \"{t}\"" for t in TYPES) + " FROM h JOIN part ON CAST(p_partkey AS VARCHAR) = ticker GROUP BY 1, 2")
 def j10_industry_allocation(spark, d):
     industry = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("ticker"), F.col("p_type").alias("industry"))
-    return funds.industry_allocation(holdings(spark, d), industry, TYPES)
+    parts = align.parts_of(read(spark, d, "lineitem"))
+    return funds.industry_allocation(holdings(spark, d, parts), industry, TYPES, parts)
 
 
 @query(f"WITH {PANEL} SELECT last_day(date) AS report_date, id, f2 FROM panel WHERE month(date) IN (3, 6, 9, 12)")

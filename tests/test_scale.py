@@ -13,7 +13,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from panelspark import queries, queries_scale
-from panelspark.operators import align, calendar, orderstats, portfolio, rolling
+from panelspark.operators import align, calendar, funds, orderstats, portfolio, rolling
 from panelspark.sources import databases, vendors
 from panelspark.sources.ranges import RangeStore
 from panelspark.sources.store import PanelStore
@@ -352,3 +352,19 @@ def test_range_store_files_are_full_again_after_an_overlay_of_all(spark, tmp_pat
     store.save("p", frame.where("id % 40 = 0").withColumn("id", F.col("id") + 1), "overlay", rows=100)
     assert store.load("p").count() == 2100
     assert len(store.files("p")) <= 21 + spark.sparkContext.defaultParallelism
+
+
+def test_allocation_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    """Over a fixed number of tasks one of them holds more of a larger table."""
+    monkeypatch.setattr(align, "ROWS_A_PART", 500, raising=False)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert queries.QUERIES["j10_industry_allocation"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 500)
+
+
+def test_allocation_of_odd_rows(spark):
+    """A report without any of the industries has zeros, one without a known ticker is left out; rows may come twice."""
+    held = spark.createDataFrame([(1, "q", "a", 0.5), (1, "q", "a", 0.25), (1, "q", "b", 0.125), (1, "q", "c", 9.0), (2, "q", "c", 1.0), (2, "r", "d", 1.0), (3, "q", "zz", 1.0), (4, "q", "b", None)], "id int, report_date string, ticker string, ratio double")
+    kinds = spark.createDataFrame([("a", "X"), ("b", "Y"), ("c", None), ("d", "W")], "ticker string, industry string")
+    want = [(1, "q", 0.75, 0.125, 0.0), (2, "q", 0.0, 0.0, 0.0), (2, "r", 0.0, 0.0, 0.0), (4, "q", 0.0, 0.0, 0.0)]
+    for parts in (None, 7):
+        assert sorted(map(tuple, funds.industry_allocation(held, kinds, ["X", "Y", "Z"], parts).collect())) == want
