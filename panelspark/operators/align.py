@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,10 +31,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def parts_of(df: DataFrame) -> int:
-    """Into how many partitions df's rows go, about ROWS_A_PART each, so that a task holds no more of a larger table; the
-    session's own number at least. df is counted, so it should be a table."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_A_PART))
+def as_table(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as a table, of which what follows reads the columns it needs."""
+    place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def parts_of(df: DataFrame, times: int = 1) -> int:
+    """Into how many partitions df's rows, each taken so many times, go, about ROWS_A_PART each, so that a task holds no more
+    of a larger table; the session's own number at least. df is counted, so it should be a table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * times // ROWS_A_PART))
 
 
 def key_union(frames: list[DataFrame], keys: list[str] = KEYS) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.maths import normal_quantile
+from panelspark.operators.align import as_table, parts_of
+
+#: Steps from one power of two to the next in which ranks are counted apart.
+STEPS = 1024
 
 
 def _over(by: str | list[str]):
@@ -216,26 +220,47 @@ def symmetric_orthogonal(df: DataFrame, factors: list[str], by: str = "date") ->
     return joined.withColumns(new).drop(*(f"_s{i}_{j}" for i in range(k) for j in range(k)))
 
 
-def average_rank(x: str, by: list[str]) -> Column:
-    """Rank among the group's rows, ties sharing the mean rank; one sort serves ranks and ties."""
-    order = Window.partitionBy(*by).orderBy(x)
-    return F.rank().over(order) + (F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+def step_of(x: str) -> Column:
+    """A whole number that never falls as x rises, by the sign and the power of two of x in steps; nan comes last, as in sorting."""
+    v = F.col(x).cast("double")
+    size = F.floor(F.greatest(F.least(F.log2(F.abs(v)), F.lit(1024.0)), F.lit(-1080.0)) * STEPS) + 1100 * STEPS
+    return F.when(F.isnan(v), 4096 * STEPS).when(v == 0, 0).otherwise(F.when(v < 0, -size).otherwise(size))
+
+
+def average_ranks(rows: DataFrame, source: DataFrame, x: str, keys: list[str], parts: int) -> DataFrame:
+    """rows with x as its rank among the rows of the keys, ties sharing the mean rank.
+
+    Rows are ranked within a step of x, so that a key's rows are spread over tasks, and moved on by the number of rows in the
+    steps before. source: the same rows, from which steps are counted. Equal values, and those that lie closer than a
+    step, are in one task.
+    """
+    step = F.struct(*keys, step_of(x).alias("_step")).alias("_at")
+    sizes = source.groupBy(step).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(F.col("_at")[k] for k in keys)).orderBy(F.col("_at")["_step"]).rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.select("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_moved"))
+    order = Window.partitionBy("_at").orderBy(x)
+    rank = F.rank().over(order) + (F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+    ranked = rows.withColumn("_at", step).repartition(parts, "_at").withColumn("_rank", rank)
+    return ranked.join(moved, "_at").withColumn(x, F.col("_rank") + F.col("_moved")).drop("_at", "_rank", "_moved")
 
 
 def correlations(df: DataFrame, factors: list[str], by: str = "date", method: str = "spearman") -> DataFrame:
     """by, left, right, corr of every two factors, over the rows that have both."""
+    df = as_table(df.select(by, *factors))  # else the panel would be made anew for every use below
     # a factor's correlation with itself is 1 (nan if it is constant), ranked or not
     alone = df.unpivot([by], factors, "left", "x").where("x is not null").groupBy(by, "left").agg(F.corr("x", "x").alias("corr"))
     alone = alone.select(by, "left", F.col("left").alias("right"), "corr")
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
     if not pairs:
         return alone
-    sides = F.explode(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs))).alias("p")
-    rows = df.select(by, sides).select(by, "p.*").where("x is not null and y is not null")
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("_pair"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)))).alias("p")
+    rows = source = df.select(by, sides).select(by, "p.*").where("x is not null and y is not null")
     if method == "spearman":
-        key = [by, "left", "right"]
-        rows = rows.withColumn("_x", average_rank("x", key)).withColumn("y", average_rank("y", key)).withColumn("x", F.col("_x"))
-    return rows.groupBy(by, "left", "right").agg(F.corr("x", "y").alias("corr")).unionByName(alone)
+        for side in "x", "y":
+            rows = average_ranks(rows, source, side, [by, "_pair"], parts_of(df, len(pairs)))
+    found = rows.groupBy(by, "_pair").agg(F.corr("x", "y").alias("corr"))
+    names = (F.get(F.array(*(F.lit(p[k]) for p in pairs)), F.col("_pair")).alias(n) for k, n in enumerate(("left", "right")))
+    return found.select(by, *names, "corr").unionByName(alone)
 
 
 def industry_return(df: DataFrame, ret: str, mv: str, industry: str, by: str = "date") -> DataFrame:

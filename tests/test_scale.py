@@ -13,7 +13,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from panelspark import queries, queries_scale
-from panelspark.operators import align, calendar, funds, orderstats, portfolio, rolling
+from panelspark.operators import align, calendar, cross, funds, orderstats, portfolio, rolling
 from panelspark.sources import databases, vendors
 from panelspark.sources.ranges import RangeStore
 from panelspark.sources.store import PanelStore
@@ -368,3 +368,27 @@ def test_allocation_of_odd_rows(spark):
     want = [(1, "q", 0.75, 0.125, 0.0), (2, "q", 0.0, 0.0, 0.0), (2, "r", 0.0, 0.0, 0.0), (4, "q", 0.0, 0.0, 0.0)]
     for parts in (None, 7):
         assert sorted(map(tuple, funds.industry_allocation(held, kinds, ["X", "Y", "Z"], parts).collect())) == want
+
+
+def test_rank_correlation_spreads_a_date(spark, monkeypatch):
+    """One date's rows are ranked in many tasks; ties, signs, tiny, huge and missing values."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = np.where(rng.random(n) < 0.3, rng.integers(-3, 4, n).astype(float), rng.normal(size=n) * 10.0 ** rng.integers(-12, 13, n))
+    x[:6] = [np.inf, -np.inf, 0.0, -0.0, 5e-324, -1.7e308]
+    y = np.round(np.sign(x) * 3 + rng.normal(size=n), 1)
+    date = [day(0) if i % 10 else None for i in range(n)]
+    holes = rng.random(n) < 0.1
+    rows = [(d, None if h else float(a), float(b)) for d, a, b, h in zip(date, x, y, holes, strict=True)]
+    frame = spark.createDataFrame(rows, "date date, a double, b double")
+    monkeypatch.setattr(align, "ROWS_A_PART", 300, raising=False)
+    found = {r["date"]: r["corr"] for r in cross.correlations(frame, ["a", "b"]).collect() if r["left"] != r["right"]}
+    for d in (day(0), None):
+        own = pd.DataFrame([r[1:] for r in rows if r[0] == d], columns=["a", "b"]).dropna()
+        assert found[d] == pytest.approx(own["a"].rank().corr(own["b"].rank()), rel=1e-12)
+    sides = frame.where("a is not null").select("date", F.lit(0).alias("_pair"), F.col("a").alias("x"))
+    steps = sides.select("x", cross.step_of("x").alias("s")).orderBy("x").collect()
+    assert all(p["s"] <= q["s"] for p, q in zip(steps, steps[1:]))
+    ranked = cross.average_ranks(sides, sides, "x", ["date", "_pair"], 10)
+    most = max(r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect())
+    assert ranked.count() == sides.count() and most < sides.count() / 2
