@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.bpe import codec, lists
-from panelspark.llm.common import cut, slices, texts, whole_docs
+from panelspark.llm.common import BATCH_BYTES, cut, slices, whole_docs
 
 CAPACITY = 2048
 END_ID = 1
@@ -96,10 +96,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         c = codec(vocabulary)
         kind = width(vocabulary, end_id)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 18):
+            for part in slices(batch, "text", BATCH_BYTES):
                 row, start, length, tokens, full, raw, crc = [], [], [], [], [], [], []
-                for i, text in enumerate(texts(part, "text")):
-                    ids = np.append(c.encode(text), np.int32(end_id))
+                found, ends = c.encode(part.column("text"))
+                found, ends = np.insert(found, ends[1:], end_id), ends + np.arange(len(ends))
+                for i, (first, last) in enumerate(zip(ends, ends[1:])):
+                    ids = found[first:last]
                     whole = len(ids) // capacity * capacity
                     bounds = [*range(0, whole, capacity), *range(whole, len(ids), step), len(ids)]
                     n = len(bounds) - 1

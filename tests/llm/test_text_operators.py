@@ -4,10 +4,12 @@ import collections
 import hashlib
 import itertools
 import re
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -67,6 +69,43 @@ def test_codec_digests_of_odd_rows(spark, docs):
     assert bpe.digests(empty(spark), PATH).count() == 0
 
 
+def encoded(codec, texts):
+    ids, ends = codec.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
+def test_codec_merges_new_words_side_by_side():
+    """Words that were never seen cost arrays, not calls of Python for each."""
+    rng, library = np.random.default_rng(5), Tokenizer.from_file(PATH)
+    words = ["".join(rng.choice(list("abdeginorst"), size=int(rng.integers(1, 30)))) for _ in range(5000)]
+    column, codec, calls = pa.array([" ".join(words)]), bpe.Codec(PATH), []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event == "call" else None)
+    try:
+        ids, ends = codec.encode(column)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 2500 and ends.tolist() == [0, len(ids)]
+    assert ids.tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_codec_equals_the_library_for_drawn_texts(kept, monkeypatch):
+    """Words about as long as those that are merged side by side, signs, other scripts; with a full memory, too."""
+    for name, n in {"CACHE": 20, "RUN": 7, "PACE": 5}.items() if not kept else ():
+        monkeypatch.setattr(bpe, name, n)
+    rng, library, codec = np.random.default_rng(6), Tokenizer.from_file(PATH), bpe.Codec(PATH)
+    letters, others = list("aaabbeinorstTHE"), list("'!?.,-<|>0123½éßΣİﬁ你好🎉\u0301\x1c\x85\u3000\u00a0\x00S")
+    words = ["".join(rng.choice(letters, size=int(rng.integers(1, 12)))) for _ in range(60)] + ["".join(rng.choice(letters[:4], size=n)) for n in (62, 63, 64, 65, 66, 130)] + ["é" * 32, "é" * 33, "<|endoftext|>", "it's", "WE'LL"]
+    words += ["".join(rng.choice(letters + others, size=int(rng.integers(1, 9)))) for _ in range(150)]
+    texts = ["", *("".join(str(w) + str(rng.choice(["", " ", "\n", "\t ", ".", ", "])) for w in rng.choice(words, size=int(rng.integers(0, 40)))) for _ in range(300))]
+    for first in range(0, len(texts), 50):
+        part = texts[first : first + 50]
+        assert encoded(codec, part) == [library.encode(t, add_special_tokens=False).ids for t in part]
+    assert encoded(codec, [None, "", "x"])[:2] == [[], []] and encoded(codec, []) == []
+    ids, ends = codec.encode(pa.array(texts[:9]).slice(3, 4))
+    assert np.split(ids, ends[1:-1])[2].tolist() == encoded(codec, [texts[5]])[0]
+
+
 @pytest.mark.parametrize("sums", [True, False])
 def test_packing_places_each_id_once(spark, docs, sums):
     long = spark.createDataFrame([(950, "alpha beta gamma " * 5000)], SCHEMA)
