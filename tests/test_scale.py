@@ -167,6 +167,24 @@ def test_database_in_parts_of_like_size(spark):
     assert empty.count() == 0
 
 
+def test_unique_keys_are_found_by_an_index(spark, tmp_path, monkeypatch):
+    url = f"jdbc:derby:memory:test{np.random.default_rng().integers(1 << 40)};create=true"
+    df = spark.range(80_000).select("id", F.lit(1).alias("x"))
+    databases.written(df.where("id % 2 = 0").union(spark.sql("SELECT NULL, 2 FROM range(2)")), url, "t")
+    databases.made_unique(spark, url, "t", ["id"])
+    began = time.time()
+    assert databases.insert_ignored(df, url, "t", ["id"]) == 40_000
+    assert time.time() - began < 60  # without an index not done after two minutes: the table is read once a row
+    # the query's table has its keys unique
+    monkeypatch.setattr(queries_scale, "a_database", lambda spark: url)
+    orders = spark.range(30).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") < 20, "F").otherwise("O").alias("o_orderstatus"), (F.col("id") % 7).alias("o_custkey"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = queries_scale.k10_insert_ignore(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(i, int(i >= 20), i % 7) for i in range(30)]
+    with pytest.raises(Exception, match="(?i)duplicate|unique|23505"):
+        databases.executed(spark, url, "INSERT INTO orders VALUES (5, 1, 1)")
+
+
 def quotes_client(log):
     """A class of its own, as tasks can't import this file."""
     from panelspark.sources.vendors import Table
