@@ -3,7 +3,7 @@
 The order of keys (ids first, unless told otherwise) is cut into ranges of about ROWS rows, one file each. The zone map, a table
 beside the files, has each file's first key, the ends of each key column, and its rows; a read opens only those files whose
 ends meet what is asked for. A key belongs to the last file that begins at or before it (else to the first), so that the
-rows of a write are told to files without a look into them; a write reads and replaces the files that its keys belong to,
+rows of a write are told to files without a look into them, by the files' first keys alone; a write reads and replaces the files that its keys belong to,
 and leaves the others where they are. Files that are replaced and lie side by side are cut anew together, so that they are
 full again. A task writes many files, one after the other, however small they are.
 
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.operators import align
-from panelspark.sources.store import ALLOWED, KEYS, PanelStore, last_of
+from panelspark.sources.store import ALLOWED, KEYS, PanelStore
 
 #: Rows of a file.
 ROWS = 1 << 20
+#: Small files of a task, at most.
+FILES = 64
 
 
 class RangeStore(PanelStore):
@@ -94,7 +96,7 @@ class RangeStore(PanelStore):
             by_folder.setdefault(f.rsplit("/", 1)[0], []).append(f)
         out = []
         for folder, inside in by_folder.items():
-            all_of = len(inside) > 1 and len([n for n in self._folder(f"{name}/{folder}").names() if n.endswith(".parquet")]) == len(inside)
+            all_of = len(inside) > 1 and self._folder(f"{name}/{folder}").count() == len(inside)
             out += [folder] if all_of else inside
         return out
 
@@ -114,14 +116,14 @@ class RangeStore(PanelStore):
             raise ValueError("the order is one of all keys")
         if kept and mode == "append":
             df = df.join(self._open(name, meta).select("date").distinct(), "date", "left_anti")
-        stay = self.zones(name, meta) if kept else None
-        new, gone = (self._with_touched(name, meta, df, mode) if kept else (last_of(df, keys).withColumn("_file", F.lit("")), []))
-        found = self._written(name, new, order, rows)
-        zones = found if stay is None else stay.join(self.spark.createDataFrame([(f,) for f in gone], "file string"), "file", "left_anti").unionByName(found)
+        keys = meta["keys"] if kept else keys
+        stay, old, new, held = self._with_touched(name, meta, df) if kept else (None, None, align.as_table(df).withColumn("_run", F.lit(0)), 0)
+        whole = self._put_in(old, new, mode, keys, order, self._tasks(held + new.count(), rows))
+        found, schema = self._written(name, whole, order, rows), whole.drop("_run").schema
+        zones = found if stay is None else stay.unionByName(found)
         folder = f"zones-{uuid.uuid4().hex}"
         zones.coalesce(1).write.parquet(f"{self.root}/{name}/{folder}")
-        schema = T.StructType([f for f in new.schema if f.name != "_file"])
-        meta |= {"zones": folder, "schema": schema.jsonValue(), "keys": meta["keys"] if kept else keys, "order": order, "attributes": meta["attributes"] | (attributes or {})}
+        meta |= {"zones": folder, "schema": schema.jsonValue(), "keys": keys, "order": order, "attributes": meta["attributes"] | (attributes or {})}
         self._publish(name, version + 1, meta)
 
     def _publish(self, name: str, version: int, meta: dict) -> None:
@@ -135,52 +137,69 @@ class RangeStore(PanelStore):
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
 
-    def _with_touched(self, name: str, meta: dict, df: DataFrame, mode: str) -> tuple[DataFrame, list[str]]:
-        """The rows of the files that df's keys belong to, with df put in, and these files; _file names a row's file."""
-        keys, key = meta["keys"], F.struct(*meta["order"])
-        zones = self.zones(name, meta).select("low", "file")
-        one = F.lit(1).alias("_all")
-        belongs = align.as_of_in_ranges(df.select(*keys, key.alias("_low"), one).distinct(), zones.select("low", "file", one), "_all", "_low", ["file"], right_order="low")
-        first = zones.agg(F.min_by("file", "low").alias("_first"))  # one row
-        owned = align.settled(belongs.crossJoin(F.broadcast(first)).select(*keys, F.coalesce("file", "_first").alias("_file")))
-        hit = owned.select("_file").distinct().where("_file is not null")
-        runs = align.settled(self._runs(zones, hit))
-        touched = [r[0] for r in runs.select("_file").collect()]  # names of files to be replaced
-        old = self._open(name, meta, touched).withColumn("_file", F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+/[^/]+)$", 1)) if touched else self._open(name, meta, []).withColumn("_file", F.lit(""))
-        new = last_of(df, keys).join(owned, keys)
-        old, new = (x.join(F.broadcast(runs), "_file", "left").drop("_file").withColumn("_file", F.coalesce("_run", F.lit(""))).drop("_run") for x in (old, new))  # a row a file
-        return self.merged(old, new, "update" if mode == "append" else mode, [*keys, "_file"]), touched
+    def _with_touched(self, name: str, meta: dict, df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+        """Zones that stay; the rows of the files that df's keys belong to, and df, both with _run; these files' number of rows."""
+        zones = self.zones(name, meta)
+        new = align.as_table(self._placed(df, zones, meta["order"]))  # it is read more than once
+        runs = align.as_table(self._runs(zones, new.select("_at").distinct()))
+        touched = runs.select("_file", "rows").collect()  # names of files to be replaced
+        old = self._open(name, meta, [r["_file"] for r in touched])
+        old = old.withColumn("_file", F.substring_index("_metadata.file_path", "/", -3) if touched else F.lit(""))
+        old, new = (x.join(F.broadcast(runs.select(c, "_run")), c, "left").drop(c).withColumn("_run", F.coalesce("_run", F.lit(0))) for x, c in ((old, "_file"), (new, "_at")))  # a row a file
+        return zones.join(runs, F.col("file") == F.col("_file"), "left_anti"), old, new, sum(r["rows"] for r in touched)
+
+    @staticmethod
+    def _placed(df: DataFrame, zones: DataFrame, order: list[str]) -> DataFrame:
+        """df with the place (_at, from 0) of the file that a row's key belongs to among all files in their order.
+
+        The files' first keys, one a file, are sent to all tasks, and halved until one is left; no row is moved for it.
+        """
+        lows = zones.agg(F.sort_array(F.collect_list("low")).alias("_lows"))
+        found = df.crossJoin(F.broadcast(lows)).select("*", F.struct(*order).alias("_key"), F.lit(0).alias("_at"))
+        for k in reversed(range(max(0, zones.count() - 1).bit_length())):
+            further = F.col("_at") + (1 << k)
+            found = found.withColumn("_at", F.when(F.get("_lows", further) <= F.col("_key"), further).otherwise(F.col("_at")))
+        return found.drop("_lows", "_key")
 
     @staticmethod
     def _runs(zones: DataFrame, hit: DataFrame) -> DataFrame:
-        """The files that are hit (_file) with the first one of those hit side by side (_run): rows of the zone map, one a file."""
+        """The files whose places (_at) are hit; those side by side have one number (_run). Rows of the zone map, one a file."""
         order = Window.orderBy("low")
-        marked = zones.join(hit, F.col("file") == F.col("_file"), "left").withColumn("_before", F.lag("_file").over(order))
-        start = F.when(F.col("_file").isNotNull() & F.col("_before").isNull(), F.col("_file"))
-        run = F.last(start, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        return marked.withColumn("_run", run).where("_file is not null").select("_file", "_run")
+        placed = zones.withColumn("_at", F.row_number().over(order) - 1).join(hit.withColumn("_hit", F.lit(True)), "_at", "left")
+        start = (F.col("_hit") & F.lag("_hit").over(order).isNull()).cast("int")
+        marked = placed.withColumn("_run", F.sum(start).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+        return marked.where("_hit").select(F.col("file").alias("_file"), "rows", "_at", "_run")
+
+    def _tasks(self, total: int, rows: int) -> int:
+        """Tasks hold many files' rows; with few rows a task a core, but not less than a file."""
+        return max(1, -(-total // min(ROWS, FILES * rows)), min(-(-total // rows), self.spark.sparkContext.defaultParallelism))
+
+    @staticmethod
+    def _put_in(old: DataFrame | None, new: DataFrame, mode: str, keys: list[str], order: list[str], tasks: int) -> DataFrame:
+        """new put into old in one of the modes, one row a key, in order. Rows are dealt by ranges of the order and meet there,
+        so that they needn't be dealt again to be written; a run's rows lie together, as runs' keys don't overlap. Rows are
+        grouped by exactly what they are dealt by (a key has one run): grouped by more, Spark would deal them by a hash."""
+        a, b = ([c for c in df.columns if c not in (*keys, "_run")] if df is not None else [] for df in (old, new))
+        packed = lambda df, columns, to: df.select("_run", *keys, F.struct(F.lit(True).alias("_there"), *columns).alias(to))
+        both = packed(new, b, "_new")
+        both = packed(old, a, "_old").unionByName(both, allowMissingColumns=True) if old is not None else both
+        best = both.repartitionByRange(tasks, *order).groupBy(*order).agg(*(F.max(c).alias(c) for c in both.columns if c not in keys))
+        mine, its = (lambda c, side=side, own=own: F.col(f"{side}.{c}") if c in own else F.lit(None) for side, own in (("_new", b), ("_old", a)))
+        pick = (lambda c: F.coalesce(mine(c), its(c))) if mode == "overlay" else (lambda c: F.when(F.col("_new").isNotNull(), mine(c)).otherwise(its(c)))
+        return best.select("_run", *keys, *(pick(c).alias(c) for c in dict.fromkeys([*a, *b]))).sortWithinPartitions("_run", *order)
 
     def _written(self, name: str, df: DataFrame, order: list[str], rows: int) -> DataFrame:
-        """Zones of df, written in order as files of at most `rows` rows, none with keys of two runs of files."""
-        df = align.settled(df)
-        total = df.count()
-        version = f"v-{uuid.uuid4().hex}"
-        if not total:
-            return self._zones_of(name, version, order, df.drop("_file"))
-        # tasks hold many files' rows; with few rows a task a core, but not less than a file. _slot is a name without odd
-        # characters; a run's rows lie together as runs' keys don't overlap
-        tasks = max(-(-total // ROWS), min(-(-total // rows), self.spark.sparkContext.defaultParallelism))
-        dealt = df.withColumn("_slot", F.hex(F.xxhash64("_file"))).repartitionByRange(tasks, *order).sortWithinPartitions("_slot", *order).drop("_file")
-        dealt.write.option("maxRecordsPerFile", rows).partitionBy("_slot").parquet(f"{self.root}/{name}/{version}")
-        return self._zones_of(name, version, order, df.drop("_file"))
-
-    def _zones_of(self, name: str, version: str, order: list[str], df: DataFrame) -> DataFrame:
-        path = F.regexp_extract("_file", "([^/]+/[^/]+/[^/]+)$", 1).alias("file")
+        """Zones of df, written as it lies as files of at most `rows` rows, none with keys of two runs of files."""
+        place = f"v-{uuid.uuid4().hex}"
+        df.write.option("maxRecordsPerFile", rows).partitionBy("_run").parquet(f"{self.root}/{name}/{place}")
+        # files are sorted, so that the first row of each has its first key: ends are told without a sort by file
+        path, first = F.col("_metadata.file_path"), F.col("_metadata.row_index") == 0
+        stored = self.spark.read.schema(df.drop("_run").schema).parquet(f"{self.root}/{name}/{place}").select(*order, path.alias("_file"), first.alias("_first"))
         ends = [f(k).alias(f"{n}_{k}") for k in order for n, f in (("min", F.min), ("max", F.max))]
-        if not self._folder(name).exists(version):
-            return df.limit(0).groupBy(F.lit("").alias("file")).agg(F.count("*").alias("rows"), F.min(F.struct(*order)).alias("low"), *ends)
-        stored = self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{version}").select(*order, F.col("_metadata.file_path").alias("_file"))
-        return stored.groupBy(path).agg(F.count("*").alias("rows"), F.min(F.struct(*order)).alias("low"), *ends)
+        lows = [F.min(F.when(F.col("_first"), F.col(k))).alias(f"_low_{k}") for k in order]
+        found = stored.groupBy("_file").agg(F.count("*").alias("rows"), *lows, *ends)
+        low = F.struct(*(F.col(f"_low_{k}").alias(k) for k in order)).alias("low")
+        return found.select(F.substring_index("_file", "/", -3).alias("file"), "rows", low, *(c for c in found.columns if c[:4] in ("min_", "max_")))
 
     def compact(self, name: str, rows: int = ROWS) -> None:
         """Cut the whole table anew."""

@@ -32,6 +32,9 @@ class Folder:
     def names(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path)) if self.fs.exists(self.path) else []
 
+    def count(self) -> int:
+        return len(self.fs.listStatus(self.path))
+
     def write(self, name: str, text: str) -> None:
         out = self.fs.create(self.child(name), True)
         out.write(bytearray(text.encode()))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark import queries, queries_scale
 from panelspark.operators import align, calendar, cross, funds, orderstats, portfolio, rolling
-from panelspark.sources import databases, vendors
+from panelspark.sources import databases, ranges, vendors
 from panelspark.sources.ranges import RangeStore
 from panelspark.sources.store import PanelStore
 
@@ -410,3 +410,41 @@ def test_rank_correlation_spreads_a_date(spark, monkeypatch):
     ranked = cross.average_ranks(sides, sides, "x", ["date", "_pair"], 10)
     most = max(r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect())
     assert ranked.count() == sides.count() and most < sides.count() / 2
+
+
+def test_range_store_takes_no_longer_for_long_paths(spark, tmp_path):
+    """Each row's file was told by an expression that went over its path again and again."""
+    frame = spark.range(60000).select(F.lit(day(1)).alias("date"), "id", F.col("id").cast("double").alias("x"))
+    took = {}
+    for root in ("warm", "s", f"{'l' * 240}/{'o' * 240}"):
+        store = RangeStore(spark, str(tmp_path / root))
+        store.save("p", frame, "replace", rows=4096)
+        began = time.time()
+        store.save("p", frame.where("id % 100 = 0"), "overlay", rows=4096)
+        took[len(root)] = time.time() - began
+    assert took[481] < 2 * took[1] + 2
+
+
+def test_range_store_files_hold_ranges_of_their_own(spark, tmp_path, monkeypatch):
+    """Whatever the mode, no file's keys lie among another's; rows of equal keys meet, narrower keys, odd names and nulls, too."""
+    monkeypatch.setattr(ranges, "FILES", 2, raising=False)
+    store, rng = RangeStore(spark, str(tmp_path / "r")), np.random.default_rng(11)
+    schema = "date date, id long, file double, rows double"
+    drawn = lambda n, low, high: {(day(int(t)), int(i)): (float(v), None if v % 3 == 0 else -float(v)) for t, i, v in zip(rng.integers(0, 40, n), rng.integers(low, high, n), rng.integers(0, 999, n), strict=True)}
+    frame = lambda rows, names=schema: spark.createDataFrame([(*k, *v) for k, v in rows.items()], names).repartition(5)
+    held = drawn(3000, 0, 300)
+    store.save("p", frame(held).unionByName(frame(dict(list(held.items())[:500]))), "replace", rows=50)
+    for mode, low, high, names in (("update", 40, 60, schema), ("overlay", -9, 350, schema.replace("long", "int")), ("overlay", 100, 101, schema), ("update", 290, 400, schema.replace("long", "int"))):
+        new = drawn(400, low, high)
+        store.save("p", frame(new, names).unionByName(frame({k: (None, None) for k in list(new)[:20]}, names)), mode, rows=50)
+        held |= new if mode == "update" else {k: tuple(a if a is not None else b for a, b in zip(v, held.get(k, (None, None)), strict=True)) for k, v in new.items()}
+        assert rows_of(store.load("p")) == held
+        zones = store.zones("p").orderBy("low").collect()
+        assert sum(z["rows"] for z in zones) == len(held) and max(z["rows"] for z in zones) <= 50
+        keys = sorted((i, t) for t, i in held)
+        at = 0
+        for z in zones:  # each file has the next rows of all keys in order
+            mine = keys[at : at + z["rows"]]
+            assert (z["low"]["id"], z["low"]["date"]) == mine[0] and (z["min_id"], z["max_id"]) == (mine[0][0], mine[-1][0])
+            assert (z["min_date"], z["max_date"]) == (min(t for _, t in mine), max(t for _, t in mine))
+            at += z["rows"]
