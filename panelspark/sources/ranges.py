@@ -87,18 +87,26 @@ class RangeStore(PanelStore):
 
     def _open(self, name: str, meta: dict, files: list[str] | None = None) -> DataFrame:
         schema, found = T.StructType.fromJson(meta["schema"]), self.files(name, meta=meta) if files is None else files
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{f}" for f in self._whole(name, found))) if found else self.spark.createDataFrame([], schema)
-
-    def _whole(self, name: str, files: list[str]) -> list[str]:
-        """files, with folders in place of those files that are all a folder holds: one listing for thousands of files."""
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        paths, others = self._listed(name, found)
+        df = self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{f}" for f in paths))
+        return df.where(~F.substring_index("_metadata.file_path", "/", -3).isin(others)) if others else df
+
+    def _listed(self, name: str, files: list[str]) -> tuple[list[str], list[str]]:
+        """files, with folders in place of those files that are most of a folder, and what else is in these folders: one
+        listing for thousands of files, of which Spark then leaves out the others by their paths."""
         by_folder: dict[str, list[str]] = {}
         for f in files:
             by_folder.setdefault(f.rsplit("/", 1)[0], []).append(f)
-        out = []
+        out, others = [], []
         for folder, inside in by_folder.items():
-            all_of = len(inside) > 1 and self._folder(f"{name}/{folder}").count() == len(inside)
-            out += [folder] if all_of else inside
-        return out
+            place = self._folder(f"{name}/{folder}")
+            most = len(inside) > 1 and 2 * len(inside) > (n := place.count())
+            out += [folder] if most else inside
+            if most and n > len(inside):
+                others += {f"{folder}/{f}" for f in place.names()} - set(inside)
+        return out, others
 
     def save(self, name: str, df: DataFrame, mode: str = "update", keys: list[str] = KEYS, attributes: dict | None = None, order: list[str] | None = None, rows: int = ROWS) -> None:
         """Write df in one of the modes; order (at first, or with replace): the keys' order, ids before dates unless told otherwise."""

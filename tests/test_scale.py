@@ -448,3 +448,18 @@ def test_range_store_files_hold_ranges_of_their_own(spark, tmp_path, monkeypatch
             assert (z["low"]["id"], z["low"]["date"]) == mine[0] and (z["min_id"], z["max_id"]) == (mine[0][0], mine[-1][0])
             assert (z["min_date"], z["max_date"]) == (min(t for _, t in mine), max(t for _, t in mine))
             at += z["rows"]
+
+
+def test_range_store_lists_folders_for_most_of_their_files(spark, tmp_path):
+    """A task that lists a file alone takes longer than one that reads it; files that were replaced stay out."""
+    store = RangeStore(spark, str(tmp_path / "r"))
+    frame = spark.range(3000).select(F.lit(day(1)).alias("date"), "id", F.col("id").cast("double").alias("x"))
+    store.save("p", frame, "replace", rows=50)
+    store.save("p", frame.where("id between 510 and 520").withColumn("x", -F.col("x")), rows=50)
+    found = store.load("p")
+    assert found.where("x = id").count() == 2989 and found.where("x = -id and id between 510 and 520").count() == 11
+    paths = found._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths()
+    assert paths.size() <= 3 and len(store.files("p")) >= 60
+    assert {f.split("/r/p/")[1] for f in found.inputFiles()} >= set(store.files("p"))
+    store.save("p", frame.where("id >= 600").withColumn("x", F.lit(None).cast("double")), "overlay", rows=50)  # most files of a folder, some replaced before
+    assert found.count() == 3000 and rows_of(store.load("p")) == rows_of(found)
